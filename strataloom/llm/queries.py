@@ -23,6 +23,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secretscan import ordinary_samples, random_samples, scan_secrets, span_count, span_list, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(random_samples(spark).union(ordinary_samples(docs, table(spark, sf_dir, "labels"))))
+    return scan_secrets(docs, model).select(
+        "doc_id",
+        *[span_count("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(span_list("base").cast("binary"), 256).alias("base_sha256"),
+        span_list("spans").alias("spans"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -48,6 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_decontamination": op3_decontamination,
+    "op4_secret_scans": op4_secret_scans,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
     "op10_quality_rules": op10_quality_rules,
