@@ -52,6 +52,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmlextract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lmscore import score_documents
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
+    "op7_html_extraction": op7_html_extraction,
     "op8_lm_scores": op8_lm_scores,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
