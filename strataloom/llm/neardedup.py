@@ -162,7 +162,7 @@ def _strays(members: DataFrame, labels: DataFrame, classes: DataFrame, percent:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: id_col (as long), n_shingles, component_id, kept.
+    """One row per row of docs: id_col (as long), n_shingles, component_id, kept, text_hash.
 
     Two texts are linked where 100 * |common shingles| >= percent * |all shingles|; component_id is the
     smallest id reachable. Texts without words (or null) are linked with nothing, not even each other.
@@ -202,12 +202,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "k1", F.when(F.col("k2").isNotNull(), F.col("least")).otherwise(F.col("rep")).alias("component")
     )
     return (
-        sk.select("id", "key", "n")
+        sk.select("id", "key", "n", "th")
         .join(owner, F.col("key") == F.col("k1"), "left")
         .select(
             F.col("id").alias(id_col),
             F.col("n").alias("n_shingles"),
             F.when(F.col("k1").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"),
+            F.col("th").alias("text_hash"),
         )
-        .withColumn("kept", F.col("component_id").eqNullSafe(F.col(id_col)))
+        .select(id_col, "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col(id_col)).alias("kept"), "text_hash")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row with its smallest id.
+
+    Rows are dropped by an anti join with the ids and text hashes of the others, which is broadcast where it is
+    small, so the kept texts are not shuffled. Equal rows of one id are reduced to one apart from the rest.
+    """
+    judged = stored(near_duplicates(docs, id_col, text_col, percent), "near-duplicates").withColumnRenamed(id_col, "j_id")
+    gone = judged.where("not kept").select("j_id", "text_hash").distinct()
+    again = judged.where("kept").groupBy("j_id", "text_hash").count().where("count > 1").select("j_id", "text_hash")
+
+    def at(other: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        other = F.broadcast(other) if other.count() <= BROADCAST_CLASSES else other
+        return rows.join(other, F.col(id_col).cast("long").eqNullSafe(F.col("j_id")) & F.xxhash64(text_col).eqNullSafe(F.col("text_hash")), how)
+
+    if again.isEmpty():
+        return at(gone, "left_anti", docs)
+    single = at(again, "left_semi", docs).dropDuplicates([id_col, text_col])
+    return at(gone.union(again), "left_anti", docs).unionByName(single)
