@@ -84,7 +84,10 @@ def http_embeddings(url: str, model: str, timeout: float = 30, tries: int = 3, d
 
 def hashed_embeddings(size: int = 32) -> Provider:
     """Counts of hashed words: deterministic, for tests; no claim to meaning."""
-    words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    made = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
-    return lambda df: df.withColumn("embedding", made)
+    def embed(df: DataFrame) -> DataFrame:
+        words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != "")
+        slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
+        counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
+        return df.withColumn("embedding", counts)
+
+    return embed
