@@ -61,6 +61,29 @@ def ordinary_samples(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_DOCS, i
     return pairs.select(F.explode(F.array(*[F.col(f) if isinstance(f, str) else f for f in forms])).alias("sample"), F.lit("ordinary").alias("label"))
 
 
+def _kind(i: int) -> int:
+    """Lower case, upper case, digit or sign."""
+    return 0 if i < 26 else 1 if i < 52 else 2 if i < 62 else 3
+
+
+KIND_SIZES = (26, 26, 10, N - 62)
+
+
+def _transitions(counts: list[int]) -> list[float]:
+    """P(next | this), smoothed with that of the characters' kinds: rare pairs of letters are still letters."""
+    kinds = [[1.0] * 4 for _ in range(4)]
+    for a in range(N):
+        for b in range(N):
+            kinds[_kind(a)][_kind(b)] += counts[a * N + b]
+    out = []
+    for a in range(N):
+        row = counts[a * N : a * N + N]
+        weight = 10 + 0.1 * sum(row)
+        back = [x / sum(kinds[_kind(a)]) for x in kinds[_kind(a)]]
+        out += [(c + weight * back[_kind(b)] / KIND_SIZES[_kind(b)]) / (sum(row) + weight) for b, c in enumerate(row)]
+    return out
+
+
 def train(samples: DataFrame) -> MarkovModel:
     """samples has sample and label (random or ordinary). Driver memory: at most 2 * N * N counts."""
     steps = samples.where("length(sample) > 1").select("label", "sample", F.explode(F.expr("sequence(1, length(sample) - 1)")).alias("i"))
@@ -72,11 +95,8 @@ def train(samples: DataFrame) -> MarkovModel:
     counts = {"random": [0] * N * N, "ordinary": [0] * N * N}
     for r in at.where("a > 0 and b > 0").groupBy("label", "a", "b").count().collect():
         counts[r["label"]][(r["a"] - 1) * N + r["b"] - 1] = r["count"]
-    ratios = []
-    for a in range(N):
-        rows = {k: [c + 0.5 for c in v[a * N : a * N + N]] for k, v in counts.items()}
-        sums = {k: sum(v) for k, v in rows.items()}
-        ratios += [log(x / sums["random"]) - log(y / sums["ordinary"]) for x, y in zip(rows["random"], rows["ordinary"], strict=True)]
+    odds = {k: _transitions(v) for k, v in counts.items()}
+    ratios = [log(x) - log(y) for x, y in zip(odds["random"], odds["ordinary"], strict=True)]
     return MarkovModel(tuple(ratios))
 
 
