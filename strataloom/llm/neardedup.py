@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .setsketch import M, ROWS, band_keys, estimate, registers, shingle_hashes, words_of
+from .setsketch import FINE, M, ROWS, band_keys, estimate, fine_registers, registers, shingle_hashes, words_of
 from .shared import stored
 
 PERCENT = 85
 #: How far below the threshold an estimate may lie and still be verified (some seven standard deviations).
 MARGIN = 0.19
+#: The same for the share of equal fine registers.
+FINE_MARGIN = 0.11
 #: Members outside the star's component that are compared with a bucket's members at once.
 BLOCK = 1_000
 #: Class rows (24 bytes) up to which they are broadcast to fetch texts; beyond, that join shuffles.
@@ -60,22 +62,34 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return chosen.mapInArrow(sketch, "id long, th long, key binary, n long, bands array<long>, regs binary")
 
 
+def _fine(texts: DataFrame) -> DataFrame:
+    """cid, fine: further registers of candidates, from their texts (cid, t)."""
+
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [fine_registers(shingle_hashes(words_of(t))).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["cid", "fine"])
+
+    return texts.select("cid", "t").mapInArrow(sketch, "cid long, fine binary")
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs x, y whose estimate lies within MARGIN of the threshold."""
-    regs = classes.select("cid", "n", "regs")
+    """The pairs x, y whose estimates lie within the margins of the threshold; classes has cid, n, regs, fine."""
+    regs = classes.select("cid", "n", "regs", "fine")
     rows = (
-        pairs.join(regs.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("regs").alias("ry")), "y")
-        .join(regs.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("regs").alias("rx")), "x")
-        .select("x", "y", "nx", "ny", "rx", "ry")
+        pairs.join(regs.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("regs").alias("ry"), F.col("fine").alias("fy")), "y")
+        .join(regs.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("regs").alias("rx"), F.col("fine").alias("fx")), "x")
+        .select("x", "y", "nx", "ny", "rx", "ry", "fx", "fy")
     )
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, nx, ny, rx, ry = (c.to_pylist() for c in batch.columns)
+            x, y, nx, ny, rx, ry, fx, fy = (c.to_pylist() for c in batch.columns)
             kept = [
                 i
                 for i in range(len(x))
                 if min(nx[i], ny[i]) * 100 >= percent * max(nx[i], ny[i])
+                and (np.frombuffer(fx[i], np.uint8) == np.frombuffer(fy[i], np.uint8)).mean() >= percent / 100 - FINE_MARGIN
                 and estimate(np.frombuffer(rx[i], np.uint16), np.frombuffer(ry[i], np.uint16), nx[i], ny[i])[0] >= percent / 100 - MARGIN
             ]
             yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
@@ -120,8 +134,8 @@ def _strays(members: DataFrame, labels: DataFrame, classes: DataFrame, percent:
     )
     active = known.join(buckets, "b").withColumn("stray", F.col("comp") != F.col("main"))
     counts = active.groupBy("b").agg(F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).cast("int").alias("blocks"))
-    rows = active.join(counts, "b").join(classes.select("cid", "n", "regs"), "cid")
-    cols = ("pos", "cid", "comp", "pivot", "stray", "n", "regs")
+    rows = active.join(counts, "b").join(classes.select("cid", "n", "regs", "fine"), "cid")
+    cols = ("pos", "cid", "comp", "stray", "n", "regs", "fine")
     asked = rows.where("stray").select("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), *cols)
     met = rows.select("b", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(1).alias("role"), *cols)
     dealt = asked.union(met).repartition("b", "block").sortWithinPartitions("b", "block", "role", "cid")
@@ -129,15 +143,16 @@ def _strays(members: DataFrame, labels: DataFrame, classes: DataFrame, percent:
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, {}
         for batch in batches:
-            cols = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(batch.schema.names) if name != "regs"}
+            cols = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(batch.schema.names) if name not in ("regs", "fine")}
             regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, M)
+            fine = np.frombuffer(b"".join(batch.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
             change = np.flatnonzero((np.diff(cols["b"]) != 0) | (np.diff(cols["block"]) != 0) | (np.diff(cols["role"]) != 0)) + 1
             xs, ys = [], []
             for lo, hi in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
                 if lo == hi:
                     continue
                 this = (cols["b"][lo], cols["block"][lo])
-                part = {k: v[lo:hi] for k, v in cols.items()} | {"regs": regs[lo:hi]}
+                part = {k: v[lo:hi] for k, v in cols.items()} | {"regs": regs[lo:hi], "fine": fine[lo:hi]}
                 if cols["role"][lo] == 0:
                     held = part if this != group or not held else {k: np.concatenate((held[k], part[k])) for k in part}
                     group = this
@@ -147,7 +162,7 @@ def _strays(members: DataFrame, labels: DataFrame, classes: DataFrame, percent:
                     new &= ~part["stray"].astype(bool) | (part["cid"] > held["cid"][i])
                     new &= np.minimum(part["n"], held["n"][i]) * 100 >= percent * np.maximum(part["n"], held["n"][i])
                     near = np.flatnonzero(new)
-                    near = near[(part["regs"][near] == held["regs"][i]).mean(axis=1) >= 0.3] if len(near) else near
+                    near = near[(part["fine"][near] == held["fine"][i]).mean(axis=1) >= percent / 100 - FINE_MARGIN]
                     if not len(near):
                         continue
                     first = (part["regs"][near] == held["regs"][i]).reshape(len(near), -1, ROWS).all(axis=2).argmax(axis=1)
@@ -176,9 +191,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = sk.join(r, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("rep"))).drop("k").dropDuplicates(["key"])
     classes = stored(chosen.select(F.monotonically_increasing_id().alias("cid"), "key", "rep", "th", "n", "bands", "regs"), "classes")
 
-    banded = classes.select("cid", F.posexplode("bands").alias("pos", "b"))
-    buckets = banded.groupBy("b").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(banded.join(buckets.drop("size"), "b"), "members")
+    banded = classes.select("cid", "rep", F.posexplode("bands").alias("pos", "b"))
+    # the smallest id of a group is its likeliest original, to which most of its members are linked
+    buckets = banded.groupBy("b").agg(F.min(F.struct("rep", "cid")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stored(banded.drop("rep").join(buckets.select("b", F.col("least.cid").alias("pivot")), "b"), "members")
 
     met = members.select("cid").distinct().join(classes.select("cid", "rep", F.col("th").alias("h")), "cid")
     met = stored(met, "candidates")
@@ -187,10 +203,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = source.join(F.broadcast(met) if few else met, F.col("id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("h")))
     texts = stored(found.select("cid", "t").dropDuplicates(["cid"]), "texts")
 
+    fine = stored(_fine(texts), "fine").withColumnRenamed("cid", "f_cid")
+    known = classes.select("cid", "n", "regs").join(fine, F.col("cid") == F.col("f_cid")).drop("f_cid")
+
     star = members.where("cid <> pivot").select(F.col("pivot").alias("x"), F.col("cid").alias("y")).distinct()
-    links = stored(_verified(_likely(star, classes, percent), texts, percent), "links")
+    links = stored(_verified(_likely(star, known, percent), texts, percent), "links")
     labels = connected_components(links, "x", "y")
-    more = stored(_verified(_strays(members, labels, classes, percent).distinct(), texts, percent), "links")
+    more = stored(_verified(_strays(members, labels, known, percent).distinct(), texts, percent), "links")
     if more.isEmpty():
         final = labels
     else:

@@ -22,9 +22,11 @@ M, ROWS = 200, 5
 B = 1.02
 Q = 60_000
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Further registers, of which the low eight bits are kept, for sharper estimates of candidates.
+FINE = 512
 _random = np.random.default_rng(20_240_229)
-_MULTIPLY = (_random.integers(0, 1 << 32, M, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
-_ADD = _random.integers(0, 1 << 32, M, np.uint64).astype(np.uint32)[:, None]
+_MULTIPLY = (_random.integers(0, 1 << 32, M + FINE, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
+_ADD = _random.integers(0, 1 << 32, M + FINE, np.uint64).astype(np.uint32)[:, None]
 #: Distinct words whose hashes a Python worker remembers.
 MEMORY_WORDS = 400_000
 
@@ -59,19 +61,20 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
     return np.unique(key)
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """The M registers of a set, as unsigned 16-bit numbers; all 0 for the empty set."""
-    least = np.full(M, 0xFFFFFFFF, np.uint32)
+def registers(hashes: np.ndarray, first: int = 0, count: int = M) -> np.ndarray:
+    """Registers of a set, as unsigned 16-bit numbers; all 0 for the empty set."""
+    least = np.full(count, 0xFFFFFFFF, np.uint32)
+    multiply, add = _MULTIPLY[first : first + count], _ADD[first : first + count]
     low = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     for i in range(0, len(low), 2048):
-        v = low[None, i : i + 2048] * _MULTIPLY
-        v += _ADD
+        v = low[None, i : i + 2048] * multiply
+        v += add
         v ^= v >> np.uint32(15)
         v *= np.uint32(0x2C1B3C6D)
         v ^= v >> np.uint32(13)
         np.minimum(least, v.min(axis=1), out=least)
     if not len(low):
-        return np.zeros(M, np.uint16)
+        return np.zeros(count, np.uint16)
     # the smallest of n uniform values, as that of n exponential ones
     h = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32)
     return np.clip(np.floor(1 - np.log(h) / log(B)), 0, Q + 1).astype(np.uint16)
@@ -82,6 +85,11 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(b.tobytes(), seed=i) for i, b in enumerate(regs.reshape(-1, ROWS))], np.uint64).view(np.int64)
 
 
+def fine_registers(hashes: np.ndarray) -> np.ndarray:
+    """Low bytes of the further registers: equal for a share of them that is at least the similarity."""
+    return (registers(hashes, M, FINE) & 0xFF).astype(np.uint8)
+
+
 def estimate(one: np.ndarray, other: np.ndarray, size_one: int, size_other: int) -> np.ndarray:
     """Jaccard similarity of most likelihood, given the sets' sizes; `other` may hold many sketches.
 
