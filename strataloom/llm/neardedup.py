@@ -1,8 +1,9 @@
 """Near-duplicate documents by banded SetSketch registers, likelihood estimates and exact verification.
 
 1. Each text's shingle set is sketched; texts with equal word sequences are one class, so copies cost one sketch.
-2. Band values deal classes into buckets. A star from each bucket's smallest class, estimated by likelihood and
-   verified on full shingle sets, joins most of a group with as many pairs as it has members.
+2. Band values deal classes into buckets. Each class is paired with the smallest class that it shares a bucket
+   with; these stars, estimated by likelihood and verified on full shingle sets, join most of a group with as
+   many pairs as it has members.
 3. Where a bucket still holds several components, its members outside the star's component are compared, in
    blocks of bounded size, with the registers of all its other members; each pair is met in its first common
    band only. Estimates that a link could have are verified as before.
@@ -194,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = classes.select("cid", "rep", F.posexplode("bands").alias("pos", "b"))
     # the smallest id of a group is its likeliest original, to which most of its members are linked
     buckets = banded.groupBy("b").agg(F.min(F.struct("rep", "cid")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(banded.drop("rep").join(buckets.select("b", F.col("least.cid").alias("pivot")), "b"), "members")
+    members = stored(banded.drop("rep").join(buckets.select("b", F.col("least.cid").alias("pivot"), F.col("least.rep").alias("pivot_rep")), "b"), "members")
 
     met = members.select("cid").distinct().join(classes.select("cid", "rep", F.col("th").alias("h")), "cid")
     met = stored(met, "candidates")
@@ -206,7 +207,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fine = stored(_fine(texts), "fine").withColumnRenamed("cid", "f_cid")
     known = classes.select("cid", "n", "regs").join(fine, F.col("cid") == F.col("f_cid")).drop("f_cid")
 
-    star = members.where("cid <> pivot").select(F.col("pivot").alias("x"), F.col("cid").alias("y")).distinct()
+    # each class meets one pivot only, that with the smallest id; what other pivots could link is left to the strays
+    first = members.where("cid <> pivot").groupBy("cid").agg(F.min(F.struct("pivot_rep", "pivot")).alias("p"))
+    star = first.select(F.col("p.pivot").alias("x"), F.col("cid").alias("y"))
     links = stored(_verified(_likely(star, known, percent), texts, percent), "links")
     labels = connected_components(links, "x", "y")
     more = stored(_verified(_strays(members, labels, known, percent).distinct(), texts, percent), "links")
