@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import alone, bounded_batches
+
 WINDOW = 10
 #: Words of test items in one automaton; it has at most twice as many states (some 300 bytes each).
 BLOCK_WORDS = 200_000
@@ -236,6 +238,7 @@ def decontaminate(
     without items nothing is hit; columns that are not named are not read.
     """
     limits = limits or Limits()
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = [spark.sparkContext.broadcast(b) for b in blocks_of(items, item_id, item_text, window, block_words)]
     chosen = docs.select(F.col(text_col).alias("t"), F.col(id_col).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
@@ -243,6 +246,7 @@ def decontaminate(
     types = [*[pa.int64()] * 3, pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.string()]
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         blocks = [b.value for b in shared]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):

@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from .shared import remember
+
 #: Ids of this many distinct pieces are remembered by one Python worker (some 120 MB), in two generations.
 MEMORY_PIECES = 700_000
 
@@ -79,6 +81,14 @@ class FastTokenizer:
 _opened: dict[tuple[str, int], FastTokenizer] = {}
 
 
+def _forget() -> None:
+    for t in _opened.values():
+        t.known, t.older = {}, {}
+
+
+remember("pieces", _forget)
+
+
 def tokenizer(path: str) -> FastTokenizer:
     """The tokenizer of this file, opened once in each Python worker."""
     key = (path, os.getpid())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .setsketch import words_of
-from .shared import stored
+from .shared import bounded_batches, stored
 
 FOLDS, HELD_OUT = 10, 0
 SMOOTH = 0.1
@@ -188,6 +188,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folds are dealt; repeated rows are texts of their own. Without training documents N and V are 0 and the
     end's share is 1/2. Other columns are not read; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = stored(_blocks(docs, id_col, text_col, block_bytes), "lm-blocks")
     pairs = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .setsketch import FINE, M, ROWS, band_keys, estimate, fine_registers, registers, shingle_hashes, words_of
-from .shared import stored
+from .shared import alone, bounded_batches, stored
 
 PERCENT = 85
 #: How far below the threshold an estimate may lie and still be verified (some seven standard deviations).
@@ -43,6 +43,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("words")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -186,6 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for rows without an id where the whole component has none. Empty tables give no rows; other columns are
     not read.
     """
+    bounded_batches(docs.sparkSession)
     sk = stored(sketches(docs, id_col, text_col), "sketches")
     reps = sk.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
     r = reps.select(F.col("key").alias("k"), "rep")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fasttok import public_file, tokenizer
+from .shared import alone, bounded_batches
 
 WINDOW = 4096
 END_ID = 2
@@ -124,6 +125,7 @@ def pack_documents(
     only; repeated rows (or ids) are documents of their own; null ids stay; an empty table gives no rows;
     other columns are not read. A sequence's pieces are gapless from offset 0 and at most `window` ids long.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     id_type = docs.select(F.col(id_col).alias("id")).schema
 
@@ -131,6 +133,7 @@ def pack_documents(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = pa.schema([*to_arrow_schema(id_type), *[(n, pa.int64()) for n in ("start", "length")], ("ids", pa.binary()), *[(n, pa.int64()) for n in ("doc_tokens", "sequence_id", "offset")]])
+        alone("pieces")
         coder, end = tokenizer(public_file(vocabulary)), end_id.to_bytes(4, "little")
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << SEQUENCES_PER_TASK
         ids, parts, held = [], [], 0

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import alone, bounded_batches
+
 SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOL = bytes(sorted(set(range(256)) - set(SYMBOLS)))
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -114,10 +116,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     no words and fail the base rule; repeated rows are each judged; an empty table gives no rows; columns not
     named are not read, so clashing names in docs do no harm.
     """
+    bounded_batches(docs.sparkSession)
     limits = limits or Limits()
     schema = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).schema
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone()
         for batch in batches:
             rows = [measure(t, limits) for t in batch.column(0).to_pylist()]
             made = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)] if rows else [pa.array([], t) for t in _TYPES]

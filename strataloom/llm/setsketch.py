@@ -14,6 +14,8 @@ from math import log
 import numpy as np
 import xxhash
 
+from .shared import remember
+
 SHINGLE = 5
 #: Registers, in bands of ROWS. Two sets of similarity s miss each other with chance (1 - s^ROWS)^(M / ROWS):
 #: 7e-11 at 0.85, where links begin.
@@ -28,7 +30,7 @@ _random = np.random.default_rng(20_240_229)
 _MULTIPLY = (_random.integers(0, 1 << 32, M + FINE, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _ADD = _random.integers(0, 1 << 32, M + FINE, np.uint64).astype(np.uint32)[:, None]
 #: Distinct words whose hashes a Python worker remembers.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 
 
 class _WordHashes(dict):
@@ -40,6 +42,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+remember("words", _hashes.clear)
 
 
 def words_of(text: str | None) -> list[bytes]:

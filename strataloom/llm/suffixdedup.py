@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, stored
+from .shared import bounded_batches, fresh_path, stored
 from .suffixmerge import front_code, front_decode, merge_runs
 
 LENGTH = 50
@@ -245,6 +245,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one id do not remove each other's bytes; matches never cross documents; other columns are not read; an
     empty table gives no rows. kept has the remaining bytes where with_text is set.
     """
+    bounded_batches(docs.sparkSession)
     blocks = _blocks(docs, id_col, text_col, block_bytes)
     n_blocks = max(1, blocks.count())
     ranges = min(MOST_RANGES, max(8, n_blocks))

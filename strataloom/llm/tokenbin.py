@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fasttok import public_file, tokenizer
-from .shared import stored
+from .shared import alone, bounded_batches, stored
 
 MAGIC = b"SLPLANE1"
 SUFFIX = ".planes"
@@ -129,10 +129,12 @@ def write_token_files(
     file_no and place. Null and empty texts have end_id only. An empty table writes no file. Other columns
     are not read.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     ranges = min(MOST_RANGES, max(1, -(-docs.count() // RANGE_ROWS)))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("pieces")
         coder, end = tokenizer(public_file(vocabulary)), end_id.to_bytes(4, "little")
         shard, made, ids, parts, held = TaskContext.get().partitionId(), [], [], [], 0
 
