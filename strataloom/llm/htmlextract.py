@@ -1,18 +1,20 @@
 """Main text of web pages by wrapper induction.
 
-For each host, a bounded sample of its pages is parsed and aligned with simple tree matching (the largest
-order-preserving match of two DOM trees). Aligned nodes whose text is the same on all sample pages are the
-host's template; the subtree that holds most of the varying text is its content slot. A page's text is that of
-its host's slot without template nodes and without the parts that are never content (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments). Hosts with too few pages have no wrapper;
-their pages' slot is the article, the main part or the body.
+A bounded sample of each host's pages is parsed, and the text nodes of its slot are keyed by their place and text: long
+texts by the kinds of the nodes above them, short ones by their ordinals among nodes of their kind, from the
+front and from the back. Keys are counted over these pages, and over those of one layout; what
+nearly all of them have is the template. A page's text is its slot (its first article, else its main part, else
+the body) without template nodes and without the parts that are never content (menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, reader comments). Hosts with too few pages have no template.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pandas as pd
@@ -23,14 +25,16 @@ from pyspark.sql import functions as F
 from .shared import bounded_batches, stored
 from .urlfilter import url_host
 
-#: Pages of a host that are aligned, and how many of them a template needs.
-SAMPLE_PAGES, LEAST_PAGES = 4, 3
-#: Template nodes inside the slot are dropped where they hold at most this share of its text.
-TEMPLATE_SHARE = 0.3
+#: Rows of a host that are read for its template.
+SAMPLE_PAGES = 4
+#: Distinct pages that a template needs, and the share of them that has each of its nodes.
+LEAST_PAGES, CONSTANT_SHARE = 3, 0.9
+#: Templates are dropped where they hold at most this share of the pages' text: in articles and main parts, and in bodies.
+TEMPLATE_SHARE, BODY_SHARE = 0.3, 0.5
+#: Texts of this many characters are known again wherever they stand among their siblings; shorter ones by ordinals.
+LONG_TEXT = 20
 #: Bytes of all wrappers up to which they are broadcast; beyond, pages and wrappers are joined by host.
 BROADCAST_BYTES = 32_000_000
-#: Children of one node that are aligned by the quadratic recursion; longer lists by tag runs.
-MOST_CHILDREN = 400
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,6 +58,10 @@ MARKS = frozenset(
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _MARK = re.compile(r"[a-z]+")
+_NUMBER = re.compile(r"\d+")
+#: Tags whose kinds tell one layout from another.
+FRAME = frozenset("article aside body center div footer header main nav section table tbody tr td".split())
+ARTICLE, MAIN, BODY = 0, 1, 2
 
 
 class Node:
@@ -61,7 +69,7 @@ class Node:
 
     def __init__(self, tag: str, mark: str = "") -> None:
         self.tag, self.mark, self.children = tag, mark, []
-        self.kind = f"{tag}.{mark}" if mark else tag
+        self.kind = f"{tag}.{_NUMBER.sub('0', mark)}" if mark else tag  # ids often hold a page's number
 
 
 def parse(html: str) -> Node:
@@ -121,163 +129,126 @@ def _clean(text: str) -> str:
     return " ".join(unescape(text).split())
 
 
-def blocks(node: Node, template: frozenset[str] = frozenset()) -> list[str]:
-    """The texts of a subtree's blocks in page order."""
-    out: list[str] = []
-    run: list[str] = []
+def _key(*parts: str) -> int:
+    return int.from_bytes(blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
 
-    def flush() -> None:
-        text = _clean("".join(run))
-        run.clear()
-        if text:
-            out.append(text)
+def _slots(root: Node) -> tuple[int, list[Node], int]:
+    """The rank, the first article, else main part, else the body, else all; and the layout's key."""
+    found: list[list[tuple[Node, list[Node]]]] = [[], [], []]
 
-    def walk(n: Node, path: str, inside: bool) -> None:
-        for child in n.children:
+    def walk(n: Node, line: list[Node]) -> None:
+        for c in n.children:
+            if isinstance(c, Node) and not never_content(c):
+                rank = ARTICLE if c.tag == "article" else MAIN if c.tag == "main" or "main" in c.mark.split() else BODY if c.tag == "body" else None
+                if rank is not None and not any(up is m for m, _ in found[rank] for up in line):
+                    found[rank].append((c, line))
+                walk(c, [*line, c])
+
+    walk(root, [root])
+    rank = next((r for r in (ARTICLE, MAIN) if found[r]), BODY)
+    slots = found[rank][:1] or [(root, [])]
+    first, line = slots[0]
+    frame = [f"{n.kind}:{','.join(sorted({c.kind for c in n.children if isinstance(c, Node) and c.tag in FRAME}))}" for n in [*line, first]]
+    return rank, [n for n, _ in slots], _key("layout", str(rank), *frame)
+
+
+def _pieces(slots: list[Node], keyed: bool) -> Iterator[tuple[str | None, list[int]]]:
+    """The slots' text nodes in page order, with their keys if asked for; None where a block begins or ends."""
+    times: Counter[str] = Counter()
+
+    def keys_of(text: str, place: tuple[str, str, str]) -> list[int]:
+        if len(text) < LONG_TEXT:
+            return [_key("front", place[1], text), _key("back", place[2], text)]
+        long = f"{place[0]}\x00{text}"
+        times[long] += 1
+        return [_key("long", long, str(times[long]))]
+
+    def walk(n: Node, place: tuple[str, str, str], inside: bool) -> Iterator[tuple[str | None, list[int]]]:
+        kinds = ["" if isinstance(c, str) and not c.strip() else "#" if isinstance(c, str) else c.kind for c in n.children] if keyed else []
+        left, done = Counter(kinds), Counter()
+        for at, child in enumerate(n.children):
+            below = place
+            if keyed and kinds[at]:
+                kind = kinds[at]
+                done[kind] += 1
+                below = (f"{place[0]}\x01{kind}", f"{place[1]}\x01{kind}\x02{done[kind]}", f"{place[2]}\x01{kind}\x02{left[kind] - done[kind]}")
             if isinstance(child, str):
-                if not template or f"{path}|{_clean(child)}" not in template:
-                    run.append(child)
+                yield child, keys_of(_clean(child), below) if keyed and kinds[at] else []
             elif child.tag == "br":
-                run.append(" ")
+                yield " ", []
             elif not never_content(child, inside):
                 within = inside or child.tag in ("article", "main")
                 if child.tag in BLOCK:
-                    flush()
-                    walk(child, f"{path}/{child.kind}", within)
-                    flush()
+                    yield None, []
+                    yield from walk(child, below, within)
+                    yield None, []
                 else:
-                    walk(child, f"{path}/{child.kind}", within)
-
-    walk(node, "", node.tag in ("article", "main"))
-    flush()
-    return out
-
-
-def match(a: Node, b: Node) -> tuple[int, list[tuple]]:
-    """Simple tree matching: size of the largest match, and the matched (path of a, a, b) pairs of text nodes."""
-    if a.kind != b.kind:
-        return 0, []
-    xs = [c for c in a.children if not isinstance(c, str) or c.strip()]
-    ys = [c for c in b.children if not isinstance(c, str) or c.strip()]
-    if len(xs) > MOST_CHILDREN or len(ys) > MOST_CHILDREN:
-        xs, ys = xs[:MOST_CHILDREN], ys[:MOST_CHILDREN]  # only aligns fewer nodes; what is not aligned is content
-    known: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def pair(i: int, j: int) -> int:
-        x, y = xs[i], ys[j]
-        if isinstance(x, str) or isinstance(y, str):
-            return int(isinstance(x, str) and isinstance(y, str)) and (2 if x == y else 1)
-        if x.kind != y.kind:
-            return 0
-        if (i, j) not in known:
-            known[i, j] = match(x, y)
-        return 2 * known[i, j][0]
-
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for i in range(len(xs)):
-        row, above = best[i + 1], best[i]
-        for j in range(len(ys)):
-            row[j + 1] = max(above[j + 1], row[j], above[j] + pair(i, j))
-    found, i, j = [], len(xs), len(ys)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            if isinstance(xs[i], str):
-                found.append((a, xs[i], ys[j]))
-            else:
-                found += known[i, j][1]
-    return 1 + best[len(xs)][len(ys)] // 2, found
-
-
-def _slot(root: Node) -> Node:
-    """The article, else the main part, else the body, else all."""
-    order = {"article": 0, "main": 1, "body": 2}
-    best, at = root, 3
-
-    def walk(n: Node) -> None:
-        nonlocal best, at
-        for c in n.children:
-            if isinstance(c, Node) and not never_content(c):
-                rank = min(order.get(c.tag, 3), 1 if "main" in c.mark.split() else 3)
-                if rank < at:
-                    best, at = c, rank
-                walk(c)
+                    yield from walk(child, below, within)
+
+    for slot in slots:
+        yield from walk(slot, (slot.kind,) * 3, slot.tag in ("article", "main"))
+        yield None, []
 
-    walk(root)
-    return best
+
+def survey(html: str) -> tuple[int, int, int, dict[int, int]]:
+    """Rank of a page's slot, its layout, the characters of its text nodes, and those of each key."""
+    rank, slots, layout = _slots(parse(html))
+    chars, keys = 0, {}
+    for text, own in _pieces(slots, True):
+        if own:
+            size = len(_clean(text))
+            chars += size
+            for k in own:
+                keys[k] = size // len(own)  # a short text's two keys share its length
+    return rank, layout, chars, keys
 
 
 def induce(pages: list[str]) -> dict | None:
-    """The wrapper of same-host pages: {slot: path, template: [path|text]}; None without LEAST_PAGES different ones."""
-    trees = [parse(h) for h in dict.fromkeys(pages)]
-    if len(trees) < LEAST_PAGES:
-        return None
-    base = trees[0]
-    paths: dict[int, str] = {}
-    parents: dict[int, list[Node]] = {}
+    """The wrapper of same-host pages: {template: [(scope, key)]}; None without LEAST_PAGES different ones.
 
-    def walk(n: Node, path: str, line: list[Node]) -> None:
-        paths[id(n)], parents[id(n)] = path, [*line, n]
-        for c in n.children:
-            if isinstance(c, Node):
-                walk(c, f"{path}/{c.kind}", [*line, n])
-
-    walk(base, "", [])
-    same: dict[tuple[int, str], int] = {}
-    for other in trees[1:]:
-        for parent, x, y in {(id(p), x): (p, x, y) for p, x, y in match(base, other)[1] if _clean(x) == _clean(y)}.values():
-            same[id(parent), x] = same.get((id(parent), x), 0) + 1
-    constant = {k for k, n in same.items() if n == len(trees) - 1}
-    varying: dict[int, int] = {}
-
-    def gather(n: Node, inside: bool) -> int:
-        total = 0
-        for c in n.children:
-            if isinstance(c, str):
-                total += 0 if (id(n), c) in constant else len(_clean(c))
-            elif not never_content(c, inside):
-                total += gather(c, inside or c.tag in ("article", "main"))
-        varying[id(n)] = total
-        return total
-
-    whole = gather(base, False)
-    slot = base
-    if 2 * whole < sum(map(len, blocks(base))):  # the sample is of near copies, which tell nothing of the host
-        whole, slot = 0, _slot(base)
-    while True:  # go down while one child holds most of the varying text in more than one piece
-        inner = [c for c in slot.children if isinstance(c, Node) and id(c) in varying and varying[id(c)] >= 0.8 * whole and c.tag in BLOCK and c.tag != "p"]
-        if not inner or not whole:
-            break
-        slot = inner[0]
-    near = _slot(base)
-    if near is not slot and near in parents[id(slot)] and near.tag in ("article", "main"):
-        slot = near  # not below the article: its title and lead belong to it
-    start = paths[id(slot)]
-    template = [f"{paths[p][len(start):]}|{_clean(x)}" for p, x in sorted(constant, key=lambda k: paths[k[0]]) if (paths[p] + "/").startswith(start + "/")]
-    held, left = sum(map(len, blocks(slot))), sum(map(len, blocks(slot, frozenset(template))))
-    if held - left > TEMPLATE_SHARE * held:
-        template = []
-    return {"slot": start, "template": template}
+    A scope is all pages with one rank of slot, or one layout.
+    """
+    different = list(dict.fromkeys(pages))
+    if len(different) < LEAST_PAGES:
+        return None
+    scopes: dict[int, list[tuple[int, int, dict[int, int]]]] = {}
+    for rank, layout, chars, keys in map(survey, different):
+        for scope in (rank, layout):
+            scopes.setdefault(scope, []).append((rank, chars, keys))
+    template = []
+    for scope, held in scopes.items():
+        total, limit = sum(c for _, c, _ in held), TEMPLATE_SHARE if held[0][0] < BODY else BODY_SHARE
+        counts, sizes = Counter(k for *_, keys in held for k in keys), Counter()
+        for *_, keys in held:
+            sizes.update(keys)
+        for share in (CONSTANT_SHARE, 1.0):  # near copies of one page hold much in common, which is no template
+            chosen = [k for k, n in counts.items() if n >= max(LEAST_PAGES, share * len(held))]
+            if sum(sizes[k] for k in chosen) <= limit * total:
+                template += [(scope, k) for k in chosen]
+                break
+    return {"template": sorted(template)}
 
 
 def extract(html: str | None, wrapper: dict | None = None) -> str:
     """The main text of a page; empty for null, empty and contentless pages."""
     if not html:
         return ""
-    root = parse(html)
-    slot, template = None, frozenset()
+    rank, slots, layout = _slots(parse(html))
+    template: frozenset[tuple[int, int]] = frozenset()
     if wrapper:
-        slot, template = root, frozenset(wrapper["template"])
-        for step in wrapper["slot"].split("/")[1:]:
-            slot = next((c for c in slot.children if isinstance(c, Node) and c.kind == step), None)
-            if slot is None:
-                template = frozenset()
-                break
-    return "\n".join(blocks(slot or _slot(root), template))
+        template = wrapper["template"] if isinstance(wrapper["template"], frozenset) else frozenset(map(tuple, wrapper["template"]))
+    out: list[str] = []
+    run: list[str] = []
+    for text, keys in _pieces(slots, bool(template)):
+        if text is None:
+            whole = _clean("".join(run))
+            run.clear()
+            if whole:
+                out.append(whole)
+        elif not any((rank, k) in template or (layout, k) in template for k in keys):
+            run.append(text)
+    return "\n".join(out)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

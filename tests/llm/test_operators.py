@@ -320,6 +320,14 @@ def test_html_near_copies_keep_their_text():
     assert wrapper["template"] == [] and htmlextract.extract(same[0], wrapper) == expected(1)
 
 
+@pytest.mark.parametrize("frame", ["<body><div>Home News Sport</div><div>{}</div></body>", "<body><div class='w-1/2'>Home News Sport</div><div class='w-1/2'>{}</div></body>", "<table><tr><td>Home News Sport<td>{}</table>"])
+def test_html_slot_is_a_later_sibling(frame):
+    stories = [" ".join(prose(n, 40).split()) for n in range(5)]
+    pages = [frame.format(html.escape(s)) for s in stories]
+    wrapper = htmlextract.induce(pages)
+    assert [htmlextract.extract(p, wrapper) for p in pages] == stories
+
+
 @settings(deadline=None)
 @given(st.text(alphabet="<>/pbdiv \"'=!-&;lt", max_size=200))
 def test_html_never_fails(text):
