@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-A bounded sample of each host's pages is parsed, and the text nodes of its slot are keyed by their place and text: long
+Every distinct page of a host is parsed, and the text nodes of its slot are keyed by their place and text: long
 texts by the kinds of the nodes above them, short ones by their ordinals among nodes of their kind, from the
-front and from the back. Keys are counted over these pages, and over those of one layout; what
+front and from the back. Keys are counted over the distinct pages of a host, and over those of one layout; what
 nearly all of them have is the template. A page's text is its slot (its first article, else its main part, else
 the body) without template nodes and without the parts that are never content (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments). Hosts with too few pages have no template.
@@ -17,7 +17,6 @@ from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 from html import unescape
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +24,6 @@ from pyspark.sql import functions as F
 from .shared import bounded_batches, stored
 from .urlfilter import url_host
 
-#: Rows of a host that are read for its template.
-SAMPLE_PAGES = 4
 #: Distinct pages that a template needs, and the share of them that has each of its nodes.
 LEAST_PAGES, CONSTANT_SHARE = 3, 0.9
 #: Templates are dropped where they hold at most this share of the pages' text: in articles and main parts, and in bodies.
@@ -207,7 +204,7 @@ def survey(html: str) -> tuple[int, int, int, dict[int, int]]:
 def induce(pages: list[str]) -> dict | None:
     """The wrapper of same-host pages: {template: [(scope, key)]}; None without LEAST_PAGES different ones.
 
-    A scope is all pages with one rank of slot, or one layout.
+    The same as extract_pages does for whole tables; a scope is all pages with one rank of slot, or one layout.
     """
     different = list(dict.fromkeys(pages))
     if len(different) < LEAST_PAGES:
@@ -255,28 +252,46 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """One row per row of pages: id_col, url_col, text, n_chars.
 
     Null or empty html gives an empty text; pages whose url has no host (or is null) share no wrapper; repeated
-    rows are pages of their own, though equal html counts once in a host's sample; very long pages are read
+    rows are pages of their own, though equal html counts once for a host's template; very long pages are read
     whole; an empty table gives no rows; other columns are not read.
     """
     bounded_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     chosen = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", url_host(F.col("url")))
-    ranked = chosen.where("host <> '' and html <> ''").select("host", "id", F.xxhash64("id", "url").alias("h"))
-    order = Window.partitionBy("host").orderBy("h", "id")
-    picked = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_PAGES).select(F.col("h").alias("ph"), F.col("id").alias("pid")).distinct()
-    few = picked.count() <= 500_000
-    key = (F.xxhash64("id", "url") == F.col("ph")) & F.col("id").eqNullSafe(F.col("pid"))
-    sample = chosen.where("host <> '' and html <> ''").join(F.broadcast(picked) if few else picked, key, "left_semi")
-
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        wrapper = induce(group.sort_values("h").html.head(4 * SAMPLE_PAGES).tolist())
-        return pd.DataFrame({"w_host": [str(group.host.iloc[0])], "wrapper": [json.dumps(wrapper)]} if wrapper else {"w_host": [], "wrapper": []}, dtype=object)
-
-    wrappers = stored(
-        sample.select("host", F.xxhash64("id", "url").alias("h"), "html").groupBy("host").applyInPandas(learn, "w_host string, wrapper string"), "wrappers"
+
+    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("k", pa.int64()), ("size", pa.int64())]))]
+        for batch in batches:
+            rows = []
+            for html in batch.column(1).to_pylist():
+                rank, layout, chars, keys = survey(html)
+                same = blake2b(html.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                rows.append((same, rank, layout, chars, [{"k": k, "size": n} for k, n in keys.items()]))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+            made = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["h", "same", "rank", "layout", "chars", "keys"])
+
+    seen = chosen.where("host <> '' and html <> ''").select(F.xxhash64("host").alias("h"), "html").mapInArrow(
+        look, "h long, same binary, rank long, layout long, chars long, keys array<struct<k:long,size:long>>"
+    )
+    distinct = seen.dropDuplicates(["h", "same"])
+    # one row per page, scope and key, and one with a null key for the page itself
+    pieces = distinct.select("h", "rank", "layout", F.explode(F.expr("concat(array(named_struct('k', cast(null as bigint), 'size', chars)), keys)")).alias("x"))
+    nodes = pieces.select("h", "rank", F.explode(F.array("rank", "layout")).alias("scope"), "x.k", "x.size")
+    counts = stored(
+        nodes.groupBy("h", "rank", "scope", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).where(F.col("n") >= LEAST_PAGES), "page-nodes"
     )
-    size = wrappers.agg(F.sum(F.length("w_host") + F.length("wrapper"))).first()[0] or 0
-    joined = chosen.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, F.col("host") == F.col("w_host"), "left")
+    totals = counts.where("k is null").select("h", "scope", F.col("n").alias("pages"), F.col("size").alias("total"))
+    most = F.when(F.col("rank") < BODY, TEMPLATE_SHARE).otherwise(BODY_SHARE) * F.col("total")
+    whole = Window.partitionBy("h", "scope")
+    held = counts.where("k is not null").join(totals, ["h", "scope"]).where(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
+    held = held.withColumns({"wide": F.sum("size").over(whole), "strict": F.sum(F.when(F.col("n") == F.col("pages"), F.col("size"))).over(whole)})
+    # near copies of one page hold much in common, which is no template
+    template = held.where((F.col("wide") <= most) | ((F.col("n") == F.col("pages")) & (F.col("strict") <= most)))
+    wrappers = stored(template.groupBy("h").agg(F.to_json(F.sort_array(F.collect_list(F.array("scope", "k")))).alias("wrapper")), "wrappers")
+    size = wrappers.agg(F.sum(F.length("wrapper") + 8)).first()[0] or 0
+    named = chosen.withColumn("own", F.when(F.col("host") != "", F.xxhash64("host")))
+    joined = named.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, F.col("own") == F.col("h"), "left")
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str | None, dict | None] = {None: None}
@@ -285,7 +300,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 part, texts = batch.slice(at, 500), []
                 for html, w in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     if w not in opened:
-                        opened[w] = json.loads(w)
+                        opened[w] = {"template": frozenset(map(tuple, json.loads(w)))}
                     texts.append(extract(html, opened[w]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 

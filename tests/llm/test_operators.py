@@ -328,6 +328,23 @@ def test_html_slot_is_a_later_sibling(frame):
     assert [htmlextract.extract(p, wrapper) for p in pages] == stories
 
 
+def test_html_templates_rest_on_all_pages(spark):
+    """Copies and near copies that are most of a host, and two layouts, leave the other pages' template to be found."""
+    story = [" ".join(prose(n, 60).split()) for n in range(100)]
+    note = ["Subscribe to our letter today", "All pictures are under the licence"]
+    made = lambda n, k, extra="": f"<body><div class={'ab'[k]}><p>{html.escape(story[n])}</p><p>{extra}</p><p>{note[k]}</p></div></body>"
+    rows = [(n, f"http://copies.example/{n}", made(0, 0)) for n in range(60)] + [(100 + n, f"http://copies.example/o{n}", made(n, 0)) for n in range(1, 7)]
+    rows += [(200, "http://copies.example/same", made(7, 0))] * 40
+    rows += [(300 + n, f"http://near.example/{n}", made(0, 0, f"copy {n}")) for n in range(30)] + [(400 + n, f"http://near.example/o{n}", made(n, 0)) for n in range(1, 31)]
+    rows += [(500 + n, f"http://layouts.example/{n}", made(n, n % 2)) for n in range(12)]
+    got = {r["page_id"]: r["text"] for r in htmlextract.extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {i: "\n".join(re.findall("<p>([^<]+)", h)[:-1]) for i, _, h in rows}
+    for host in ("copies", "near", "layouts"):
+        own = [h for _, u, h in rows if f"{host}." in u]
+        wrapper = htmlextract.induce(own)
+        assert all(got[i] == htmlextract.extract(h, wrapper) for i, u, h in rows if f"{host}." in u)
+
+
 @settings(deadline=None)
 @given(st.text(alphabet="<>/pbdiv \"'=!-&;lt", max_size=200))
 def test_html_never_fails(text):
