@@ -3,7 +3,7 @@
 Every distinct page of a host is parsed, and the text nodes of its slot are keyed by their place and text: long
 texts by the kinds of the nodes above them, short ones by their ordinals among nodes of their kind, from the
 front and from the back. Keys are counted over the distinct pages of a host, and over those of one layout; what
-nearly all of them have is the template. A page's text is its slot (its first article, else its main part, else
+nearly all of them have is the template. A page's text is its slot (all its articles, else its main parts, else
 the body) without template nodes and without the parts that are never content (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments). Hosts with too few pages have no template.
 """
@@ -131,7 +131,7 @@ def _key(*parts: str) -> int:
 
 
 def _slots(root: Node) -> tuple[int, list[Node], int]:
-    """The rank, the first article, else main part, else the body, else all; and the layout's key."""
+    """The rank, the outermost articles, else main parts, else the body, else all; and the layout's key."""
     found: list[list[tuple[Node, list[Node]]]] = [[], [], []]
 
     def walk(n: Node, line: list[Node]) -> None:
@@ -144,7 +144,7 @@ def _slots(root: Node) -> tuple[int, list[Node], int]:
 
     walk(root, [root])
     rank = next((r for r in (ARTICLE, MAIN) if found[r]), BODY)
-    slots = found[rank][:1] or [(root, [])]
+    slots = found[rank] if rank < BODY else found[BODY][:1] or [(root, [])]
     first, line = slots[0]
     frame = [f"{n.kind}:{','.join(sorted({c.kind for c in n.children if isinstance(c, Node) and c.tag in FRAME}))}" for n in [*line, first]]
     return rank, [n for n, _ in slots], _key("layout", str(rank), *frame)

@@ -345,6 +345,17 @@ def test_html_templates_rest_on_all_pages(spark):
         assert all(got[i] == htmlextract.extract(h, wrapper) for i, u, h in rows if f"{host}." in u)
 
 
+def test_html_whole_article():
+    parts = [[" ".join(prose(10 * n + k, 15).split()) for k in range(4)] for n in range(6)]
+    two = [f"<body><article><p>{a}</p></article>" + (f"<div><article><p>{b}</p></article></div>" if n else "") + "</body>" for n, (a, b, *_) in enumerate(parts)]
+    want = ["\n".join(p[: 2 if n else 1]) for n, p in enumerate(parts)]
+    outside = [f"<body><div>Home News</div><h1>{a}</h1><p>{b}</p><div><p>{c}</p><p>{c} {d} {c} {d} {a} {b}</p></div><section>{d}</section></body>" for a, b, c, d in parts]
+    for pages, texts in ((two, want), (outside, ["\n".join([a, b, c, f"{c} {d} {c} {d} {a} {b}", d]) for a, b, c, d in parts])):
+        wrapper = htmlextract.induce(pages)
+        assert [htmlextract.extract(p, wrapper) for p in pages] == texts
+    assert htmlextract.extract(two[1]) == want[1]
+
+
 @settings(deadline=None)
 @given(st.text(alphabet="<>/pbdiv \"'=!-&;lt", max_size=200))
 def test_html_never_fails(text):
