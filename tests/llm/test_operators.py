@@ -356,6 +356,15 @@ def test_html_whole_article():
     assert htmlextract.extract(two[1]) == want[1]
 
 
+def test_html_long_lists():
+    """Constant lines behind more than 400 children are known: a long one between lists, a short one at the end."""
+    lists = [[" ".join(prose(1000 * n + k, 6).split()) for k in range(500 + 7 * n)] for n in range(4)]
+    p = "".join
+    pages = [f"<body><article>{p(f'<p>{x}</p>' for x in xs)}<p>Subscribe to our weekly letter</p>{p(f'<p>{x}</p>' for x in xs[:450:-1])}<p>CC-BY 4.0</p></article></body>" for xs in lists]
+    wrapper = htmlextract.induce(pages)
+    assert [htmlextract.extract(h, wrapper) for h in pages] == ["\n".join(xs + xs[:450:-1]) for xs in lists]
+
+
 @settings(deadline=None)
 @given(st.text(alphabet="<>/pbdiv \"'=!-&;lt", max_size=200))
 def test_html_never_fails(text):
