@@ -405,6 +405,19 @@ def sentences(spark, sf_dir):
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s")).alias("chars"))
 
 
+_WHITE = r"[\s\x0b\x{85}\p{Z}]"
+_BEFORE = r"(^|[^\p{L}\p{N}_])"  # \b before a letter; RE2's own knows ASCII only
+_INITIALS = rf"""regexp_replace(regexp_replace(regexp_replace(text, '(\p{{Nd}})\.(\p{{Nd}})', '\1<DOT>\2', 'g'), '{_BEFORE}([A-Za-z])\.', '\1\2<DOT>', 'g'), '{_BEFORE}([A-Za-z])\.', '\1\2<DOT>', 'g')"""  # twice for neighbours
+_ALL_PIECES = rf"""regexp_replace(regexp_replace({_INITIALS}, '{_BEFORE}(No|Inc|Ltd|Corp|Co|LLP|LLC|St|Mr|Ms|Dr)\.', '\1\2<DOT>', 'g'), '([.!?]){_WHITE}+', '\1' || chr(1), 'g')"""
+
+
+@query(rf"""SELECT doc_id, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM (SELECT doc_id, regexp_replace(replace(unnest(string_split({_ALL_PIECES}, chr(1))), '<DOT>', '.'), '^{_WHITE}+|{_WHITE}+$', '', 'g') AS s FROM documents) WHERE length(s) > 10 GROUP BY doc_id""")
+def sentences_all(spark, sf_dir):
+    """T11 on documents of every language, and of none; tests/test_text.py holds it against a plain splitter."""
+    s = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences("text")).alias("s"))
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s")).alias("chars"))
+
+
 @query("SELECT doc_id, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''), 1, 20), ' ') AS head, left(text, 200) AS preview, length(text) AS n FROM documents")
 def text_heads(spark, sf_dir):
     """T13, T14, T20."""

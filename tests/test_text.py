@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import text as T
 from strataloom.operators import clauses as C
 from strataloom.operators import terms as D
+from strataloom.plans.queries import ORACLES, QUERIES
 
 
 def values(spark, texts, expression):
@@ -78,6 +79,27 @@ def test_sentences(spark):
     assert values(spark, [text], T.sentences("t"))[0] == ["Pay $30,000.00 to Mr. Smith of Acme Inc. today.", "The J. Doe clause applies!"]
 
 
+def plain_sentences(text):
+    out = re.sub(r"(\d)\.(\d)", r"\1<DOT>\2", text)
+    out = re.sub(r"\b([A-Za-z])\.", r"\1<DOT>", out)
+    out = re.sub(r"\b(No|Inc|Ltd|Corp|Co|LLP|LLC|St|Mr|Ms|Dr)\.", r"\1<DOT>", out)
+    parts = [p.replace("<DOT>", ".").strip() for p in re.split(r"(?<=[.!?])\s+", out)]
+    return [p for p in parts if len(p) > 10]
+
+
+def test_sentences_of_all_languages(spark, tmp_path):
+    """Every language and none, letters that only Unicode classes know, fragments of 10 and 11 characters."""
+    texts = ["Der Preis ist 1.5 Euro i.e. viel. Größe a. M. beträgt vier. 1234567890. Ende gut!", "Il a vu étéa. Puis éNo. La\u00a0fin est là.\u2003Nous y sommes.", "¿Qué pasa? El niño b. vive. Dr. Ñandú dice aquí. 123456789. 12345678.", "It ends here. Mr. J. R. Doe came at last!", "", None]
+    rows = [(i * 10 + k, t, lang) for i, lang in enumerate(["en", "de", "fr", "es", None]) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: (len(p), sum(map(len, p))) for i, t, _ in rows if (p := plain_sentences(t or ""))}
+    got = {r["doc_id"]: (r["n"], r["chars"]) for r in QUERIES["sentences_all"](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 20
+    duckdb = pytest.importorskip("duckdb")
+    sql = ORACLES["sentences_all"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert {i: (n, c) for i, n, c in duckdb.sql(sql).fetchall()} == want
+
+
 def test_terms_and_uses(spark):
     rows = [("a", 0, '"Board Member" means a person.'), ("b", 1, "Every board member votes."), ("c", 2, '“Quorum” means half. "Board Member" shall mean others.'), ("d", 3, "the quorum of boards"), ("e", 4, "")]
     clauses = spark.createDataFrame(rows, "id string, pos long, text string")
