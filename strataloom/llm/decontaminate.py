@@ -128,8 +128,8 @@ class Block:
                 whole.setdefault((state, len(s)), set()).add(k)
         return cls(numbers, automaton, [i for i, _ in items], np.array(sorted(pairs), np.int64), min([window, *(len(s) for _, s in coded)]), whole, sorted({n for _, n in whole}))
 
-    def stream(self, words: list[bytes], window: int, hit: np.ndarray) -> set[int]:
-        """Mark hit words; return the items (by place in ids) of which a window occurs."""
+    def stream(self, words: list[bytes], window: int, hit: np.ndarray, short: np.ndarray) -> set[int]:
+        """Mark hit words, and those of short items; return the items (by place in ids) of which a window occurs."""
         n = len(words)
         coded = np.fromiter(map(self.numbers.__getitem__, words), np.int64, n)
         found: set[int] = set()
@@ -168,7 +168,7 @@ class Block:
                     while length[link[up]] >= m:
                         up = link[up]
                     if (up, m) in self.whole:
-                        hit[i - m + 1 : i + 1] = True
+                        hit[i - m + 1 : i + 1] = short[i - m + 1 : i + 1] = True
                         found |= self.whole[up, m]
         return found
 
@@ -191,20 +191,20 @@ def blocks_of(items: DataFrame, item_id: str, text_col: str, window: int, block_
 
 @dataclass(frozen=True)
 class Limits:
-    """Spans of at least span_words hit words are cut; a text hit by more than coverage goes as a whole."""
+    """Spans of at least span_words hit words, or with a whole short item, are cut; a text hit by more than coverage goes as a whole."""
 
     span_words: int = 10
     coverage: float = 0.5
 
 
-def clean_text(text: str, hit: np.ndarray, limits: Limits) -> tuple[str | None, list[tuple[int, int]]]:
+def clean_text(text: str, hit: np.ndarray, short: np.ndarray, limits: Limits) -> tuple[str | None, list[tuple[int, int]]]:
     """The text without its exceeding spans (None where it goes as a whole), and the spans in code points."""
     if not hit.any():
         return text, []
     places = [m.span() for m in _WORD.finditer(text)]
     edge = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
     runs = zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)
-    spans = [(places[a][0], places[b - 1][1]) for a, b in runs if b - a >= limits.span_words or b - a == len(places)]
+    spans = [(places[a][0], places[b - 1][1]) for a, b in runs if b - a >= limits.span_words or short[a:b].any() or b - a == len(places)]
     if hit.mean() > limits.coverage:
         return None, spans
     kept, at = [], 0
@@ -253,11 +253,11 @@ def decontaminate(
                 part, rows = batch.slice(at, 1000), []
                 for text in part.column(0).to_pylist():
                     words = words_of(text)
-                    hit, found = np.zeros(len(words), bool), set()
+                    hit, short, found = np.zeros(len(words), bool), np.zeros(len(words), bool), set()
                     for block in blocks:
-                        found |= {str(block.ids[k]) for k in block.stream(words, window, hit)}
+                        found |= {str(block.ids[k]) for k in block.stream(words, window, hit, short)}
                     names = sorted(found)
-                    clean, spans = clean_text(text, hit, limits) if with_text and text is not None else (None, [])
+                    clean, spans = clean_text(text, hit, short, limits) if with_text and text is not None else (None, [])
                     rows.append((len(words), int(hit.sum()), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), names, [{"s": s, "e": e} for s, e in spans], clean))
                 columns = list(zip(*rows, strict=True)) or [[]] * len(types)
                 made = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]

@@ -46,3 +46,15 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed.collect()} == set(kept[4])
     tokens = packed.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
     assert all(r[1] == r[2] for r in tokens)
+
+
+def test_short_items_are_cut(spark, tmp_path):
+    """An item of fewer words than a window goes from longer texts too; a part of it stays."""
+    item, half = "quartz zephyr owns nine violet lanterns", "quartz zephyr owns nine"
+    texts = {1: f"{prose(1, 80)} {item}. {prose(2, 80)}", 2: f"{prose(3, 80)} {half} {prose(4, 80)}", 3: f"{item} {prose(5, 60)}"}
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], columns)
+    spark.createDataFrame([(1, item), (2, prose(77, 60))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in P.decontamination(spark, docs, str(tmp_path)).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {i: t.replace(item, "") for i, t in texts.items()}
+    assert all(r["n_chars"] == len(r["text"]) and not brute_hits(r["text"], [(1, item)])[1] for r in got.values())
