@@ -3,7 +3,8 @@
 Two first-order character models, of random strings and of ordinary identifiers, are trained from labelled
 samples: transitions are counted per label, smoothed, and their log ratio becomes one table of numbers. A
 candidate (a long run of key characters) is a secret where the summed log ratio of its transitions says that
-the random model explains it better. Known formats are found by patterns beside it.
+the random model explains it better; else those of its parts are that do so, each a rise of the running sum up to
+its top, widened to the letters, digits and '+' around it. Known formats are found by patterns beside it.
 
 Places come from a pattern's matches and the parts between them, whose lengths add up to code points.
 """
@@ -28,6 +29,7 @@ ASSIGN_VALUE = 6  # least characters of group 2
 ALPHABET = LOWER + UPPER + "0123456789+/_=-"
 N = len(ALPHABET)
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE_CHARS = 20  # of a candidate's part as well
 #: Least log-likelihood ratio of a secret: in all, and for each transition.
 LEAST_RATIO, LEAST_MEAN = 12.0, 0.5
 #: Labelled documents whose words are the ordinary sample, and random strings made for the other.
@@ -133,9 +135,30 @@ def scan_secrets(
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     base = f"array_sort(concat({_spans(ASSIGN, 0, ASSIGN_VALUE, 2)}, {_spans(ACCESS, 1, 20)}, {_spans(HEX, 2, 24)}))"
     place = f"(instr('{ALPHABET}', substring(t, i, 1)) - 1) * {N} + instr('{ALPHABET}', substring(t, i + 1, 1))"
-    ratio = f"aggregate(sequence(c.s + 1, c.e - 1), 0D, (sum, i) -> sum + element_at(ratios, {place}))"
-    free = "not exists(base, b -> c.s < b.e and b.s < c.e)"
-    fits = f"{free} and {ratio} >= greatest({least_ratio}D, {least_mean}D * (c.e - c.s - 1))"
+    ratios = f"transform(sequence(c.s + 1, c.e - 1), i -> named_struct('i', i, 'r', element_at(ratios, {place})))"
+    enough = f"greatest({least_ratio}D, {least_mean}D * (c.e - c.s - 1))"
+    ratio = "aggregate(c.steps, 0D, (sum, x) -> sum + x.r)"
+    # signs between names are no evidence for a part, only against it
+    sign = "substring(t, x.i, 2) rlike '[/_=-]'"
+    inner = f"transform(c.steps, x -> named_struct('i', x.i, 'r', if({sign}, least(x.r, 0D), x.r)))"
+    # the running sum's rises: sum, first step, top and its step; one ends where the sum is spent or far below its top
+    part = "named_struct('a', acc.a, 'top', acc.top, 'z', acc.z)"
+    ended = f"if(acc.top >= {least_ratio}D, array_append(acc.found, {part}), acc.found)"
+    step = (
+        "case when acc.sum <= 0 then named_struct('sum', x.r, 'a', x.i, 'top', x.r, 'z', x.i, 'found', acc.found) "
+        f"when acc.sum + x.r <= 0 or acc.sum + x.r < acc.top - {least_ratio}D then named_struct('sum', 0D, 'a', 0, 'top', 0D, 'z', 0, 'found', {ended}) "
+        "else named_struct('sum', acc.sum + x.r, 'a', acc.a, 'top', greatest(acc.top, acc.sum + x.r), 'z', if(acc.sum + x.r > acc.top, x.i, acc.z), 'found', acc.found) end"
+    )
+    none = "named_struct('sum', 0D, 'a', 0, 'top', 0D, 'z', 0, 'found', cast(array() as array<struct<a:int,top:double,z:int>>))"
+    rises = f"aggregate({inner}, {none}, (acc, x) -> {step}, acc -> {ended})"
+    before = "length(regexp_extract(substring(t, c.s + 1, p.a - 1 - c.s), '[A-Za-z0-9+]*$', 0))"
+    after = "length(regexp_extract(substring(t, p.z + 2, c.e - p.z - 1), '^[A-Za-z0-9+]*', 0))"
+    widened = f"transform({rises}, p -> named_struct('s', p.a - 1 - {before}, 'k', 3, 'e', p.z + 1 + {after}, 'top', p.top))"
+    fitting = f"filter({widened}, p -> p.e - p.s >= {CANDIDATE_CHARS} and p.top >= {least_mean}D * (p.e - p.s - 1))"
+    parts = f"transform({fitting}, p -> named_struct('s', p.s, 'k', p.k, 'e', p.e))"
+    scored = f"transform({_spans(CANDIDATE, 3, 1)}, c -> named_struct('s', c.s, 'k', c.k, 'e', c.e, 'steps', {ratios}))"
+    judged = f"transform({scored}, c -> if({ratio} >= {enough}, array(named_struct('s', c.s, 'k', c.k, 'e', c.e)), {parts}))"
+    markov = f"array_distinct(filter(flatten({judged}), c -> not exists(base, b -> c.s < b.e and b.s < c.e)))"
     piece = (
         "named_struct('at', greatest(acc.at, x.e), 'out', if(x.s >= acc.at, "
         f"concat(acc.out, substring(t, acc.at + 1, x.s - acc.at), '{mask}'), acc.out))"
@@ -147,7 +170,7 @@ def scan_secrets(
     return (
         chosen.withColumn("ratios", F.split(F.lit(table), ",").cast("array<double>"))
         .withColumn("base", F.expr(base))
-        .withColumn("spans", F.expr(f"array_sort(concat(base, filter({_spans(CANDIDATE, 3, 1)}, c -> {fits})))"))
+        .withColumn("spans", F.expr(f"array_sort(concat(base, {markov}))"))
         .withColumn("redacted", F.expr(redacted))
         .select(F.col("id").alias(id_col), "base", "spans", "redacted", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
     )

@@ -190,6 +190,20 @@ def test_secret_model_held_out(spark, secret_model):
     assert len(found & set(range(100))) >= 97 and not found & set(range(100, 200))
 
 
+def test_secrets_within_longer_runs(spark, secret_model):
+    """Keys at the end, in the middle or twice in long paths, slugs and assignments; runs without keys stay."""
+    r = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choice(alphabet) for _ in range(32)) for _ in range(40)]
+    long = "/".join(["board_member", "notice-writing", "appeal", "grant"] * 12)
+    forms = ["{1}/{0}", "{1}={0}", "{1}/{0}/{1}", "{0}/{1}/{0}", "{1}"]
+    docs = [(40 * f + k, f"see {form.format(key, long)} there") for f, form in enumerate(forms) for k, key in enumerate(keys)]
+    got = {x["doc_id"]: x for x in secretscan.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string"), secret_model).collect()}
+    for f, form in enumerate(forms):
+        clean = sum(got[40 * f + k]["redacted"] == f"see {form.format('[SECRET]', long)} there" for k in range(40))
+        assert clean >= 38, (form, clean)
+
+
 # --- 5 and 6 ---------------------------------------------------------------------------------------------------
 
 
