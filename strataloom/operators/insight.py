@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import connected_components
 from .traversal import score_label
 
 
@@ -45,27 +43,11 @@ def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """A3. id, component (smallest id of the weakly connected component).
-
-    Each round takes the smallest label of the neighbourhood and of the label's own label, so long paths
-    shorten fast; labels are checkpointed each round and only a count of changes comes to the driver.
-    """
-    sc = nodes.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/strataloom-{uuid.uuid4().hex}")
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("component")).checkpoint()
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("low"))
-        step = labels.join(near.withColumnRenamed("src", "id"), "id", "left").select("id", "component", F.least("component", "low").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("component").alias("lower"))
-        new = step.join(jump, "low", "left").select("id", F.col("component").alias("old"), F.least("low", "lower").alias("component")).checkpoint()
-        changed = new.where("old <> component").count()
-        labels = new.select("id", "component")
-        if not changed:
-            break
-    return labels
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A3. id, component (smallest id of the weakly connected component); a node without edges is its own."""
+    ends = connected_components(edges.select("src", "dst"), "src", "dst")
+    joined = nodes.select("id").join(ends, F.col("id") == F.col("node"), "left")
+    return joined.select("id", F.coalesce("component", "id").alias("component"))
 
 
 def component_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -107,3 +107,57 @@ def test_insight(spark):
     assert [r["direction"] for r in I.ego_rows(e, "a").orderBy(F.desc("direction")).collect()] == ["out", "in"]
     sized, drawn = I.visuals(n, e, risks)
     assert sized.where("id = 'a'").first()["size"] == 18 and drawn.count() == 3
+
+
+def _brute_components(pairs):
+    least = {}
+
+    def find(x):
+        while least.setdefault(x, x) != x:
+            x = least[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        least[max(a, b)] = min(a, b)
+    return {x: find(x) for x in least}
+
+
+def test_connected_components(spark):
+    import random
+
+    from strataloom.operators.components import connected_components
+
+    r = random.Random(5)
+    chain = [(i, i + 1) for i in range(0, 60)]
+    star = [(5_000, 1_000 + i) for i in range(700)]  # its hub has the largest id, and most of all edges
+    other = [(r.randint(100, 400), r.randint(100, 400)) for _ in range(150)]
+    pairs = [(a, b) for a, b in [*chain, *star, *other, (7, 7)] if a != b]
+    frame = spark.createDataFrame([*pairs, (9_999, 9_999), (None, 3)], "src long, dst long")
+    got = {x["node"]: x["component"] for x in connected_components(frame, "src", "dst").collect()}
+    assert got == _brute_components(pairs)
+    assert connected_components(frame.where("false"), "src", "dst").count() == 0
+    texts = spark.createDataFrame([("b", "c"), ("a", "b")], "src string, dst string")
+    assert {x["component"] for x in connected_components(texts, "src", "dst").collect()} == {"a"}
+
+
+def test_components_that_do_not_settle_raise(spark):
+    import pytest
+
+    from strataloom.operators.components import connected_components
+
+    with pytest.raises(RuntimeError):
+        connected_components(spark.range(40).selectExpr("id as a", "id + 1 as b"), most_rounds=1)
+
+
+def test_split_join_keeps_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    from strataloom.operators.keyed import split_join
+
+    rows = spark.createDataFrame([(None, 0)] + [(1, i) for i in range(500)] + [(i, i) for i in range(2, 300)], "k long, v long")
+    values = rows.where("k <> 299").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.col("k") * 2)
+    left = {(x["k"], x["v"], x["w"]) for x in split_join(rows, values, "k", "n", 799, "left").collect()}
+    assert left == {(k, v, None if k in (None, 299) else 2 * k) for k, v in map(tuple, rows.collect())}
+    inner = split_join(rows, values, "k", "n", 799).select("k", "v")
+    assert sorted(map(tuple, inner.collect())) == sorted((k, v) for k, v in map(tuple, rows.collect()) if k not in (None, 299))
