@@ -6,16 +6,19 @@
    many pairs as it has members.
 3. Where a bucket still holds several components, its members outside the star's component are compared, in
    blocks of bounded size, with the registers of all its other members; each pair is met in its first common
-   band only. Estimates that a link could have are verified as before.
+   band only. Members with a likely partner bring their texts to the block, which verifies its likely pairs on
+   full shingle sets and puts out a spanning forest of its links: at most one row per member, never pairs.
 4. Components of the links by alternating stars.
 
 No link between classes is lost but by the bands' chance (7e-11 at the threshold). Pairs within a component
-that the star has joined are never made.
+that earlier links have joined are never verified. Rows grow with members everywhere; what grows with the square
+of a bucket's unjoined members is the comparison of registers, in numpy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from ..operators.components import connected_components
+from ..operators.keyed import split_join
 from .setsketch import FINE, M, ROWS, band_keys, estimate, fine_registers, registers, shingle_hashes, words_of
 from .shared import alone, bounded_batches, stored
 
@@ -32,8 +36,10 @@ PERCENT = 85
 MARGIN = 0.19
 #: The same for the share of equal fine registers.
 FINE_MARGIN = 0.11
-#: Members outside the star's component that are compared with a bucket's members at once.
-BLOCK = 1_000
+#: Members outside the star's component that are compared with a bucket's members at once, and their bytes.
+BLOCK, BLOCK_BYTES = 1_000, 8_000_000
+#: Members of a bucket that a block meets in one task.
+MEET = 50_000
 #: Class rows (24 bytes) up to which they are broadcast to fetch texts; beyond, that join shuffles.
 BROADCAST_CLASSES = 1_000_000
 
@@ -121,11 +127,64 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.select("x", "y", "tx", "ty").mapInArrow(judge, "x long, y long")
 
 
-def _strays(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs x, y of different components in one bucket that may be links.
+@dataclass
+class _Rows:
+    """Columns of some rows of one bucket and block, with their registers."""
+
+    cid: np.ndarray
+    comp: np.ndarray
+    stray: np.ndarray
+    pos: np.ndarray
+    n: np.ndarray
+    regs: np.ndarray
+    fine: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.cid)
+
+    def part(self, which: slice | np.ndarray) -> _Rows:
+        return _Rows(*(getattr(self, f.name)[which] for f in fields(self)))
+
+    def with_more(self, other: _Rows) -> _Rows:
+        return _Rows(*(np.concatenate((getattr(self, f.name), getattr(other, f.name))) for f in fields(self)))
+
+    def partners(self, i: int, held: _Rows, percent: int) -> np.ndarray:
+        """Places of the rows that stray i of `held` meets here first and may be linked with."""
+        new = self.comp != held.comp[i]
+        new &= ~self.stray | (self.cid > held.cid[i])
+        new &= np.minimum(self.n, held.n[i]) * 100 >= percent * np.maximum(self.n, held.n[i])
+        near = np.flatnonzero(new)
+        near = near[(self.fine[near] == held.fine[i]).mean(axis=1) >= percent / 100 - FINE_MARGIN] if len(near) else near
+        if len(near):
+            first = (self.regs[near] == held.regs[i]).reshape(len(near), -1, ROWS).all(axis=2).argmax(axis=1)
+            near = near[first == held.pos[i]]
+        if len(near):
+            near = near[estimate(held.regs[i], self.regs[near], held.n[i], self.n[near]) >= percent / 100 - MARGIN]
+        return near
+
+
+ROW = "b long, block long, role int, pos int, cid long, comp long, stray boolean"
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, _Rows, slice]]:
+    """(bucket, block), role and rows of each run of a batch that is sorted by them."""
+    names = ("b", "block", "role", "pos", "cid", "comp", "stray", "n")
+    b, block, role, pos, cid, comp, stray, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+    regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, M)
+    fine = np.frombuffer(b"".join(batch.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+    rows = _Rows(cid, comp, stray.astype(bool), pos, n, regs, fine)
+    change = np.flatnonzero((np.diff(b) != 0) | (np.diff(block) != 0) | (np.diff(role) != 0)) + 1
+    for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(rows)], strict=True):
+        if lo < hi:
+            yield (int(b[lo]), int(block[lo])), int(role[lo]), rows.part(slice(lo, hi)), slice(lo, hi)
+
+
+def _strays(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """Rows (ROW) of buckets and blocks that have a likely partner of another component there.
 
     members has b, pos, pivot, cid; labels has node, component. Each bucket's strays (outside its pivot's
-    component) are dealt into blocks, and each block meets the bucket's members as they stream by.
+    component) are dealt into blocks (role 0), and each block meets the bucket's members (role 1), in parts of MEET, as
+    they stream by.
     """
     known = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     buckets = (
@@ -134,51 +193,115 @@ def _strays(members: DataFrame, labels: DataFrame, classes: DataFrame, percent:
         .where("lo <> hi")
         .select("b", "main")
     )
-    active = known.join(buckets, "b").withColumn("stray", F.col("comp") != F.col("main"))
-    counts = active.groupBy("b").agg(F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).cast("int").alias("blocks"))
-    rows = active.join(counts, "b").join(classes.select("cid", "n", "regs", "fine"), "cid")
+    active = known.join(buckets, "b").withColumn("stray", F.col("comp") != F.col("main")).join(classes.select("cid", "n", "regs", "fine"), "cid")
+    own = F.col("stray").cast("long")
+    size = F.ceil(F.greatest(F.sum(own) / block_rows, F.sum(own * (F.col("n") * 8 + 1000)) / BLOCK_BYTES))
+    counts = active.groupBy("b").agg(size.cast("long").alias("blocks"), F.ceil(F.count(F.lit(1)) / MEET).alias("parts"))
+    rows = active.join(counts, "b")
     cols = ("pos", "cid", "comp", "stray", "n", "regs", "fine")
-    asked = rows.where("stray").select("b", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), *cols)
-    met = rows.select("b", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(1).alias("role"), *cols)
+    # a grid of blocks of strays and parts of the members; one number stands for both
+    own, part = F.pmod(F.xxhash64("cid"), F.col("blocks")), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts"))
+    asked = rows.where("stray").withColumn("at", F.explode(F.expr("sequence(0L, parts - 1)"))).select("b", (own * F.col("parts") + F.col("at")).alias("block"), F.lit(0).alias("role"), *cols)
+    met = rows.withColumn("at", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("b", (F.col("at") * F.col("parts") + part).alias("block"), F.lit(1).alias("role"), *cols)
     dealt = asked.union(met).repartition("b", "block").sortWithinPartitions("b", "block", "role", "cid")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, {}
+        group, held, likely = None, None, np.zeros(0, bool)
+        parts: list[tuple[tuple[int, int], int, _Rows]] = []
+
+        def found() -> pa.RecordBatch:
+            flat = [(np.full(len(r), g[0]), np.full(len(r), g[1]), np.full(len(r), role), r.pos, r.cid, r.comp, r.stray) for g, role, r in parts]
+            parts.clear()
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+            columns = [np.concatenate(c) for c in zip(*flat, strict=True)] if flat else [[]] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in ROW.split(", ")])
+
+        for batch in batches:
+            for this, role, rows, _ in _groups(batch):
+                if this != group:
+                    if group is not None and likely.any():
+                        parts.append((group, 0, held.part(likely)))
+                    group, held, likely = this, rows.part(slice(0, 0)), np.zeros(0, bool)
+                if role == 0:
+                    held = held.with_more(rows)
+                    likely = np.zeros(len(held), bool)
+                    continue
+                met = np.zeros(len(rows), bool)
+                for i in range(len(held)):
+                    near = rows.partners(i, held, percent)
+                    if len(near):
+                        likely[i] = met[near] = True
+                if met.any():
+                    parts.append((this, 1, rows.part(met)))
+            yield found()
+        if group is not None and likely.any():
+            parts.append((group, 0, held.part(likely)))
+        yield found()
+
+    return dealt.mapInArrow(compare, ROW)
+
+
+def _forests(flagged: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Verified links x, y between components, a spanning forest of each bucket's block.
+
+    Each likely pair of a block is verified on its full shingle sets, unless verified links of the block have joined
+    its ends already.
+    """
+    rows = flagged.join(classes.select("cid", "n", "regs", "fine"), "cid").join(texts.select("cid", "t"), "cid")
+    dealt = rows.select("b", "block", "role", "pos", "cid", "comp", "stray", "n", "regs", "fine", "t")
+    dealt = dealt.repartition("b", "block").sortWithinPartitions("b", "block", "role", "cid")
+
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, sets = None, None, []
+        above: dict[int, int] = {}  # a union-find over the block's components
+        codes, known, marks = [], np.zeros(0, np.uint64), np.zeros(0, bool)
+
+        def root(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
+
         for batch in batches:
-            cols = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(batch.schema.names) if name not in ("regs", "fine")}
-            regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, M)
-            fine = np.frombuffer(b"".join(batch.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
-            change = np.flatnonzero((np.diff(cols["b"]) != 0) | (np.diff(cols["block"]) != 0) | (np.diff(cols["role"]) != 0)) + 1
             xs, ys = [], []
-            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
-                if lo == hi:
+            for this, role, rows, place in _groups(batch):
+                own = [shingle_hashes(words_of(t)) for t in batch.column("t").slice(place.start, place.stop - place.start).to_pylist()]
+                if this != group:
+                    group, held, sets, above, codes = this, rows.part(slice(0, 0)), [], {}, []
+                if role == 0:
+                    held, codes = held.with_more(rows), []
+                    sets += own
                     continue
-                this = (cols["b"][lo], cols["block"][lo])
-                part = {k: v[lo:hi] for k, v in cols.items()} | {"regs": regs[lo:hi], "fine": fine[lo:hi]}
-                if cols["role"][lo] == 0:
-                    held = part if this != group or not held else {k: np.concatenate((held[k], part[k])) for k in part}
-                    group = this
+                if not sets:
                     continue
-                for i in range(len(held["cid"])):
-                    new = part["comp"] != held["comp"][i]
-                    new &= ~part["stray"].astype(bool) | (part["cid"] > held["cid"][i])
-                    new &= np.minimum(part["n"], held["n"][i]) * 100 >= percent * np.maximum(part["n"], held["n"][i])
-                    near = np.flatnonzero(new)
-                    near = near[(part["fine"][near] == held["fine"][i]).mean(axis=1) >= percent / 100 - FINE_MARGIN]
-                    if not len(near):
-                        continue
-                    first = (part["regs"][near] == held["regs"][i]).reshape(len(near), -1, ROWS).all(axis=2).argmax(axis=1)
-                    near = near[first == held["pos"][i]]
-                    if len(near):
-                        near = near[estimate(held["regs"][i], part["regs"][near], held["n"][i], part["n"][near]) >= percent / 100 - MARGIN]
-                        xs += [held["cid"][i]] * len(near)
-                        ys += part["cid"][near].tolist()
+                if not codes:
+                    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                    codes = np.split(flat, np.cumsum([len(s) for s in sets])[:-1])
+                    marks = np.zeros(len(known) + 1, bool)
+                likely: dict[int, list[int]] = {}
+                for i in range(len(held)):
+                    for k in rows.partners(i, held, percent).tolist():
+                        likely.setdefault(k, []).append(i)
+                for k, some in likely.items():
+                    here = np.searchsorted(known, own[k])
+                    here = here[known[np.minimum(here, len(known) - 1)] == own[k]]
+                    marks[here] = True
+                    for i in some:
+                        a, b = root(int(held.comp[i])), root(int(rows.comp[k]))
+                        if a == b:
+                            continue
+                        common = int(np.count_nonzero(marks[codes[i]]))
+                        if 100 * common >= percent * (len(own[k]) + len(sets[i]) - common):
+                            above[max(a, b)] = min(a, b)
+                            xs.append(int(held.cid[i]))
+                            ys.append(int(rows.cid[k]))
+                    marks[here] = False
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
-    return dealt.mapInArrow(compare, "x long, y long")
+    return dealt.mapInArrow(link, "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block_rows: int = BLOCK) -> DataFrame:
     """One row per row of docs: id_col (as long), n_shingles, component_id, kept, text_hash.
 
     Two texts are linked where 100 * |common shingles| >= percent * |all shingles|; component_id is the
@@ -189,15 +312,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     bounded_batches(docs.sparkSession)
     sk = stored(sketches(docs, id_col, text_col), "sketches")
-    reps = sk.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
-    r = reps.select(F.col("key").alias("k"), "rep")
-    chosen = sk.join(r, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("rep"))).drop("k").dropDuplicates(["key"])
+    reps = stored(sk.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times")), "copies")
+    total = reps.agg(F.sum("times")).first()[0] or 0
+    # a group of copies may hold much of all rows: its key is met by broadcast
+    chosen = split_join(sk, reps, "key", "times", total).where(F.col("id").eqNullSafe(F.col("rep"))).dropDuplicates(["key"])
     classes = stored(chosen.select(F.monotonically_increasing_id().alias("cid"), "key", "rep", "th", "n", "bands", "regs"), "classes")
+    n_classes = classes.count()
 
     banded = classes.select("cid", "rep", F.posexplode("bands").alias("pos", "b"))
     # the smallest id of a group is its likeliest original, to which most of its members are linked
     buckets = banded.groupBy("b").agg(F.min(F.struct("rep", "cid")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(banded.drop("rep").join(buckets.select("b", F.col("least.cid").alias("pivot"), F.col("least.rep").alias("pivot_rep")), "b"), "members")
+    pivots = buckets.select("b", F.col("least.cid").alias("pivot"), F.col("least.rep").alias("pivot_rep"), "size")
+    members = stored(split_join(banded.drop("rep"), pivots, "b", "size", n_classes * (M // ROWS)), "members")
 
     met = members.select("cid").distinct().join(classes.select("cid", "rep", F.col("th").alias("h")), "cid")
     met = stored(met, "candidates")
@@ -214,28 +340,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = first.select(F.col("p.pivot").alias("x"), F.col("cid").alias("y"))
     links = stored(_verified(_likely(star, known, percent), texts, percent), "links")
     labels = connected_components(links, "x", "y")
-    more = stored(_verified(_strays(members, labels, known, percent).distinct(), texts, percent), "links")
+    flagged = stored(_strays(members, labels, known, percent, block_rows), "strays")
+    more = stored(_forests(flagged, known, texts, percent).distinct(), "links")
     if more.isEmpty():
         final = labels
     else:
         final = connected_components(links.union(more), "x", "y")
-    grouped = classes.select("cid", "key", "rep").join(final.withColumnRenamed("node", "cid"), "cid")
-    least = grouped.groupBy("component").agg(F.min("rep").alias("least"))
-    joined = grouped.join(least, "component").select(F.col("key").alias("k2"), "least")
-    owner = classes.select(F.col("key").alias("k1"), "rep").join(joined, F.col("k1") == F.col("k2"), "left").select(
-        "k1", F.when(F.col("k2").isNotNull(), F.col("least")).otherwise(F.col("rep")).alias("component")
-    )
-    return (
-        sk.select("id", "key", "n", "th")
-        .join(owner, F.col("key") == F.col("k1"), "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("k1").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"),
-            F.col("th").alias("text_hash"),
-        )
-        .select(id_col, "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col(id_col)).alias("kept"), "text_hash")
-    )
+    grouped = classes.select("cid", "key", "rep").join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("c", F.coalesce("component", "cid"))
+    least = grouped.groupBy("c").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("size"))
+    owner = split_join(grouped.select("key", "c"), least, "c", "size", n_classes).select("key", F.col("least").alias("component"))
+    owner = stored(owner.join(reps.select(F.col("key").alias("k"), "times"), F.col("key") == F.col("k")).drop("k"), "owners")
+    out = split_join(sk.select("id", "key", "n", "th"), owner, "key", "times", total, "left")
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("key").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"),
+        F.col("th").alias("text_hash"),
+    ).select(id_col, "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col(id_col)).alias("kept"), "text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

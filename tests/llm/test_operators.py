@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from strataloom.llm import decontaminate as D
 from strataloom.llm import fasttok, htmlextract, lmscore, neardedup, packing, repetition, secretscan, suffixdedup, suffixmerge, tokenbin, urlfilter
-from strataloom.llm.components import connected_components
 
 from .conftest import prose
 
@@ -476,21 +475,23 @@ def test_near_duplicates_of_a_large_group(spark):
     assert rows_of(neardedup.near_duplicates(df).drop("text_hash")) == brute_components(rows)
 
 
-def test_components_random(spark):
-    r = random.Random(6)
-    edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
-    got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    parent = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_in_blocks(spark, monkeypatch, percent):
+    """Chains of small changes, and groups whose pairs lie about the threshold, in blocks of 7 strays."""
+    r = random.Random(40 + percent)
+    rows = []
+    for g in range(3):
+        words = prose(60 + g, 130).split(" ")
+        for _ in range(40):  # a chain: the last one is far from the first
+            words = [f"n{r.randint(0, 99)}" if r.random() < 0.012 else w for w in words]
+            rows.append((len(rows), " ".join(words)))
+        for _ in range(25):  # about the threshold from each other
+            rows.append((len(rows), " ".join(f"m{r.randint(0, 999)}" if r.random() < 0.017 else w for w in words)))
+    r.shuffle(rows)
+    monkeypatch.setattr(neardedup, "MEET", 30)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardedup.near_duplicates(df, percent=percent, block_rows=7).drop("text_hash")
+    assert rows_of(got) == brute_components(rows, percent)
 
 
 # --- 10 --------------------------------------------------------------------------------------------------------
