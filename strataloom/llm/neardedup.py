@@ -81,14 +81,18 @@ def _fine(texts: DataFrame) -> DataFrame:
     return texts.select("cid", "t").mapInArrow(sketch, "cid long, fine binary")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _with_ends(pairs: DataFrame, values: DataFrame, total: int) -> DataFrame:
+    """Pairs x, y with the columns of both ends' values (by cid), named with x and y behind; an x may have many pairs."""
+    names = [c for c in values.columns if c != "cid"]
+    times = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("times"))
+    own = values.join(times, F.col("cid") == F.col("x")).select("x", "times", *[F.col(c).alias(f"{c}x") for c in names])
+    met = pairs.join(values.select(F.col("cid").alias("y"), *[F.col(c).alias(f"{c}y") for c in names]), "y")
+    return split_join(met, own, "x", "times", total)
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int, total: int) -> DataFrame:
     """The pairs x, y whose estimates lie within the margins of the threshold; classes has cid, n, regs, fine."""
-    regs = classes.select("cid", "n", "regs", "fine")
-    rows = (
-        pairs.join(regs.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("regs").alias("ry"), F.col("fine").alias("fy")), "y")
-        .join(regs.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("regs").alias("rx"), F.col("fine").alias("fx")), "x")
-        .select("x", "y", "nx", "ny", "rx", "ry", "fx", "fy")
-    )
+    rows = _with_ends(pairs, classes.select("cid", "n", "regs", "fine"), total).select("x", "y", "nx", "ny", "regsx", "regsy", "finex", "finey")
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,18 +109,16 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(judge, "x long, y long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, total: int) -> DataFrame:
     """The pairs x, y whose shingle sets are similar enough."""
-    rows = pairs.join(texts.select(F.col("cid").alias("y"), F.col("t").alias("ty")), "y").join(
-        texts.select(F.col("cid").alias("x"), F.col("t").alias("tx")), "x"
-    )
+    rows = _with_ends(pairs, texts.select("cid", "t"), total).sortWithinPartitions("x")
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.zeros(0, np.uint64)
         for batch in batches:
             kept = []
             for i, (x, tx, ty) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True)):
-                if x != last:  # the join leaves rows of one x side by side
+                if x != last:
                     last, held = x, shingle_hashes(words_of(tx))
                 other = shingle_hashes(words_of(ty))
                 common = len(np.intersect1d(held, other, assume_unique=True))
@@ -338,7 +340,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # each class meets one pivot only, that with the smallest id; what other pivots could link is left to the strays
     first = members.where("cid <> pivot").groupBy("cid").agg(F.min(F.struct("pivot_rep", "pivot")).alias("p"))
     star = first.select(F.col("p.pivot").alias("x"), F.col("cid").alias("y"))
-    links = stored(_verified(_likely(star, known, percent), texts, percent), "links")
+    star = stored(star, "stars")
+    n_stars = star.count()
+    links = stored(_verified(_likely(star, known, percent, n_stars), texts, percent, n_stars), "links")
     labels = connected_components(links, "x", "y")
     flagged = stored(_strays(members, labels, known, percent, block_rows), "strays")
     more = stored(_forests(flagged, known, texts, percent).distinct(), "links")
