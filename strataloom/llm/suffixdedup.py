@@ -16,7 +16,10 @@ them together. About one position in 16 is an anchor.
    each gets the smallest document id that has it.
 4. These go back to the blocks, which mark what an earlier document has.
 
-A passage that very many documents share is one suffix per block, however many documents have it.
+A passage that very many documents share is one suffix per block, however many documents have it. A 20-byte
+string that occurs HOT times or more (a rule, a run of blanks) would be one group with all of its contexts, so its
+suffixes are dealt by further bytes: windows that reach 15 bytes beyond it by those bytes, all others by the 15
+bytes before it, which they hold whole.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, fresh_path, stored
+from .shared import bounded_batches, fresh_path, stored, until_end
 from .suffixmerge import front_code, front_decode, merge_runs
 
 LENGTH = 50
@@ -43,8 +46,11 @@ REACH = LENGTH - GRAM  # bytes of a window before its anchor, at most
 BLOCK_BYTES = 16_000_000
 #: Window starts that are hashed at once.
 SEGMENT = 1 << 20
-#: Hash buckets and key ranges: one for each block, up to this many.
+#: Key ranges, and partitions of any exchange, at most. Beyond this many blocks each range is merged in several parts,
+#: one after another, so what a task holds does not grow with the data.
 MOST_RANGES = 16_384
+#: Occurrences from which a 20-byte string's suffixes are dealt by SIDE further bytes.
+HOT, SIDE = 4_096, 15
 #: Suffixes in the sample that parts the key ranges.
 SAMPLE = 10_000
 #: Rows of a range that are resolved at once (groups are never parted).
@@ -143,6 +149,22 @@ class Block:
 ROW = LENGTH + REACH + 3
 
 
+@dataclass
+class Shared:
+    """Hashes that several documents share, in order, and which of them are hot."""
+
+    keys: np.ndarray
+    hot: np.ndarray
+
+    @classmethod
+    def read(cls, parts: list[dict]) -> Shared:
+        keys = [unpack_sorted(p["keys"]) for p in parts]
+        hot = [np.unpackbits(np.frombuffer(p["hot"], np.uint8), count=len(k)).astype(bool) for p, k in zip(parts, keys, strict=True)]
+        keys, hot = np.concatenate(keys), np.concatenate(hot)
+        order = np.argsort(keys)
+        return cls(keys[order], hot[order])
+
+
 def suffix_rows(block: Block, anchors: Anchors) -> np.ndarray:
     """One row per anchor; bytes outside its windows are 0."""
     begins = anchors.at + anchors.low
@@ -157,17 +179,48 @@ def suffix_rows(block: Block, anchors: Anchors) -> np.ndarray:
     return rows
 
 
-def shared_suffixes(block: Block, shared: np.ndarray) -> tuple[Anchors, np.ndarray, np.ndarray]:
-    """The anchors whose hash is shared; their distinct suffix rows in order; each anchor's row."""
+def shared_suffixes(block: Block, shared: Shared) -> tuple[Anchors, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors whose hash is shared; their distinct suffix rows in order; each anchor's row; which rows are hot."""
     found = find_anchors(block.data, block.sizes)
     key = found.hash >> _U(8)
-    place = np.minimum(np.searchsorted(shared, key), max(0, len(shared) - 1))
-    chosen = np.flatnonzero(shared[place] == key) if len(shared) else np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(shared.keys, key), max(0, len(shared.keys) - 1))
+    chosen = np.flatnonzero(shared.keys[place] == key) if len(shared.keys) else np.zeros(0, np.int64)
     found = Anchors(*(getattr(found, f)[chosen] for f in ("at", "low", "high", "hash", "doc")))
     parts = [suffix_rows(block, Anchors(*(getattr(found, f)[i : i + 50_000] for f in ("at", "low", "high", "hash", "doc")))) for i in range(0, len(chosen), 50_000)]
     rows = np.concatenate(parts) if parts else np.zeros((0, ROW), np.uint8)
     distinct, number = np.unique(rows.view(f"S{ROW}").reshape(-1), return_inverse=True)
-    return found, distinct.view(np.uint8).reshape(-1, ROW) if len(distinct) else rows, number
+    hot = np.zeros(len(distinct), bool)
+    if len(chosen):
+        hot[number] = shared.hot[place[chosen]]
+    return found, distinct.view(np.uint8).reshape(-1, ROW) if len(distinct) else rows, number, hot
+
+
+def parted(rows: np.ndarray, hot: np.ndarray, parts: int, hot_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with their places and parts: hot ones are dealt by their further bytes, to the right and to the left."""
+    plain = np.flatnonzero(~hot)
+    sub = (_mixed(rows[plain, :GRAM]) % _U(parts)).astype(np.int64) if parts > 1 else np.zeros(len(plain), np.int64)
+    out = [(rows[plain], plain, sub)]
+    few = np.flatnonzero(hot)
+    for side, columns in enumerate((slice(GRAM, GRAM + SIDE), slice(LENGTH + REACH - SIDE, LENGTH + REACH))):
+        these = rows[few].copy()
+        if side == 0:  # windows that start less than SIDE + 1 bytes before the anchor hold SIDE bytes behind its string
+            these[:, -3] = np.maximum(these[:, -3], REACH + 1 - SIDE)
+        else:
+            these[:, -2] = np.minimum(these[:, -2], REACH - SIDE)
+        good = these[:, -3] <= these[:, -2]
+        these = these[good]
+        dealt = _mixed(np.concatenate((these[:, :GRAM], these[:, columns]), axis=1)) % _U(hot_parts)
+        out.append((these, few[good], parts + 2 * dealt.astype(np.int64) + side))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _mixed(bytes_of: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row."""
+    h = np.zeros(len(bytes_of), _U)
+    for j in range(bytes_of.shape[1]):
+        h = (h ^ bytes_of[:, j]) * _U(_MUL)
+        h ^= h >> _U(32)
+    return h
 
 
 def resolve(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -201,6 +254,16 @@ def resolve(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
     return out
 
 
+def _resolved(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """As resolve; of a large group, rows that many blocks have alike are resolved once."""
+    if len(rows) <= RESOLVE_ROWS:
+        return resolve(rows, least)
+    _, first, number = np.unique(np.ascontiguousarray(rows).view(f"V{ROW}").reshape(-1), return_index=True, return_inverse=True)
+    low = np.full(len(first), _NO_ID, np.int64)
+    np.minimum.at(low, number, least)
+    return resolve(rows[first], low)[number]
+
+
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
 
@@ -226,18 +289,22 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
         if ids:
             yield close()
 
-    spark, name = docs.sparkSession, f"suffix_blocks_{uuid.uuid4().hex}"
+    spark, name, path = docs.sparkSession, f"suffix_blocks_{uuid.uuid4().hex}", fresh_path(docs.sparkSession, "suffix-blocks")
     made = chosen.mapInArrow(read, "block long, ids array<long>, sizes array<long>, data binary")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made.write.option("path", fresh_path(spark, "suffix-blocks")).option("compression", "uncompressed").bucketBy(buckets, "block").saveAsTable(name)
-    return spark.table(name)
+    made.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "block").saveAsTable(name)
+    blocks = spark.table(name)
+    blocks.schema  # resolved: the name can go, the files stay
+    spark.sql(f"DROP TABLE {name}")
+    until_end(spark, path)
+    return blocks
 
 
 def _batch(types: list, columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, with_text: bool = False, hot_count: int = HOT) -> DataFrame:
     """One row per row of docs: id_col (as long), n_bytes, n_removed, n_spans, kept_sha256, kept (binary or null).
 
     A byte is removed where it lies in a 50-byte string of its own document that also starts in a document
@@ -248,11 +315,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(docs.sparkSession)
     blocks = _blocks(docs, id_col, text_col, block_bytes)
     n_blocks = max(1, blocks.count())
-    ranges = min(MOST_RANGES, max(8, n_blocks))
-    shift = _U(64 - (ranges - 1).bit_length())  # hash buckets: the next power of two
+    ranges = min(MOST_RANGES, max(64, 2 * n_blocks))
+    parts, hot_parts = -(-2 * n_blocks // MOST_RANGES), max(64, n_blocks)
+    buckets = 1 << (max(64, 4 * n_blocks) - 1).bit_length()
+    shift = _U(65 - buckets.bit_length())
+    spread = min(MOST_RANGES, buckets)
     wanted = max(1, SAMPLE // n_blocks)
 
     def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for k in range(batch.num_rows):
                 number = batch.column(0)[k].as_py()
@@ -262,64 +335,65 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 key, doc = found.hash[order] >> _U(8), found.doc[order]
                 new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
                 starts = np.flatnonzero(new)
-                lasts = np.concatenate((starts[1:], [len(key)])) - 1 if len(starts) else starts
-                several = block.ids[doc[starts]] != block.ids[doc[lasts]] if len(starts) else np.zeros(0, bool)
+                ids = block.ids[doc]
+                several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts) if len(starts) else np.zeros(0, bool)
+                times = np.minimum(np.diff(starts, append=len(key)), 255).astype(np.uint8)
                 key = key[starts]
                 bucket = (key >> (shift - _U(8))).astype(np.int64) if len(key) else np.zeros(0, np.int64)
                 cuts = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0, [True]))) if len(key) else np.zeros(0, np.int64)
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-                    for c, v in zip(out, (int(bucket[a]), number, pack_sorted(key[a:b]), np.packbits(several[a:b]).tobytes()), strict=True):
+                    for c, v in zip(out, (int(bucket[a]), number, pack_sorted(key[a:b]), np.packbits(several[a:b]).tobytes(), press(times[a:b].tobytes())), strict=True):
                         c.append(v)
                 if len(found.at):
                     picks = np.random.default_rng(number & 0xFFFFFFFF).integers(0, len(found.at), wanted)
                     grams = b"".join(block.data[p : p + GRAM].tobytes() for p in found.at[picks].tolist())
-                    for c, v in zip(out, (-1, number, grams, b""), strict=True):
+                    for c, v in zip(out, (-1, number, grams, b"", b""), strict=True):
                         c.append(v)
-                yield _batch([pa.int64(), pa.int64(), pa.binary(), pa.binary()], out, ["bucket", "block", "keys", "several"])
+                yield _batch([pa.int64(), pa.int64(), *[pa.binary()] * 3], out, ["bucket", "block", "keys", "several", "times"])
 
-    sent = stored(blocks.select("block", "ids", "sizes", "data").mapInArrow(hashes, "bucket long, block long, keys binary, several binary"), "suffix-hashes")
+    sent = stored(blocks.select("block", "ids", "sizes", "data").mapInArrow(hashes, "bucket long, block long, keys binary, several binary, times binary"), "suffix-hashes")
     sampled = sent.where("bucket < 0").where(F.pmod(F.xxhash64("block"), F.lit(max(1, n_blocks // SAMPLE))) == 0).select("keys").collect()
     grams = sorted(k[i : i + GRAM] for (k,) in sampled for i in range(0, len(k), GRAM))
     splitters = [bytes(grams[len(grams) * i // ranges]) for i in range(1, ranges)] if grams else []
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        import zstandard
+
+        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         now = None
 
         def answer() -> pa.RecordBatch:
-            keys = np.concatenate([k for _, k, _ in held])
-            marks = np.concatenate([s for _, _, s in held])
+            keys, marks, times = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
             order = np.argsort(keys, kind="stable")
-            keys, marks = keys[order], marks[order]
-            same = keys[1:] == keys[:-1]
-            many = marks.copy()
-            many[1:] |= same
-            many[:-1] |= same
-            good = np.unique(keys[many])
-            out: list[list] = [[], []]
-            for number, k, _ in held:
+            keys, marks, times = keys[order], marks[order], times[order]
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            many = np.logical_or.reduceat(marks, starts) | (np.diff(starts, append=len(keys)) > 1)
+            good, hot = keys[starts][many], (np.add.reduceat(times, starts) >= hot_count)[many]
+            out: list[list] = [[], [], []]
+            for number, k, _, _ in held:
                 mine = k[np.isin(k, good, assume_unique=True)]
                 if len(mine):
-                    out[0].append(number)
-                    out[1].append(pack_sorted(mine))
-            return _batch([pa.int64(), pa.binary()], out, ["b", "keys"])
+                    for c, v in zip(out, (number, pack_sorted(mine), np.packbits(hot[np.searchsorted(good, mine)]).tobytes()), strict=True):
+                        c.append(v)
+            return _batch([pa.int64(), pa.binary(), pa.binary()], out, ["b", "keys", "hot"])
 
         for batch in batches:
-            for bucket, number, keys, several in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, number, keys, several, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now and held:
                     yield answer()
                     held = []
                 now = bucket
                 k = unpack_sorted(keys)
-                held.append((number, k, np.unpackbits(np.frombuffer(several, np.uint8), count=len(k)).astype(bool)))
+                each = np.frombuffer(zstandard.ZstdDecompressor().decompress(times), np.uint8).astype(np.int64)
+                held.append((number, k, np.unpackbits(np.frombuffer(several, np.uint8), count=len(k)).astype(bool), each))
         if held:
             yield answer()
 
-    dealt = sent.where("bucket >= 0").repartition(ranges, "bucket").sortWithinPartitions("bucket", "block")
-    lists = dealt.mapInArrow(shared, "b long, keys binary").groupBy("b").agg(F.sort_array(F.collect_list("keys")).alias("keys"))
+    dealt = sent.where("bucket >= 0").repartition(spread, "bucket").sortWithinPartitions("bucket", "block")
+    lists = dealt.mapInArrow(shared, "b long, keys binary, hot binary").groupBy("b").agg(F.sort_array(F.collect_list(F.struct("keys", "hot"))).alias("keys"))
     lists = stored(lists, "suffix-shared")
-    pieces = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("run", pa.binary())])
+    pieces = pa.schema([("range", pa.int32()), ("part", pa.int64()), ("block", pa.int64()), ("run", pa.binary())])
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -329,38 +403,44 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for k in range(batch.num_rows):
                 number = batch.column(0)[k].as_py()
                 block = Block.read(*(batch.column(c)[k].as_py() for c in (1, 2, 3)))
-                keys = np.sort(np.concatenate([unpack_sorted(x) for x in batch.column(4)[k].as_py()]))
-                found, rows, which = shared_suffixes(block, keys)
+                found, rows, which, hot = shared_suffixes(block, Shared.read(batch.column(4)[k].as_py()))
                 ids = block.ids[found.doc]
                 least, most = np.full(len(rows), _NO_ID, np.int64), np.full(len(rows), -(1 << 63), np.int64)
                 np.minimum.at(least, which, ids)
                 np.maximum.at(most, which, ids)
                 heads = rows[:, :GRAM].copy().view(f"V{GRAM}").reshape(-1)
-                cuts = [0, *_places(heads, splitters), len(rows)]
-                for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                range_of = np.searchsorted(_places(heads, splitters), np.arange(len(rows)), side="right")
+                rows, place, part = parted(rows, hot, parts, hot_parts)
+                order = np.lexsort((place, part, range_of[place]))
+                rows, place, part = rows[order], place[order], part[order]
+                here = range_of[place]
+                cuts = np.flatnonzero(np.concatenate(([True], (np.diff(here) != 0) | (np.diff(part) != 0), [True]))) if len(rows) else []
+                for a, b in zip(cuts, cuts[1:], strict=False):
                     for lo in range(a, b, 100_000):
-                        hi = min(b, lo + 100_000)
-                        prefixes, rests = front_code([x.tobytes() for x in rows[lo:hi, :LENGTH]])
-                        run = press(b"".join([prefixes, *rests, rows[lo:hi, LENGTH : ROW - 1].tobytes(), least[lo:hi].tobytes(), most[lo:hi].tobytes()]))
-                        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((r, number, lo, (hi - lo).to_bytes(4, "little") + run), pieces, strict=True)], schema=pieces)
+                        at = slice(lo, min(b, lo + 100_000))
+                        prefixes, rests = front_code([x.tobytes() for x in rows[at, :LENGTH]])
+                        steps = np.diff(place[at], prepend=0).astype("<i4")
+                        run = press(b"".join([prefixes, *rests, rows[at, LENGTH : ROW - 1].tobytes(), least[place[at]].tobytes(), most[place[at]].tobytes(), steps.tobytes()]))
+                        row = (int(here[lo]), int(part[lo]), number, len(prefixes).to_bytes(4, "little") + run)
+                        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, pieces, strict=True)], schema=pieces)
 
     with_lists = blocks.join(lists, F.col("block") == F.col("b")).select("block", "ids", "sizes", "data", "keys")
-    sorted_runs = with_lists.mapInArrow(runs, "range int, block long, first long, run binary")
+    sorted_runs = with_lists.mapInArrow(runs, "range int, part long, block long, run binary")
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, bytes]] = []
         now = None
         for batch in batches:
-            for r, number, first, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r != now and held:
+            for r, part, number, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (r, part) != now and held:
                     yield from _merged(held)
                     held = []
-                now = r
-                held.append((number, first, run))
+                now = (r, part)
+                held.append((number, run))
         if held:
             yield from _merged(held)
 
-    met = sorted_runs.repartition(ranges, "range").sortWithinPartitions("range", "block", "first")
+    met = sorted_runs.repartition(spread, "range", "part").sortWithinPartitions("range", "part", "block")
     verdicts = stored(met.mapInArrow(merge, "b long, marks binary").groupBy("b").agg(F.sort_array(F.collect_list("marks")).alias("marks")), "suffix-verdicts")
     told = lists.withColumnRenamed("b", "lb").join(verdicts, F.col("lb") == F.col("b")).select("b", "keys", "marks")
 
@@ -370,8 +450,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 block = Block.read(*(batch.column(c)[k].as_py() for c in (1, 2, 3)))
                 gone = np.zeros(0, bool)
                 if batch.column(4)[k].is_valid:
-                    keys = np.sort(np.concatenate([unpack_sorted(x) for x in batch.column(4)[k].as_py()]))
-                    gone = _covered(block, keys, batch.column(5)[k].as_py())
+                    gone = _covered(block, Shared.read(batch.column(4)[k].as_py()), batch.column(5)[k].as_py())
                 ids = batch.column(1)[k].values
                 yield from _judged(block, gone, ids, with_text)
 
@@ -398,12 +477,12 @@ def _places(heads: np.ndarray, splitters: list[bytes]) -> list[int]:
 MARK = np.dtype([("row", "<i4"), ("low", "i1"), ("high", "i1"), ("least", "<i8")])
 
 
-def _merged(held: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+def _merged(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     """Merge a range's runs and send each block the smallest ids of its rows' windows."""
     import zstandard
 
     runs, rows, least, most, owner, number = [], [], [], [], [], []
-    for block, first, content in held:
+    for block, content in held:
         n = int.from_bytes(content[:4], "little")
         data = zstandard.ZstdDecompressor().decompress(content[4:])
         prefixes = data[:n]
@@ -413,13 +492,14 @@ def _merged(held: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         rest = np.frombuffer(data[cuts[-1] : cuts[-1] + n * (REACH + 2)], np.uint8).reshape(n, REACH + 2)
         whole = np.empty((n, ROW), np.uint8)
         whole[:, :LENGTH] = np.frombuffer(b"".join(suffixes), np.uint8).reshape(n, LENGTH)
-        whole[:, LENGTH : ROW - 1] = rest
+        whole[:, LENGTH : ROW - 1], whole[:, -1] = rest, 1
         rows.append(whole)
-        tail = np.frombuffer(data[cuts[-1] + n * (REACH + 2) :], "<i8")
-        least.append(tail[:n])
-        most.append(tail[n:])
+        tail = cuts[-1] + n * (REACH + 2)
+        ids = np.frombuffer(data[tail : tail + 16 * n], "<i8")
+        least.append(ids[:n])
+        most.append(ids[n:])
         owner += [block] * n
-        number.append(np.arange(first, first + n))
+        number.append(np.cumsum(np.frombuffer(data[tail + 16 * n :], "<i4")))
     offsets = [0, *accumulate(len(r) for r in rows)]
     rows, least, most = np.concatenate(rows), np.concatenate(least), np.concatenate(most)
     number, owner = np.concatenate(number), np.array(owner, np.int64)
@@ -434,7 +514,7 @@ def _merged(held: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         k = np.searchsorted(starts, at + RESOLVE_ROWS)
         end = int(starts[k]) if k < len(starts) else len(order)
         chosen = order[at:end]
-        mins = resolve(rows[chosen], least[chosen])
+        mins = _resolved(rows[chosen], least[chosen])
         change = np.concatenate((np.ones((len(chosen), 1), bool), mins[:, 1:] != mins[:, :-1]), axis=1)
         line, low = np.nonzero(change)
         high = np.concatenate((low[1:], [0])) - 1
@@ -452,10 +532,10 @@ def _merged(held: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
     yield _batch([pa.int64(), pa.binary()], [[int(who[a]) for a in cuts[:-1]], [marks[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]], ["b", "marks"])
 
 
-def _covered(block: Block, keys: np.ndarray, marks: list[bytes]) -> np.ndarray:
+def _covered(block: Block, shared: Shared, marks: list[bytes] | None) -> np.ndarray:
     """Which of the block's bytes an earlier document has."""
-    found, _, which = shared_suffixes(block, keys)
-    told = np.frombuffer(b"".join(marks), MARK)
+    found, _, which, _ = shared_suffixes(block, shared)
+    told = np.frombuffer(b"".join(marks or []), MARK)
     told = told[np.argsort(told["row"], kind="stable")]
     first, last = np.searchsorted(told["row"], which, side="left"), np.searchsorted(told["row"], which, side="right")
     anchor = np.repeat(np.arange(len(which)), last - first)

@@ -95,6 +95,21 @@ def test_suffix_dedup_random(spark):
     assert rows_of(suffixdedup.remove_repeats(df, block_bytes=1_500).drop("kept")) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("hot_count", [2, 20, 10_000])
+def test_suffix_dedup_of_common_strings(spark, hot_count, monkeypatch):
+    """Repeated ids between others, and strings (a rule, blanks) that stand in very many contexts."""
+    r = random.Random(19)
+    passage, rule = prose(70, 14)[:84], "=" * 24 + " " * 30
+    rows = [(5, passage), (7, passage), (5, passage), (None, passage), (7, "x" + passage)]
+    parts = [prose(80 + k, 6)[: r.randint(8, 40)] for k in range(12)]
+    rows += [(100 + i, "".join(r.choice(parts) + r.choice((rule, rule[:30], rule[20:], "")) for _ in range(r.randint(1, 8)))) for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    if hot_count == 20:
+        monkeypatch.setattr(suffixdedup, "MOST_RANGES", 4)  # ranges that are merged in parts
+    assert rows_of(suffixdedup.remove_repeats(df, block_bytes=900, hot_count=hot_count).drop("kept")) == brute_repeats(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("suffix_blocks")]
+
+
 @settings(deadline=None)
 @given(st.lists(st.lists(st.binary(min_size=4, max_size=4).map(lambda b: bytes(c % 3 for c in b)), max_size=20), max_size=6))
 def test_loser_tree(runs):
