@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -147,9 +148,12 @@ def test_decontamination(spark, messy, messy_rows, empty):
     items = [(1, t[23][50:400]), (2, "ONE-two"), (10, t[20][:120]), (11, t[20][60:200]), (3, ""), (4, None), (5, "!!"), (6, "grant grant2 zzz"), (7, "word " * 15)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = Counter((i, *brute_hits(x, items)) for i, x in messy_rows)
-    for size in (5, 10_000):
-        got = D.decontaminate(messy, bench, block_words=size)
+    for size, pass_bytes in ((5, 400), (12, 1 << 20), (10_000, 1 << 20)):  # many blocks in many passes, many blocks, one
+        got = D.decontaminate(messy, bench, block_words=size, pass_bytes=pass_bytes, carry=("kept",))
         assert rows_of(got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == want
+        if size < 10_000:
+            whole = D.decontaminate(messy, bench, carry=("kept",))
+            assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
     clean = {r["doc_id"]: r for r in got.collect()}
     assert clean[23]["clean"] != t[23] and clean[30]["clean"] is None and clean[0]["clean"] == t[0]
     assert clean[32]["clean"] is None and clean[27]["clean"] is None and clean[26]["clean"] == ""
@@ -157,6 +161,15 @@ def test_decontamination(spark, messy, messy_rows, empty):
     assert D.decontaminate(messy, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_of_a_long_item(spark):
+    """A document that is one long item is streamed in time proportional to its length."""
+    text = prose(77, 60_000)
+    docs, items = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, text)], "item_id long, text string")
+    began = time.perf_counter()
+    row = D.decontaminate(docs, items).first()
+    assert row["n_hit"] == row["n_words"] == 60_000 and row["items"] == ["7"] and time.perf_counter() - began < 30
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
