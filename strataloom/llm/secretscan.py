@@ -6,7 +6,8 @@ candidate (a long run of key characters) is a secret where the summed log ratio
 the random model explains it better; else those of its parts are that do so, each a rise of the running sum up to
 its top, widened to the letters, digits and '+' around it. Known formats are found by patterns beside it.
 
-Places come from a pattern's matches and the parts between them, whose lengths add up to code points.
+Places come from a pattern's matches and the parts between them, whose lengths add up to code points. All passes
+over a text's matches are folds in chunks (see _fold), so time grows nearly in proportion to the text's length.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def ordinary_samples(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_DOCS, i
     good = labels.where("quality = 1").select(F.col("doc_id").alias("i")).distinct().orderBy("i").limit(n)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(good), "i", "left_semi")
     words = F.filter(F.split("t", "[^A-Za-z]+"), lambda w: F.length(w) > 0)
-    pairs = texts.select(F.explode(F.arrays_zip(words.alias("a"), F.slice(words, 2, 1_000_000).alias("b"))).alias("p")).select(
+    pairs = texts.select(F.explode(F.arrays_zip(words.alias("a"), F.slice(words, 2, F.size(words)).alias("b"))).alias("p")).select(
         F.col("p.a").alias("a"), F.col("p.b").alias("b")
     ).dropna()
     forms = ("a", F.concat_ws("_", "a", "b"), F.concat("a", F.initcap("b")), F.concat_ws("-", "a", "b"), F.concat_ws("/", "a", "b"), F.upper(F.concat_ws("_", "a", "b")))
@@ -88,12 +89,9 @@ def _transitions(counts: list[int]) -> list[float]:
 
 def train(samples: DataFrame) -> MarkovModel:
     """samples has sample and label (random or ordinary). Driver memory: at most 2 * N * N counts."""
-    steps = samples.where("length(sample) > 1").select("label", "sample", F.explode(F.expr("sequence(1, length(sample) - 1)")).alias("i"))
-    at = steps.select(
-        "label",
-        F.instr(F.lit(ALPHABET), F.substring("sample", F.col("i"), F.lit(1))).alias("a"),
-        F.instr(F.lit(ALPHABET), F.substring("sample", F.col("i") + 1, F.lit(1))).alias("b"),
-    )
+    chars = F.split("sample", "")
+    steps = samples.where("length(sample) > 1").select("label", F.explode(F.arrays_zip(chars.alias("a"), F.slice(chars, 2, F.size(chars)).alias("b"))).alias("p"))
+    at = steps.where("p.b is not null").select("label", *[F.instr(F.lit(ALPHABET), F.col(f"p.{c}")).alias(c) for c in ("a", "b")])
     counts = {"random": [0] * N * N, "ordinary": [0] * N * N}
     for r in at.where("a > 0 and b > 0").groupBy("label", "a", "b").count().collect():
         counts[r["label"]][(r["a"] - 1) * N + r["b"] - 1] = r["count"]
@@ -102,16 +100,77 @@ def train(samples: DataFrame) -> MarkovModel:
     return MarkovModel(tuple(ratios))
 
 
-def _spans(pattern: str, kind: int, least: int, group: int = 0) -> str:
-    """SQL: places of a pattern's matches in column t whose group has `least` characters, in order."""
+#: Elements of a chunk of a fold.
+CHUNK = 1_024
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body, in which name is a value that is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _fold(items: str, fields: dict[str, tuple[str, str]], emit: str, kind: str) -> str:
+    """SQL: what `emit` (an array of `kind`) gives for each x of the items, one behind another.
+
+    fields has the running values acc.name, each with its first and its next value. What is found is collected per
+    chunk and the chunks are joined at the end: appending to one long array would copy it for each match.
+    """
+    none = f"cast(array() as array<{kind}>)"
+    last = "cast(greatest(size(v) - 1, 0) / {CHUNK} as int)".replace("{CHUNK}", str(CHUNK))
+    chunks = _let("v", items, f"transform(sequence(0, {last}), c -> slice(v, c * {CHUNK} + 1, {CHUNK}))")
+    carried = ", ".join(f"'{f}', o.{f}" for f in fields)
+    onward = ", ".join(f"'{f}', {following}" for f, (_, following) in fields.items())
+    inner = f"aggregate(q, named_struct({carried}, 'found', {none}), (acc, x) -> named_struct({onward}, 'found', concat(acc.found, {emit})))"
+    result = ", ".join(f"'{f}', r.{f}" for f in fields)
+    step = _let("r", inner, f"named_struct({result}, 'outs', array_append(o.outs, r.found))")
+    start = ", ".join(f"'{f}', {first}" for f, (first, _) in fields.items())
+    return f"aggregate({chunks}, named_struct({start}, 'outs', cast(array() as array<array<{kind}>>)), (o, q) -> {step}, o -> flatten(o.outs))"
+
+
+SPAN = "struct<s:int,k:int,e:int>"
+MATCH = "struct<s:int,k:int,e:int,m:string>"
+
+
+def _matches(pattern: str, kind: int, least: int, group: int = 0) -> str:
+    """SQL: places and texts of a pattern's matches in column t whose group has `least` characters, in order."""
     p = "r'" + pattern.replace("'", "\\x27") + "'"
     parts = f"arrays_zip(split(t, {p}, -1), regexp_extract_all(t, {p}, 0), regexp_extract_all(t, {p}, {group}))"  # fields 0, 1, 2
-    step = (
-        "named_struct('at', acc.at + length(x.`0`) + coalesce(length(x.`1`), 0), 'found', "
-        f"if(coalesce(length(x.`2`), 0) >= {least}, array_append(acc.found, named_struct('s', acc.at + length(x.`0`), 'k', {kind}, 'e', acc.at + length(x.`0`) + length(x.`1`))), acc.found))"
-    )
-    none = "cast(array() as array<struct<s:int,k:int,e:int>>)"
-    return f"if(t rlike {p}, aggregate({parts}, named_struct('at', 0, 'found', {none}), (acc, x) -> {step}, acc -> acc.found), {none})"
+    none = f"cast(array() as array<{MATCH}>)"
+    found = f"array(named_struct('s', acc.at + length(x.`0`), 'k', {kind}, 'e', acc.at + length(x.`0`) + length(x.`1`), 'm', x.`1`))"
+    fields = {"at": ("0", "acc.at + length(x.`0`) + coalesce(length(x.`1`), 0)")}
+    return f"if(t rlike {p}, {_fold(parts, fields, f'if(coalesce(length(x.`2`), 0) >= {least}, {found}, {none})', MATCH)}, {none})"
+
+
+def _spans(matches: str) -> str:
+    return f"transform({matches}, c -> named_struct('s', c.s, 'k', c.k, 'e', c.e))"
+
+
+def _rises(least_ratio: float, least_mean: float) -> str:
+    """SQL: the parts of a candidate c (codes, pieces, r beside it) that are rises of the running sum, as spans.
+
+    A rise ends where the sum is spent or far below its top. Signs between names are no evidence for a part, only
+    against it. b and zs are where the runs of letters, digits and '+' begin that hold its first character and its
+    top's; the latter run is the zq-th of pieces. Each part is widened to these runs. One step more than there are
+    transitions ends the last rise.
+    """
+    step = "if(codes[x.i] >= 63 or codes[x.i + 1] >= 63, least(r[x.i], 0D), r[x.i])"
+    items = f"transform(sequence(0, size(r)), i -> {_let('x', 'named_struct(' + repr('i') + ', i)', f'named_struct({chr(39)}i{chr(39)}, i, {chr(39)}r{chr(39)}, if(i = size(r), double({chr(39)}-Infinity{chr(39)}), {step}))')})"
+    fresh, over = "acc.sum <= 0", f"(acc.sum + x.r <= 0 or acc.sum + x.r < acc.top - {least_ratio}D)"
+    higher = "acc.sum + x.r > acc.top"
+    sign = "x.i < size(r) and codes[x.i + 1] >= 63"
+    fields = {
+        "sum": ("0D", f"case when {fresh} then x.r when {over} then 0D else acc.sum + x.r end"),
+        "top": ("0D", f"case when {fresh} then x.r when {over} then 0D else greatest(acc.top, acc.sum + x.r) end"),
+        "b": ("0", f"if({fresh}, acc.run, acc.b)"),
+        "zs": ("0", f"if({fresh} or {higher}, acc.run, acc.zs)"),
+        "zq": ("0", f"if({fresh} or {higher}, acc.q, acc.zq)"),
+        "run": ("if(codes[0] >= 63, 1, 0)", f"if({sign}, x.i + 2, acc.run)"),
+        "q": ("if(codes[0] >= 63, 1, 0)", f"if({sign}, acc.q + 1, acc.q)"),
+    }
+    end = "acc.zs + length(pieces[acc.zq])"
+    good = f"acc.top >= {least_ratio}D and {end} - acc.b >= {CANDIDATE_CHARS} and acc.top >= {least_mean}D * ({end} - acc.b - 1)"
+    emit = f"if(not ({fresh}) and {over} and {good}, array(named_struct('s', c.s + acc.b, 'k', 3, 'e', c.s + {end})), cast(array() as array<{SPAN}>))"
+    return _fold(items, fields, emit, SPAN)
 
 
 def scan_secrets(
@@ -129,48 +188,41 @@ def scan_secrets(
     base and spans are arrays of {s, k, e}: start and end (exclusive) in code points and the place of the kind
     in KINDS, by start and kind; spans also has those of the Markov models, where they overlap no base span.
     redacted is the text with each secret masked (overlapping ones once). Null texts have no spans and stay
-    null; repeated rows are each scanned; columns not named are not read.
+    null; empty ones have none; very long ones, in any script, take time in proportion; repeated rows are each
+    scanned; columns not named are not read.
     """
     table = ",".join(f"{r:.6g}" for r in model.ratios)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
-    base = f"array_sort(concat({_spans(ASSIGN, 0, ASSIGN_VALUE, 2)}, {_spans(ACCESS, 1, 20)}, {_spans(HEX, 2, 24)}))"
-    place = f"(instr('{ALPHABET}', substring(t, i, 1)) - 1) * {N} + instr('{ALPHABET}', substring(t, i + 1, 1))"
-    ratios = f"transform(sequence(c.s + 1, c.e - 1), i -> named_struct('i', i, 'r', element_at(ratios, {place})))"
-    enough = f"greatest({least_ratio}D, {least_mean}D * (c.e - c.s - 1))"
-    ratio = "aggregate(c.steps, 0D, (sum, x) -> sum + x.r)"
-    # signs between names are no evidence for a part, only against it
-    sign = "substring(t, x.i, 2) rlike '[/_=-]'"
-    inner = f"transform(c.steps, x -> named_struct('i', x.i, 'r', if({sign}, least(x.r, 0D), x.r)))"
-    # the running sum's rises: sum, first step, top and its step; one ends where the sum is spent or far below its top
-    part = "named_struct('a', acc.a, 'top', acc.top, 'z', acc.z)"
-    ended = f"if(acc.top >= {least_ratio}D, array_append(acc.found, {part}), acc.found)"
-    step = (
-        "case when acc.sum <= 0 then named_struct('sum', x.r, 'a', x.i, 'top', x.r, 'z', x.i, 'found', acc.found) "
-        f"when acc.sum + x.r <= 0 or acc.sum + x.r < acc.top - {least_ratio}D then named_struct('sum', 0D, 'a', 0, 'top', 0D, 'z', 0, 'found', {ended}) "
-        "else named_struct('sum', acc.sum + x.r, 'a', acc.a, 'top', greatest(acc.top, acc.sum + x.r), 'z', if(acc.sum + x.r > acc.top, x.i, acc.z), 'found', acc.found) end"
-    )
-    none = "named_struct('sum', 0D, 'a', 0, 'top', 0D, 'z', 0, 'found', cast(array() as array<struct<a:int,top:double,z:int>>))"
-    rises = f"aggregate({inner}, {none}, (acc, x) -> {step}, acc -> {ended})"
-    before = "length(regexp_extract(substring(t, c.s + 1, p.a - 1 - c.s), '[A-Za-z0-9+]*$', 0))"
-    after = "length(regexp_extract(substring(t, p.z + 2, c.e - p.z - 1), '^[A-Za-z0-9+]*', 0))"
-    widened = f"transform({rises}, p -> named_struct('s', p.a - 1 - {before}, 'k', 3, 'e', p.z + 1 + {after}, 'top', p.top))"
-    fitting = f"filter({widened}, p -> p.e - p.s >= {CANDIDATE_CHARS} and p.top >= {least_mean}D * (p.e - p.s - 1))"
-    parts = f"transform({fitting}, p -> named_struct('s', p.s, 'k', p.k, 'e', p.e))"
-    scored = f"transform({_spans(CANDIDATE, 3, 1)}, c -> named_struct('s', c.s, 'k', c.k, 'e', c.e, 'steps', {ratios}))"
-    judged = f"transform({scored}, c -> if({ratio} >= {enough}, array(named_struct('s', c.s, 'k', c.k, 'e', c.e)), {parts}))"
-    markov = f"array_distinct(filter(flatten({judged}), c -> not exists(base, b -> c.s < b.e and b.s < c.e)))"
-    piece = (
-        "named_struct('at', greatest(acc.at, x.e), 'out', if(x.s >= acc.at, "
-        f"concat(acc.out, substring(t, acc.at + 1, x.s - acc.at), '{mask}'), acc.out))"
+    known = [_spans(_matches(*m)) for m in ((ASSIGN, 0, ASSIGN_VALUE, 2), (ACCESS, 1, 20), (HEX, 2, 24))]
+    base = f"array_sort(concat({', '.join(known)}))"
+    whole = f"aggregate(r, 0D, (sum, x) -> sum + x) >= greatest({least_ratio}D, {least_mean}D * size(r))"
+    judged = f"if({whole}, array(named_struct('s', c.s, 'k', c.k, 'e', c.e)), {_let('pieces', 'split(c.m, ' + repr('[/_=-]') + ', -1)', _rises(least_ratio, least_mean))})"
+    ratios = f"transform(sequence(1, size(codes) - 1), i -> ratios[codes[i - 1] * {N} + codes[i]])"
+    scored = _let("codes", f"transform(split(c.m, ''), x -> instr('{ALPHABET}', x) - 1)", _let("r", ratios, judged))
+    markov = f"flatten(transform({_matches(CANDIDATE, 3, 1)}, c -> {scored}))"
+    # Markov spans that begin before an earlier base span has ended go, and repeated ones; then those with a base span's start inside
+    none = f"cast(array() as array<{SPAN}>)"
+    forth = _fold(
+        f"array_sort(concat(base, {markov}))",
+        {"end": ("0", "if(x.k < 3, greatest(acc.end, x.e), acc.end)"), "last": (f"cast(null as {SPAN})", "x")},
+        f"if(x.k < 3 or (x.s >= acc.end and not (x <=> acc.last)), array(x), {none})",
+        SPAN,
     )
-    redacted = (
-        f"if(size(spans) = 0, own, aggregate(spans, named_struct('at', 0, 'out', ''), (acc, x) -> {piece}, "
-        "acc -> concat(acc.out, substring(t, acc.at + 1))))"
+    back = _fold(f"reverse({forth})", {"start": ("2147483647", "if(x.k < 3, least(acc.start, x.s), acc.start)")}, f"if(x.k < 3 or x.e <= acc.start, array(x), {none})", SPAN)
+    # kept parts lie between masks; of overlapping spans the first one is masked up to the last one's end
+    gap = "struct<s:int,e:int>"
+    gaps = _fold(
+        "array_append(spans, named_struct('s', length(t), 'k', 9, 'e', length(t)))",
+        {"at": ("0", "greatest(acc.at, x.e)")},
+        f"if(x.s >= acc.at, array(named_struct('s', acc.at, 'e', x.s)), cast(array() as array<{gap}>))",
+        gap,
     )
+    kept = f"transform({gaps}, g -> array_join(slice(chars, g.s + 1, g.e - g.s), ''))"
+    redacted = f"if(size(spans) = 0, own, {_let('chars', 'split(t, ' + repr('') + ')', f'array_join({kept}, {chr(39)}{mask}{chr(39)})')})"
     return (
         chosen.withColumn("ratios", F.split(F.lit(table), ",").cast("array<double>"))
         .withColumn("base", F.expr(base))
-        .withColumn("spans", F.expr(f"array_sort(concat(base, {markov}))"))
+        .withColumn("spans", F.expr(f"if(size(base) = 0 and not (t rlike r'{CANDIDATE}'), {none}, reverse({back}))"))
         .withColumn("redacted", F.expr(redacted))
         .select(F.col("id").alias(id_col), "base", "spans", "redacted", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
     )

@@ -207,14 +207,47 @@ def test_secrets(spark, messy, empty, secret_model):
     assert secretscan.scan_secrets(messy, secret_model).count() == messy.count() and secretscan.scan_secrets(empty, secret_model).count() == 0
 
 
-def test_secret_model_held_out(spark, secret_model):
+B62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+KEYS = {"letters and digits": B62, "base 64": B62 + "+/", "base 64 of urls": B62 + "-_", "upper hex": "0123456789ABCDEF", "lower letters and digits": B62[26:]}
+PLAIN = ["grant_of_appeal_to_members", "theBoardMayGrantARightOfAppeal", "src/main/resources/templates/page", "the-quick-notice-in-writing-for-all", "NOTICE_PERIOD_IN_WRITING_DAYS", "http_server_request_total_count", "internationalization-settings"]
+
+
+def measured_secrets(spark, model, each=200):
+    """Share of random strings found by kind and length, and of ordinary names by kind."""
     r = random.Random(77)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    keys = ["".join(r.choice(alphabet) for _ in range(32)) for _ in range(100)]
-    names = ["_".join(r.choice(["board", "member", "notice", "writing", "appeal", "grant"]) for _ in range(4)) for _ in range(100)]
-    docs = spark.createDataFrame(list(enumerate(keys + names)), "doc_id long, text string")
-    found = {x["doc_id"] for x in secretscan.scan_secrets(docs, secret_model).where("size(spans) > 0").collect()}
-    assert len(found & set(range(100))) >= 97 and not found & set(range(100, 200))
+    words = [w for w in prose(5, 4000).lower().split() if w.isalpha() and w.isascii()] + "parser value index stream buffer number config worker session token_id reader report".split()
+    made = {(kind, n): ["".join(r.choice(chars) for _ in range(n)) for _ in range(each)] for kind, chars in KEYS.items() for n in (20, 24, 32, 40, 64)}
+    joins = {"snake": "_".join, "slug": "-".join, "path": "/".join, "camel": lambda x: "".join(w.title() for w in x), "constant": lambda x: "_".join(x).upper(), "numbered path": lambda x: "/".join(x) + f"/{r.randint(1990, 2030)}/{r.randint(1, 12)}"}
+    made |= {(kind, 0): [join([r.choice(words) for _ in range(r.randint(4, 7))]) for _ in range(each)] for kind, join in joins.items()}
+    rows = [(k, i, f"see {x} there") for k, (name, some) in enumerate(made.items()) for i, x in enumerate(some)]
+    docs = spark.createDataFrame([(1000 * k + i, t) for k, i, t in rows], "doc_id long, text string")
+    found = Counter(x["doc_id"] // 1000 for x in secretscan.scan_secrets(docs, model).where("exists(spans, x -> x.k = 3)").collect())
+    return {name: found[k] / each for k, name in enumerate(made)}
+
+
+def test_secret_model_held_out(spark, secret_model):
+    share = measured_secrets(spark, secret_model)
+    print(share)
+    for (kind, n), found in share.items():
+        if n == 0:
+            assert found <= 0.02, (kind, found)
+        elif kind == "letters and digits" or (kind.startswith("base 64") and n >= 32):
+            assert found >= 0.95, (kind, n, found)
+    docs = spark.createDataFrame(list(enumerate(PLAIN)), "doc_id long, text string")
+    assert secretscan.scan_secrets(docs, secret_model).where("size(spans) > 0").count() == 0
+
+
+def test_secrets_in_long_texts(spark, secret_model):
+    """A million characters of other scripts, full of candidates and assignments, and one candidate of a million."""
+    r = random.Random(8)
+    part = " ".join(r.choice(("token=abcdef1", "été漢", "🙂 secret: x", "board_member/notice-writing/appeal", "".join(r.choice(B62) for _ in range(30)))) for _ in range(2_000))
+    text = " ".join([part] * 27)
+    docs = spark.createDataFrame([(1, text), (2, part), (3, "a1/" * 300_000)], "doc_id long, text string").coalesce(1)
+    began = time.perf_counter()
+    got = {x["doc_id"]: x for x in secretscan.scan_secrets(docs, secret_model).collect()}
+    assert len(text) > 1_000_000 and time.perf_counter() - began < 60
+    assert [tuple(x) for x in got[1]["base"]] == base_spans(text)
+    assert len(got[1]["spans"]) == 27 * len(got[2]["spans"]) and got[1]["redacted"] == " ".join([got[2]["redacted"]] * 27)
 
 
 def test_secrets_within_longer_runs(spark, secret_model):
