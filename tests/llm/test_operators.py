@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strataloom.llm import decontaminate as D
-from strataloom.llm import fasttok, htmlextract, lmscore, neardedup, packing, repetition, secretscan, suffixdedup, suffixmerge, tokenbin, urlfilter
+from strataloom.llm import fasttok, htmlextract, lmscore, neardedup, packing, repetition, secretscan, suffixdedup, suffixmerge, tokenbin, treematch, urlfilter
 
 from .conftest import prose
 
@@ -439,6 +439,79 @@ def test_html_long_lists():
     assert [htmlextract.extract(h, wrapper) for h in pages] == ["\n".join(xs + xs[:450:-1]) for xs in lists]
 
 
+def brute_weight(a, b, p, q):
+    """The textbook recursion of simple tree matching."""
+    if a.labels[p] != b.labels[q]:
+        return 0
+    rows, cols = a.kids[p], b.kids[q]
+    table = np.zeros((len(rows) + 1, len(cols) + 1), np.int64)
+    for i, x in enumerate(rows):
+        for j, y in enumerate(cols):
+            table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + brute_weight(a, b, x, y))
+    return 1 + (treematch.EQUAL if a.texts[p] and a.texts[p] == b.texts[q] else 0) + int(table[-1, -1])
+
+
+def random_tree(r, n=30):
+    nodes = [("r", -1, 0)]
+
+    def grow(parent, depth):
+        for _ in range(r.randint(0, 4)):
+            if len(nodes) <= n:
+                text = r.random() < 0.45 or depth > 4
+                nodes.append(("#", parent, r.randint(1, 6)) if text else (r.choice("ab"), parent, 0))
+                if not text:
+                    grow(len(nodes) - 1, depth + 1)
+
+    while len(nodes) < 3:
+        grow(0, 0)
+    return treematch.Tree(*map(list, zip(*nodes, strict=True)))
+
+
+@pytest.mark.parametrize("cells", [6, 4_000_000])
+def test_tree_matching(monkeypatch, cells):
+    monkeypatch.setattr(treematch, "CELLS", cells)
+    r = random.Random(cells)
+    for _ in range(300):
+        a, b = random_tree(r), random_tree(r)
+        want = brute_weight(a, b, 0, 0)
+        assert treematch.Match(a, b).weight(0, 0) == want
+        pairs = list(treematch.Match(a, b).equal_texts())
+        assert len(pairs) == want // treematch.EQUAL and all(a.texts[i] == b.texts[j] > 0 for i, j in pairs)
+
+
+def test_html_wrapper_decides():
+    """Lines that no tag or name tells from content are known by the alignment, though their place differs between pages."""
+    pages, want = [], []
+    for n in range(6):
+        story = [" ".join(prose(100 * n + k, 20).split()) for k in range(3 + n % 3)]
+        body = "".join(f"<p>{html.escape(x)}</p>" for x in story)
+        pages.append(f"<body><div><p>Our paper since 1901</p>{'<p>' + story[0] + '</p>' if n % 2 else ''}{body}<p>Ring us up</p><p>Share it <b>now</b></p></div></body>")
+        want.append("\n".join([story[0]] * (n % 2) + story))
+    wrapper = htmlextract.induce(pages)
+    for p, text in zip(pages, want, strict=True):
+        assert htmlextract.extract(p, wrapper) == text
+        assert htmlextract.extract(p).count("\n") == text.count("\n") + 3  # without a wrapper the lines stay
+
+
+def test_html_names_of_parts():
+    story = " ".join(prose(1, 30).split())
+    for frame in ("<body class='has-sidebar'>{}</body>", "<body><article class='post comments-open'>{}</article></body>", "<body class='menu'><main class=widget><div class='no-footer'>{}</div></main></body>", "<body><div class='layout sidebar'><article>{}</article></div></body>"):
+        assert htmlextract.extract(frame.format(f"<p class='social'>{story}</p><p class=related>{story}</p><div class='site-footer'>x</div><div id=ad-1>x</div><div class='x comment-list'>y</div>")) == f"{story}\n{story}"
+    assert htmlextract.extract('<p>hi <a title="it>x</a> there</p><p class="z">two</p>') == "hi x there\ntwo"
+    assert htmlextract.extract("<p>a<a title='x > y' href=\"q\">b</a>c</p>") == "abc"
+
+
+def test_html_deep_and_wide_pages(spark):
+    n = 100_000
+    deep = "<div>" * n + "deep" + "</div>" * n
+    wide = "<body>" + "".join(f"<p>{k}</p>" for k in range(5_000)) + "</body>"
+    odd = "<b>" * n + "<p>x</p>" * 2_000 + "</i>" * n + "<ul><li>" * 2_000 + "z"
+    rows = [(k, f"http://deep.example/{k}", p) for k, p in enumerate([deep, deep.replace("deep", "other"), deep.replace("deep", "third"), deep + "tail", wide, wide.replace("777", "x"), odd, odd + "q"])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id int, url string, html string, n_chars int, host int").coalesce(2)
+    got = {r["page_id"]: r["text"] for r in htmlextract.extract_pages(df).collect()}
+    assert got[0] == "deep" and got[1] == "other" and got[4].count("\n") == 4_999 and got[6].startswith("x\nx")
+
+
 @settings(deadline=None)
 @given(st.text(alphabet="<>/pbdiv \"'=!-&;lt", max_size=200))
 def test_html_never_fails(text):
