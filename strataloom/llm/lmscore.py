@@ -4,23 +4,29 @@ A word's probability is the sum over all its segmentations into pieces of an exi
 by the pieces' scores: a forward recursion in log space over the word's bytes. Pieces never cross white space,
 so the marginal probability of a document is the product over its words, times that of its end.
 
+The vocabulary's scores are the first weights; expectation maximisation over the lattices of the training words
+(forward and backward recursion, expected uses of each piece, summed by Spark) fits them to the corpus. A word that
+training has is a piece of its own beside the vocabulary: its lattice has an edge over the whole word, so what is
+learned grows with the corpus. The shares of the two kinds of edges are those of Witten and Bell: N tokens' worth of
+whole words, V (the number of different ones) of vocabulary pieces.
+
 Training counts are joined without sending texts: documents are read once into blocks that hold their tokens as
-numbers and each distinct token as text once; tokens meet their corpus counts in one exchange by token, the
-counts return to the blocks, and a block scores its documents with one recursion per distinct word.
+numbers and each distinct token as text once. Counts are summed by token after partial sums, and go back to the
+blocks by a join; a block scores its documents with one recursion per distinct word.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from copy import copy
 from itertools import accumulate
-from math import log
+from math import exp, inf, log, log1p
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .setsketch import words_of
@@ -32,26 +38,29 @@ SMOOTH = 0.1
 BLOCK_BYTES = 16_000_000
 #: Words up to this many bytes go through the recursion together; longer ones one by one.
 TOGETHER = 40
+#: Rounds of expectation maximisation, and how many uses of pieces the vocabulary's own scores stand for in each.
+ROUNDS, PRIOR = 2, 1_000.0
 END = ""
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-@dataclass
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
 class Lattice:
     """Pieces (as bytes, a word's first one with a blank before it) and their log probabilities.
 
-    The vocabulary's scores are ranks of merges, so a piece of rank r weighs 1 / (r + 2.7), as word frequencies
-    do; single bytes, which cover what no piece does, weigh as the last rank.
+    The vocabulary's scores are ranks of merges, so a piece of rank r weighs 1 / (r + 2.7) at first, as word
+    frequencies do; single bytes, which cover what no piece does, weigh as the last rank.
     """
 
-    scores: dict[bytes, float]
-
-    def __post_init__(self) -> None:
-        self.longest = max(map(len, self.scores))
-        self.bits = 22
-        keys = np.array([self._hash(p) for p in self.scores], np.uint64)
+    def __init__(self, scores: dict[bytes, float]) -> None:
+        self.longest, self.bits = max(map(len, scores)), 22
+        keys = np.array([self._hash(p) for p in scores], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.array(list(self.scores.values()))[order]
+        pieces = list(scores)
+        self.keys, self.pieces = keys[order], [pieces[k] for k in order.tolist()]
+        self.values = np.array(list(scores.values()))[order]
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[keys >> np.uint64(64 - self.bits)] = True
 
@@ -71,36 +80,45 @@ class Lattice:
         total = sum(weights.values())
         return cls({p: log(w / total) for p, w in weights.items()})
 
+    def weighted(self, values: np.ndarray) -> Lattice:
+        """The same pieces with other log probabilities, in the order of `pieces`."""
+        other = copy(self)
+        other.values = values
+        return other
+
+    def maximised(self, uses: np.ndarray, prior: np.ndarray) -> Lattice:
+        """The pieces weighted by their expected uses and PRIOR uses that are shared out by the prior (log) weights."""
+        weights = uses + PRIOR * np.exp(prior)
+        return self.weighted(np.log(weights / weights.sum()))
+
     @staticmethod
     def _hash(piece: bytes) -> int:
         h = 0
         for b in piece:
             h = (h * int(_BASE) + b + 1) & 0xFFFFFFFFFFFFFFFF
-        return (h * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
-
-    def one(self, word: bytes) -> float:
-        """log probability of a word, by the recursion as it is written."""
-        text, forward = b" " + word, [0.0]
-        for j in range(1, len(text) + 1):
-            terms = [forward[i] + s for i in range(max(0, j - self.longest), j) if (s := self.scores.get(text[i:j])) is not None]
-            top = max(terms)
-            forward.append(top + log(sum(np.exp(np.array(terms) - top))))
-        return forward[-1]
-
-    def many(self, words: list[bytes]) -> np.ndarray:
-        """log probabilities of words, those of one length at a time."""
+        return (h * int(_MIX)) & 0xFFFFFFFFFFFFFFFF
+
+    def _find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are a piece's, and of which."""
+        hit = np.flatnonzero(self.seen[key >> np.uint64(64 - self.bits)])
+        place = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
+        right = self.keys[place] == key[hit]
+        return hit[right], place[right]
+
+    def many(self, words: list[bytes], counts: np.ndarray | None = None, uses: np.ndarray | None = None) -> np.ndarray:
+        """log probabilities of words, those of one length at a time; adds to uses the pieces' expected uses in counts of each."""
         out = np.zeros(len(words))
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         for k in np.flatnonzero(sizes > TOGETHER).tolist():
-            out[k] = self.one(words[k])
+            out[k] = self._long(words[k], None if counts is None else float(counts[k]), uses)
         for size in np.unique(sizes[sizes <= TOGETHER]).tolist():
             places = np.flatnonzero(sizes == size)
             for at in range(0, len(places), 20_000):
                 some = places[at : at + 20_000]
-                out[some] = self._same_length([words[k] for k in some.tolist()], size)
+                out[some] = self._same_length([words[k] for k in some.tolist()], size, None if counts is None else counts[some], uses)
         return out
 
-    def _same_length(self, words: list[bytes], size: int) -> np.ndarray:
+    def _same_length(self, words: list[bytes], size: int, counts: np.ndarray | None, uses: np.ndarray | None) -> np.ndarray:
         n, m = len(words), size + 1
         text = np.full((m, n), 0x20, np.uint64)
         if size:
@@ -111,18 +129,59 @@ class Lattice:
         powers = [np.uint64(pow(int(_BASE), k, 1 << 64)) for k in range(m + 1)]
         forward = np.full((m + 1, n), -np.inf)
         forward[0] = 0
+        edges = []
         for j in range(1, m + 1):
             for i in range(max(0, j - self.longest), j):
-                key = (prefix[j] - prefix[i] * powers[j - i]) * np.uint64(0xD6E8FEB86659FD93)
-                hit = np.flatnonzero(self.seen[key >> np.uint64(64 - self.bits)])
+                hit, place = self._find((prefix[j] - prefix[i] * powers[j - i]) * _MIX)
                 if len(hit):
-                    place = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
-                    right = self.keys[place] == key[hit]
-                    hit, place = hit[right], place[right]
                     forward[j, hit] = np.logaddexp(forward[j, hit], forward[i, hit] + self.values[place])
+                    edges.append((i, j, hit, place))
+        if uses is not None:
+            backward = np.full((m + 1, n), -np.inf)
+            backward[m] = 0
+            for i, j, hit, place in sorted(edges, key=lambda e: -e[0]):  # all edges into later places come first
+                backward[i, hit] = np.logaddexp(backward[i, hit], self.values[place] + backward[j, hit])
+            for i, j, hit, place in edges:
+                share = np.exp(forward[i, hit] + self.values[place] + backward[j, hit] - forward[m, hit]) * counts[hit]
+                uses += np.bincount(place, share, len(uses))
+        return forward[m]
+
+    def _long(self, word: bytes, count: float | None, uses: np.ndarray | None) -> float:
+        """The same of one word of any length: edges by hashes of all its strings of each length, then one step per edge."""
+        text = np.frombuffer(b" " + word, np.uint8).astype(np.uint64)
+        m = len(text)
+        begins, ends, places = [], [], []
+        hashes = np.zeros(m, np.uint64)  # of the strings of one length that begin at each place
+        for size in range(1, min(self.longest, m) + 1):
+            hashes = hashes[: m - size + 1] * _BASE + text[size - 1 :] + np.uint64(1)
+            hit, place = self._find(hashes * _MIX)
+            begins.append(hit)
+            ends.append(hit + size)
+            places.append(place)
+        begin, end, place = (np.concatenate(x) for x in (begins, ends, places))
+        order = np.argsort(end, kind="stable")
+        begin, end, place = begin[order], end[order], place[order]
+        values = self.values[place]
+        forward = _recursion(begin.tolist(), end.tolist(), values.tolist(), m)
+        if uses is not None:
+            back = np.argsort(-begin, kind="stable")
+            backward = _recursion((m - end[back]).tolist(), (m - begin[back]).tolist(), values[back].tolist(), m)[::-1]
+            share = np.exp(np.array(forward)[begin] + values + np.array(backward)[end] - forward[m]) * count
+            uses += np.bincount(place, share, len(uses))
         return forward[m]
 
 
+def _recursion(begins: list[int], ends: list[int], values: list[float], m: int) -> list[float]:
+    """log sums over paths from 0 to each place, by edges in order of their ends."""
+    forward = [0.0, *[-inf] * m]
+    for i, j, v in zip(begins, ends, values, strict=True):
+        x, y = forward[j], forward[i] + v
+        if x < y:
+            x, y = y, x
+        forward[j] = x + log1p(exp(y - x)) if y > -inf else x
+    return forward
+
+
 _lattices: dict[str, Lattice] = {}
 
 
@@ -178,68 +237,91 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
     return chosen.mapInArrow(read, schema)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def train(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
+    """log weights of the vocabulary's pieces, fitted to words and their counts (word, c).
+
+    One expected number per piece comes to the driver in each round, whatever the number of words.
+    """
+    first = lattice(vocabulary)
+    values = first.values
+
+    def expect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = lattice(vocabulary).weighted(values)
+        uses = np.zeros(len(values))
+        for batch in batches:
+            model.many([w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float), uses)
+        some = np.flatnonzero(uses)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(uses[some], pa.float64())], names=["piece", "uses"])
+
+    for _ in range(rounds):
+        uses = np.zeros(len(values))
+        for piece, n in words.select("word", "c").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses")).collect():
+            uses[piece] = n
+        values = first.maximised(uses, first.values).values
+    return values
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
 
-    lattice_score is the log10 marginal probability of the text by the vocabulary alone, with the end's share
-    of training tokens as its chance after each word. score is that of the trained model, in which a token's
-    probability is (c + V * lattice) / (N + V): V tokens' worth of lattice mass beside the training counts, a
-    distribution over all texts. Null and empty texts are an end alone; a null id counts as the text "" when
-    folds are dealt; repeated rows are texts of their own. Without training documents N and V are 0 and the
-    end's share is 1/2. Other columns are not read; an empty table gives no rows.
+    score is the log10 marginal probability of the text: of each word, N / (N + V) times the share that it has in
+    the N training tokens, and V / (N + V) times its marginal over the trained vocabulary pieces; that is the sum over
+    all segmentations, the whole word's edge included. lattice_score is that of the pieces alone, with the end's share
+    of training tokens as its chance after each word. Null and empty texts are an end alone; a null id counts as the
+    text "" when folds are dealt; repeated rows are texts of their own; words may have any length. Without training
+    documents N and V are 0, the vocabulary's own scores are the model, and the end's share is 1/2. Other columns are
+    not read; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = stored(_blocks(docs, id_col, text_col, block_bytes), "lm-blocks")
-    pairs = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    by_word = Window.partitionBy("word")
-    counted = pairs.select(
-        "block", "pos", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("first")
-    )
+    # END is the first word of each block; its counts need no exchange
+    pairs = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).where("pos > 0").select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    words = stored(pairs.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    total = blocks.agg(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")), F.sum(F.expr("counts[0]"))).first()
+    n_all, n_ends = total[0] or 0, total[1] or 0
+    distinct = words.count() + (1 if n_ends else 0)
+    trained = train(words, vocabulary, rounds)
+    end_share = n_ends / n_all if n_all else 0.5
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, distinct = None, [], 0
-        names = ["b", "c", "v"]
+        block, parts = None, []
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.concatenate(parts).tobytes()], pa.binary()), pa.array([distinct], pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.concatenate(parts).tobytes()], pa.binary())], names=["b", "c"])
 
         for batch in batches:
-            b, c, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            b, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             cuts = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if lo == hi:
                     continue
                 if b[lo] != block and block is not None:
                     yield row()
-                    parts, distinct = [], 0
+                    parts = []
                 block = int(b[lo])
                 parts.append(c[lo:hi].astype(np.int64))
-                distinct += int((first[lo:hi].astype(bool) & (c[lo:hi] > 0)).sum())
         if block is not None:
             yield row()
 
-    returned = counted.repartition("block").sortWithinPartitions("block", "pos")
-    known = stored(returned.mapInArrow(gather, "b long, c binary, v long"), "lm-counts")
-    total = blocks.agg(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")), F.sum(F.expr("counts[0]"))).first()
-    n_all, n_ends = total[0] or 0, total[1] or 0
-    distinct = known.agg(F.sum("v")).first()[0] or 0
-    end_share = n_ends / n_all if n_all else 0.5
+    own = words.withColumnRenamed("word", "w")
+    counted = pairs.join(own, F.col("word") == F.col("w"), "left").select("block", "pos", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
+    known = stored(counted.repartition("block").sortWithinPartitions("block", "pos").mapInArrow(gather, "b long, c binary"), "lm-counts")
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        model = lattice(vocabulary)
+        model = lattice(vocabulary).weighted(trained)
         for batch in batches:
             for k in range(batch.num_rows):
                 words = batch.column(0)[k].as_py()
-                c = np.frombuffer(batch.column(5)[k].as_py(), np.int64)
+                c = np.concatenate(([n_ends], np.frombuffer(batch.column(5)[k].as_py() or b"", np.int64)))
                 sizes = np.array(batch.column(3)[k].as_py(), np.int64)
                 flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column(4)[k].as_py()), np.int32)
                 marginal = np.empty(len(words))
                 marginal[1:] = model.many([w.encode() for w in words[1:]]) + np.log1p(-min(end_share, 1 - 1e-9))
-                marginal[0] = log(end_share)
+                marginal[0] = log(end_share) if end_share else -np.inf
                 base = np.log10((c + SMOOTH) / (n_all + SMOOTH * (distinct + 1)))
                 if n_all:
                     adapted = np.logaddexp(np.log(np.maximum(c, 1e-300)), np.log(distinct) + marginal) - np.log(n_all + distinct)
@@ -255,5 +337,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"],
                 )
 
-    together = blocks.join(known, F.col("block") == F.col("b")).select("words", "ids", "held", "sizes", "tokens", "c")
+    together = blocks.join(known, F.col("block") == F.col("b"), "left").select("words", "ids", "held", "sizes", "tokens", "c")
     return together.mapInArrow(score, schema).withColumnRenamed("id", id_col)

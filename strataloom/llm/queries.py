@@ -67,7 +67,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lmscore import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents")).drop("lattice_score")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
