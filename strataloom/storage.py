@@ -61,6 +61,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As stored, with the path for discard."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     until_end(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
