@@ -40,6 +40,8 @@ BLOCK_BYTES = 16_000_000
 TOGETHER = 40
 #: Rounds of expectation maximisation, and how many uses of pieces the vocabulary's own scores stand for in each.
 ROUNDS, PRIOR = 2, 1_000.0
+#: Bytes of words that one step of training takes together.
+STRETCH_BYTES = 1_500_000
 END = ""
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -141,9 +143,8 @@ class Lattice:
             backward[m] = 0
             for i, j, hit, place in sorted(edges, key=lambda e: -e[0]):  # all edges into later places come first
                 backward[i, hit] = np.logaddexp(backward[i, hit], self.values[place] + backward[j, hit])
-            for i, j, hit, place in edges:
-                share = np.exp(forward[i, hit] + self.values[place] + backward[j, hit] - forward[m, hit]) * counts[hit]
-                uses += np.bincount(place, share, len(uses))
+            shares = [np.exp(forward[i, hit] + self.values[place] + backward[j, hit] - forward[m, hit]) * counts[hit] for i, j, hit, place in edges]
+            uses += np.bincount(np.concatenate([e[3] for e in edges]), np.concatenate(shares), len(uses))
         return forward[m]
 
     def _long(self, word: bytes, count: float | None, uses: np.ndarray | None) -> float:
@@ -248,8 +249,16 @@ def train(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray
     def expect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(vocabulary).weighted(values)
         uses = np.zeros(len(values))
-        for batch in batches:
-            model.many([w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float), uses)
+        words, counts, size = [], [], 0
+        for batch in batches:  # the recursion is over many words at once, batches are small
+            words += [w.encode() for w in batch.column(0).to_pylist()]
+            counts.append(batch.column(1).to_numpy().astype(float))
+            size += batch.column(0).nbytes
+            if size >= STRETCH_BYTES:
+                model.many(words, np.concatenate(counts), uses)
+                words, counts, size = [], [], 0
+        if words:
+            model.many(words, np.concatenate(counts), uses)
         some = np.flatnonzero(uses)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(uses[some], pa.float64())], names=["piece", "uses"])
 
