@@ -63,7 +63,7 @@ def roles_of(clause_type: str) -> Column:
     others = [F.when(kind.isin(*types), F.lit(role)) for role, types in K.ROLE_TYPES.items()]
     found = F.array_compact(F.array(F.lit("legal"), *others))
     none = reduce(lambda a, b: a & b, [~F.coalesce(kind.isin(*types), F.lit(False)) for types in K.ROLE_TYPES.values()])
-    return F.when(none, F.array(*map(F.lit, K.DEFAULT_ROLES))).otherwise(found)
+    return F.when(none, F.array(*map(F.lit, K.ROLES))).otherwise(found)
 
 
 def role_label(role: str) -> Column:

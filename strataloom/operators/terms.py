@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import lenient_array
 from ..functions.text import looks_definitional, pattern_terms, tidy_terms
+from ..storage import stored
+from .keyed import split_join
 
 
 def clause_terms(clauses: DataFrame, model=None) -> DataFrame:
@@ -37,13 +39,22 @@ def definers(terms: DataFrame) -> DataFrame:
 def uses(clauses: DataFrame, terms: DataFrame) -> DataFrame:
     """D8. src (clause), dst (definer), term: of several terms of one definer, the first defined one.
 
-    A clause can only use a term whose first and last word runs it holds, so clauses and terms meet in an
-    equi-join on the term's first run of word characters; a regular expression then decides. Terms
-    begin and end with letters or digits or are compared as the pattern says.
+    A clause can only use a term whose first run of word characters it holds, so clauses' distinct words and the terms'
+    heads meet in an equi-join of ids and words; common heads are split. A clause's candidates are then gathered, so
+    that its text moves once, and a regular expression decides. Terms begin and end with letters or digits or are
+    compared as the pattern says.
     """
-    known = definers(terms).withColumn("head", F.regexp_extract("term", r"(?U)\w+", 0))
-    words = clauses.select(F.col("id").alias("src"), F.lower("text").alias("low")).withColumn("head", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"((?U)\w+)"), F.lit(1)))))
-    met = words.join(known, "head").where((F.col("src") != F.col("definer")) & F.expr("regexp_like(low, concat('(?U)\\\\b\\\\Q', term, '\\\\E\\\\b'))"))
+    known = stored(definers(terms).withColumn("head", F.regexp_extract("term", r"(?U)\w+", 0)), "terms")
+    lower = clauses.select(F.col("id").alias("src"), F.lower("text").alias("low"))
+    words = lower.select("src", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"((?U)\w+)"), F.lit(1)))).alias("head"))
+    words = words.join(known.select("head").distinct(), "head", "left_semi")
+    times = words.groupBy("head").agg(F.count(F.lit(1)).alias("times"))
+    total = times.agg(F.sum("times")).first()[0] or 0
+    heads = known.groupBy("head").agg(F.collect_list(F.struct("term", "definer", "term_seq")).alias("t")).join(times, "head")
+    asked = split_join(words, heads, "head", "times", total).select("src", F.explode("t").alias("x")).where(F.col("src") != F.col("x.definer"))
+    each = asked.groupBy("src").agg(F.collect_list("x").alias("x")).withColumnRenamed("src", "u_src")
+    pairs = each.join(lower, F.col("u_src") == F.col("src")).select("src", "low", F.explode("x").alias("x")).select("src", "low", "x.*")
+    met = pairs.where(F.expr("regexp_like(low, concat('(?U)\\\\b\\\\Q', term, '\\\\E\\\\b'))"))
     first = Window.partitionBy("src", "definer").orderBy("term_seq", "term")
     return met.withColumn("k", F.row_number().over(first)).where("k = 1").select("src", F.col("definer").alias("dst"), "term", "term_seq")
 

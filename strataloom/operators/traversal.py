@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..storage import stored
 
 
 def score_label(score: str | Column) -> Column:
@@ -25,7 +26,8 @@ def walk(edges: DataFrame, starts: DataFrame, kind: str, max_hops: int, forward:
 
     Breadth first: each node once, at its smallest hop, by the first edge in queue order, which is the order of
     (parent's place, edge_seq). Levels are joined one by one; a level's places number it inside its start, so
-    many starts run as one plan. Results are ordered by hop and falling score through `rank`.
+    many starts run as one plan. Each level is stored, so that no hop computes the ones before it again. Results are
+    ordered by hop and falling score through `rank`.
     """
     here, there = ("src", "dst") if forward else ("dst", "src")
     steps = edges.where(F.col("type") == kind).select(F.col(here).alias("at"), F.col(there).alias("id"), F.coalesce("score", F.lit(0.5)).alias("score"), F.coalesce("reason", F.lit("")).alias("reason"), "edge_seq")
@@ -35,7 +37,7 @@ def walk(edges: DataFrame, starts: DataFrame, kind: str, max_hops: int, forward:
         met = level.select("start", F.col("id").alias("at"), F.col("place").alias("parent")).join(steps, "at").join(seen, ["start", "id"], "left_anti")
         new = met.groupBy("start", "id").agg(F.min(F.struct("parent", "edge_seq", "score", "reason")).alias("e"))
         order = Window.partitionBy("start").orderBy("e.parent", "e.edge_seq", "id")
-        level = new.select("start", "id", F.lit(hop).alias("hop"), F.col("e.score").alias("score"), F.col("e.reason").alias("reason"), F.row_number().over(order).alias("place"))
+        level = stored(new.select("start", "id", F.lit(hop).alias("hop"), F.col("e.score").alias("score"), F.col("e.reason").alias("reason"), F.row_number().over(order).alias("place")), "walk-level")
         found = level if found is None else found.unionByName(level)
         seen = seen.unionByName(level.select("start", "id"))
     rank = F.row_number().over(Window.partitionBy("start").orderBy("hop", F.desc("score"), "place"))

@@ -20,6 +20,7 @@ from ..operators import metrics as M
 from ..operators import risk as R
 from ..operators import traversal as V
 from ..operators import vectors as X
+from ..storage import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -96,7 +97,8 @@ def derived_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = (F.col("la") + F.col("lb")) % 3
     kind = F.when(F.col("la") == F.col("lb"), "DEPENDS_ON").when(total == 0, "CONFLICTS_WITH").when(total == 1, "OVERRIDES").otherwise("SIMILAR_TO")
     none = F.lit(None).cast("string")
-    return both.select("src", "dst", kind.alias("type"), F.round(1 - F.col("distance"), 4).alias("score"), none.alias("term"), none.alias("reason"), (F.col("src") * 10 + F.col("rank")).alias("edge_seq"))
+    edges = both.select("src", "dst", kind.alias("type"), F.round(1 - F.col("distance"), 4).alias("score"), none.alias("term"), none.alias("reason"), (F.col("src") * 10 + F.col("rank")).alias("edge_seq"))
+    return stored(edges, "edges")  # several branches of a query read them
 
 
 def derived_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,14 +204,55 @@ def impact_counts(spark, sf_dir):
 
 
 @query(f"""WITH {_EDGES}, b AS (SELECT src start, dst id, score, 0 side, edge_seq FROM e WHERE type = 'CONFLICTS_WITH' UNION ALL SELECT dst, src, score, 1, edge_seq FROM e WHERE type = 'CONFLICTS_WITH'),
-o AS (SELECT *, row_number() OVER (PARTITION BY start, id ORDER BY side, edge_seq) k FROM b WHERE start % 50 = 0)
+o AS (SELECT *, row_number() OVER (PARTITION BY start, id ORDER BY side, edge_seq) k FROM b WHERE start % 50 = 0),
+p AS (SELECT src start, dst id, arg_min(score, edge_seq) score FROM e WHERE type = 'DEPENDS_ON' AND src % 50 = 0 GROUP BY src, dst),
+q AS (SELECT dst start, src id, arg_min(score, edge_seq) score FROM e WHERE type = 'DEPENDS_ON' AND dst % 50 = 0 GROUP BY src, dst)
 SELECT start, CAST(3 AS INT) AS "group", 'CONFLICT: ''Clause ' || id || ''' directly contradicts this clause — one must be amended (' || {_BANDS} || ' conflict)' AS message FROM o WHERE k = 1
+UNION ALL SELECT start, 1, 'Ensure ''Clause ' || id || ''' exists and is consistent (' || {_BANDS} || ' dependency, hop 1)' FROM p
+UNION ALL SELECT start, 2, 'Review ''Clause ' || id || ''' — it depends on this clause and may need updating (' || {_BANDS} || ' link)' FROM q
 UNION ALL SELECT dst, 4, 'WARNING: ''Clause ' || src || ''' already overrides this clause — check precedence rules (' || {_BANDS} || ' override)' FROM e WHERE type = 'OVERRIDES' AND dst % 50 = 0""")
 def change_list(spark, sf_dir):
-    """Conflicts and overriders."""
+    """All four groups, neighbours of one hop."""
     e, s = derived_edges(spark, sf_dir), _starts(spark, sf_dir)
-    none = V.dependencies(e, s).where("false")
-    return V.change_list(derived_nodes(spark, sf_dir), none, none, V.conflicts(e, s), V.overrides(e, s)).select("start", "group", "message")
+    return V.change_list(derived_nodes(spark, sf_dir), V.dependencies(e, s, 1), V.dependents(e, s, 1), V.conflicts(e, s), V.overrides(e, s)).select("start", "group", "message")
+
+
+@query(f"WITH {_EDGES}, {_NODES} SELECT 'nodes' AS what, count(*) AS n FROM n UNION ALL SELECT 'edges', count(*) FROM e")
+def graph_sizes(spark, sf_dir):
+    """A2."""
+    return I.sizes(derived_nodes(spark, sf_dir), derived_edges(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, CASE WHEN score >= 0.8 THEN '🔴' WHEN score >= 0.5 THEN '🟡' ELSE '🟢' END AS icon FROM e")
+def score_icons(spark, sf_dir):
+    """B10."""
+    return derived_edges(spark, sf_dir).select("src", "dst", V.score_icon("score").alias("icon"))
+
+
+@query(f"WITH {_EDGES} SELECT dst, 'Clause ' || dst AS dst_heading, type, score, {_BANDS} AS band FROM e WHERE src = 7")
+def clause_adjacency(spark, sf_dir):
+    """Of clause 7."""
+    return I.adjacency(derived_nodes(spark, sf_dir), derived_edges(spark, sf_dir), 7).drop("edge_seq")
+
+
+@query(f"WITH {_EDGES}, k AS (SELECT * FROM e WHERE type IN ('CONFLICTS_WITH', 'OVERRIDES')) SELECT 'edges' AS what, count(*) AS n FROM k UNION ALL SELECT 'nodes', count(*) FROM (SELECT src FROM k UNION SELECT dst FROM k)")
+def filtered_graph(spark, sf_dir):
+    """Two types, without isolated nodes."""
+    return I.sizes(*I.filtered(derived_nodes(spark, sf_dir), derived_edges(spark, sf_dir), ("CONFLICTS_WITH", "OVERRIDES")))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, s AS (SELECT src f, dst t FROM e WHERE type = 'OVERRIDES' UNION SELECT dst, src FROM e WHERE type = 'OVERRIDES'), w(root, id) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT root, t FROM w JOIN s ON id = f)
+SELECT id, min(root) AS component FROM w GROUP BY id""")
+def wcc_labels(spark, sf_dir):
+    """A3: the label of each node over the overriding edges."""
+    return I.components(derived_nodes(spark, sf_dir), derived_edges(spark, sf_dir).where("type = 'OVERRIDES'"))
+
+
+@query(f"WITH {_EDGES} SELECT type, round(sum(1 + 3 * score), 3) AS width, CASE type WHEN 'SIMILAR_TO' THEN '#9aa0a6' WHEN 'DEPENDS_ON' THEN '#1a73e8' WHEN 'CONFLICTS_WITH' THEN '#d93025' ELSE '#f9ab00' END AS colour FROM e GROUP BY type")
+def edge_visuals(spark, sf_dir):
+    """Widths and colours of edges, per type."""
+    edges = I.visuals(derived_nodes(spark, sf_dir), derived_edges(spark, sf_dir))[1]
+    return edges.groupBy("type", "colour").agg(F.round(F.sum("width"), 3).alias("width"))
 
 
 @query(f"WITH {_EDGES} SELECT type, count(*) AS n, min(edge_seq) AS first_seq FROM e GROUP BY type")
@@ -540,6 +583,39 @@ def lenient_parse(spark, sf_dir):
     return d.select("doc_id", F.explode(P.lenient_array(reply, C.SPLIT_REPLY)).alias("i")).select("doc_id", "i.*")
 
 
+@query("SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'Human Resources' WHEN 1 THEN 'Software Engineering' WHEN 2 THEN 'External Party' WHEN 3 THEN 'Legal' ELSE 'AUDIT' END AS label FROM customer")
+def role_labels(spark, sf_dir):
+    """The four roles and one without a label."""
+    role = F.element_at(F.array(*map(F.lit, ("hr", "sde", "external", "legal", "audit"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), role.alias("role")).select("id", A.role_label("role").alias("label"))
+
+
+@query("SELECT doc_id FROM documents WHERE lower(text) LIKE '%means %' OR lower(text) LIKE '%shall mean%' OR lower(text) LIKE '%defined as%' OR lower(text) LIKE '%referred to as%' OR lower(text) LIKE '%hereinafter%' OR lower(text) LIKE '%for the purpose%' OR lower(text) LIKE '%for purposes of%' OR lower(text) LIKE '%in this constitution%' OR lower(text) LIKE '%as used in%' OR doc_id % 3 = 0")
+def definitional(spark, sf_dir):
+    """Whole texts, of which every third one has a trigger added."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\nFor Purposes of this part"))).otherwise(F.col("text"))
+    return read(spark, sf_dir, "documents").where(T.looks_definitional(text)).select("doc_id")
+
+
+@query("SELECT conv_id, md5(string_agg(k || '. ' || text, chr(10) ORDER BY k)) AS list_md5, md5(string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY k)) AS context_md5 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) k FROM conversations) GROUP BY conv_id")
+def contexts_and_lists(spark, sf_dir):
+    """Turns as entries of a context and as items of a list."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t")).withColumn("items", F.transform("t", lambda x: x["text"]))
+    context = T.join_context(F.transform("t", lambda x: T.clause_context(x["role"], x["text"])))
+    return c.select("conv_id", F.md5(T.numbered("items").cast("binary")).alias("list_md5"), F.md5(context.cast("binary")).alias("context_md5"))
+
+
+@query("""SELECT doc_id, md5(left(trim('search_document: ' || coalesce(source, '') || chr(10) || chr(10) || body, ' ' || chr(9) || chr(10) || chr(13)), 8000)) AS input_md5
+FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS source, CASE WHEN doc_id % 14 = 0 THEN ' ' || chr(10) ELSE coalesce(text, '') END AS body FROM documents)
+WHERE trim(coalesce(source, '') || body, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+def embed_inputs(spark, sf_dir):
+    """Every fourteenth document has nothing to embed."""
+    body = F.when(F.col("doc_id") % 14 == 0, F.lit(" \n")).otherwise(F.coalesce("text", F.lit("")))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("heading"), body.alias("body"))
+    return d.select("doc_id", T.embed_input("heading", "body").alias("i")).where("i is not null").select("doc_id", F.md5(F.col("i").cast("binary")).alias("input_md5"))
+
+
 _TYPES = ("Audit Rights", "License Grant", "Non-Compete/Non-Solicit", "Governing Law", "Termination For Cause")
 _ROLE_SQL = "CASE doc_id % 5 WHEN 0 THEN 'legal,external' WHEN 1 THEN 'legal,sde,external' WHEN 2 THEN 'legal,hr,sde,external' WHEN 3 THEN 'hr,sde,external,legal' ELSE 'legal,hr' END"
 
@@ -606,13 +682,15 @@ def verdict_share(spark, sf_dir):
     return M.verdict_share(x)
 
 
-_FOUR = "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 7) / 10.0 + 0.2 END a, (o_custkey % 9) / 10.0 + 0.1 b, CASE WHEN o_orderkey % 11 = 0 THEN 0.0 ELSE 0.7 END c"
+_A = "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 7) / 10.0 + 0.2 END"
+_B = "(o_custkey % 9) / 10.0 + 0.1"
+_C = "CASE WHEN o_orderkey % 11 = 0 THEN 0.0 ELSE 0.7 END"
 
 
-@query(f"SELECT o_orderkey AS key, CASE WHEN a <= 0 OR b <= 0 OR c <= 0 THEN 0.0 ELSE round((CASE WHEN a IS NULL THEN 2 ELSE 3 END) / (coalesce(1 / a, 0) + 1 / b + 1 / c), 4) END::DOUBLE AS score FROM (SELECT o_orderkey, {_FOUR} FROM orders)")
+@query(f"SELECT o_orderkey AS key, CASE WHEN a <= 0 OR b <= 0 OR c <= 0 THEN 0.0 ELSE round((CASE WHEN a IS NULL THEN 2 ELSE 3 END) / (coalesce(1 / a, 0) + 1 / b + 1 / c), 4) END::DOUBLE AS score FROM (SELECT o_orderkey, {_A} a, {_B} b, {_C} c FROM orders)")
 def ragas_harmonic(spark, sf_dir):
     """M16."""
-    o = read(spark, sf_dir, "orders").selectExpr("o_orderkey as key", *[x.strip() for x in _FOUR.replace(" END a,", " END a;").replace(" b,", " b;").split(";")])
+    o = read(spark, sf_dir, "orders").selectExpr("o_orderkey as key", f"{_A} as a", f"{_B} as b", f"{_C} as c")
     return o.select("key", M.harmonic("a", "b", "c").alias("score"))
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions.parsing import first_balanced
+
 Provider = Callable[[DataFrame], DataFrame]
 
 
@@ -40,23 +42,38 @@ def _post(url: str, body: dict, timeout: float) -> dict:
         return json.load(r)
 
 
-def http_text(url: str, model: str, timeout: float = 60, tries: int = 3, calls: int = 8, post: Callable = _post) -> Provider:
-    """A model server that takes model and prompt and returns response; `calls` tasks ask at once."""
+def http_text(url: str, model: str, timeout: float = 60, tries: int = 3, calls: int = 8, post: Callable = _post, accept: Callable[[str], bool] | None = None) -> Provider:
+    """A model server that takes model and prompt and returns response; `calls` tasks ask at once.
+
+    Adds reply and seconds (what the call took). A reply that `accept` refuses is asked for again, as after an error
+    of the connection; after `tries` the reply is null.
+    """
 
     def ask(prompt: str) -> str | None:
         for n in range(tries):
             try:
-                return post(url, {"model": model, "prompt": prompt, "stream": False, "options": {"temperature": 0}}, timeout).get("response", "").strip()
+                told = post(url, {"model": model, "prompt": prompt, "stream": False, "options": {"temperature": 0}}, timeout).get("response", "").strip()
+                if accept is None or accept(told):
+                    return told
             except OSError:
                 time.sleep(0.5 * (n + 1) if n + 1 < tries else 0)
         return None
 
-    @F.pandas_udf("string")
-    def reply(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def timed(prompt: str | None) -> tuple[str | None, float]:
+        began = time.perf_counter()
+        return (None if prompt is None else ask(prompt)), round(time.perf_counter() - began, 3)
+
+    @F.pandas_udf("reply string, seconds double")
+    def reply(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.map(lambda p: None if p is None else ask(p))
+            yield pd.DataFrame([timed(p) for p in part], columns=["reply", "seconds"]).astype({"reply": object})
+
+    return lambda df: df.repartition(calls).withColumn("told_", reply("prompt")).withColumns({"reply": F.col("told_.reply"), "seconds": F.col("told_.seconds")}).drop("told_")
+
 
-    return lambda df: df.repartition(calls).withColumn("reply", reply("prompt"))
+def http_judge(url: str, model: str, retries: int = 2, **more) -> Provider:
+    """J4, J7. A judge at temperature 0: a reply without readable JSON is asked for again, then it is null."""
+    return http_text(url, model, tries=retries + 1, accept=lambda told: first_balanced(told) is not None, **more)
 
 
 def http_embeddings(url: str, model: str, timeout: float = 30, tries: int = 3, delay: float = 0.05, calls: int = 8, post: Callable = _post) -> Provider:
