@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, table
+from .shared import fresh_path, table, until_end
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -55,6 +55,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = fresh_path(spark, "token-files")
     manifest = write_token_files(table(spark, sf_dir, "documents"), folder)
+    until_end(spark, folder)
     return read_token_files(spark, folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
