@@ -20,7 +20,9 @@ from ..operators import metrics as M
 from ..operators import risk as R
 from ..operators import traversal as V
 from ..operators import vectors as X
-from ..storage import stored
+from ..sources import readers as D
+from ..sources import stores as S
+from ..storage import fresh_path, stored, until_end
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -531,13 +533,28 @@ def rouge_2(spark, sf_dir):
     return M.rouge_n(derived_pairs(spark, sf_dir), 2)
 
 
-@query()
+# One row of the table of common subsequences after another: a row's values are the running maxima of what it
+# takes from the row above.
+_LCS = f"""{_GRAMS},
+l(id, i, ln) AS (SELECT id, 0, list_transform(r, lambda x: 0) FROM k
+  UNION ALL SELECT id, i, list_transform(range(1, len(cand) + 1), lambda j: list_max(list_slice(cand, 1, j)))
+  FROM (SELECT l.id, i + 1 AS i, list_transform(range(1, len(r) + 1), lambda j: CASE WHEN r[j] = c[i + 1] THEN coalesce(ln[j - 1], 0) + 1 ELSE ln[j] END) AS cand FROM l JOIN k ON l.id = k.id WHERE i < len(c))),
+lcs AS (SELECT id, coalesce(max(list_max(ln)), 0) AS m FROM l GROUP BY id),
+fl AS (SELECT id AS key, CASE WHEN len(c) > 0 THEN m / len(c) ELSE 0 END p, CASE WHEN len(r) > 0 THEN m / len(r) ELSE 0 END q FROM lcs JOIN k USING (id))"""
+_ROUNDED = "round(p, 4) AS precision, round(q, 4) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 4) AS f1"
+
+
+@query(f"WITH RECURSIVE {_LCS} SELECT key, {_ROUNDED} FROM fl")
 def rouge_l(spark, sf_dir):
     """M8, M9; tests/test_metrics.py holds it against the textbook table."""
     return M.rouge_l(derived_pairs(spark, sf_dir))
 
 
-@query()
+_MEANS = ", ".join(f"round(avg({m}) FILTER (kind = '{r}'), 4) AS {r}_{m}" for r in ("rouge1", "rouge2", "rougel") for m in ("precision", "recall", "f1"))
+
+
+@query(f"""WITH RECURSIVE {_LCS}, scores AS (SELECT 'rouge' || n AS kind, {_ROUNDED} FROM ({_PRF} WHERE n <= 2) UNION ALL SELECT 'rougel', {_ROUNDED} FROM fl)
+SELECT {_MEANS} FROM scores""")
 def rouge_mean(spark, sf_dir):
     """M10, M11."""
     return M.aggregate_rouge(M.rouge_scores(derived_pairs(spark, sf_dir)))
@@ -737,3 +754,161 @@ def doc_history(spark, sf_dir):
 
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("filename"), F.col("lang").alias("uploaded_at"), F.col("n_chars").cast("int").alias("word_count"))
     return newest_documents(d)
+
+
+# --- stores and files: each query writes to a folder of its own, reads back, and leaves it to be deleted at the end ----
+
+
+def _folder(spark: SparkSession, label: str) -> str:
+    path = fresh_path(spark, label)
+    until_end(spark, path)
+    return path
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as clauses of a store."""
+    v = derived_vectors(spark, sf_dir)
+    return v.select(
+        F.col("id").cast("string").alias("id"), "embedding", F.concat(F.lit("Clause "), "id").alias("heading"), F.concat(F.lit("text "), "label").alias("text"),
+        F.col("label").cast("string").alias("section"), F.col("id").cast("int").alias("idx"), F.col("id").alias("pos"),
+    )
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN vec_id % 3 = 0 THEN 'again' ELSE 'Clause ' || vec_id END AS heading, CAST(vec_id AS VARCHAR) AS idx, len(embedding) AS dims FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0")
+def vector_upsert(spark, sf_dir):
+    """All are written and cleared, even ones are written, every third one is written twice again."""
+    store, c = S.VectorStore(spark, _folder(spark, "vectors")), _sections(spark, sf_dir)
+    store.add(c)
+    store.clear()
+    store.add(c.where("pos % 2 = 0"))
+    third = c.where("pos % 3 = 0")
+    store.add(third.withColumn("heading", F.lit("early")).unionByName(third.withColumns({"heading": F.lit("again"), "pos": F.col("pos") + 1_000_000_000})))
+    rows = store.table.rows().join(store.ids(), "id")
+    return rows.select("id", "heading", "idx", F.size("embedding").cast("long").alias("dims"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS clause_id, 'd' || label AS document_id, label % 2 = 0 AS approved, 1::BIGINT AS n FROM embeddings")
+def contract_upsert(spark, sf_dir):
+    """K4, K5: a half and then all of the clauses, which adds the other half only."""
+    store = S.ContractStore(spark, _folder(spark, "contracts"))
+    label = F.col("section").cast("int")
+    c = _sections(spark, sf_dir).select(F.col("id").alias("clause_id"), F.concat(F.lit("d"), "section").alias("document_id"), F.lit("kind").alias("clause_type"), "text", F.array(F.lit("legal")).alias("roles"), (label % 2 == 0).alias("approved"), "embedding")
+    store.upsert(c.where("clause_id % 2 = 0"), lambda rows: rows)
+    store.upsert(c, lambda rows: rows)
+    return store.table.rows().groupBy("clause_id", "document_id", "approved").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_EDGES} SELECT 'node' AS what, CAST(vec_id AS VARCHAR) AS a, CAST(label AS VARCHAR) AS b, CAST(NULL AS DOUBLE) AS score FROM embeddings UNION ALL SELECT type, CAST(src AS VARCHAR), CAST(dst AS VARCHAR), score FROM e")
+def graph_save(spark, sf_dir):
+    """Nodes of clauses and their edges, saved twice and loaded."""
+    store = S.GraphStore(spark, _folder(spark, "graph"))
+    nodes = G.nodes_of(_sections(spark, sf_dir))
+    edges = derived_edges(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in ("src", "dst")})
+    store.save(nodes, edges.where("type = 'SIMILAR_TO'"))
+    store.save(nodes, edges)
+    nodes, edges = store.load()
+    none = F.lit(None).cast("double").alias("score")
+    return nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("section").alias("b"), none).unionByName(edges.select(F.col("type").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), "score"))
+
+
+@query("""SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN vec_id % 2 = 0 THEN '' ELSE 'h' END AS heading, CASE WHEN vec_id % 3 = 0 THEN '' ELSE 't' END AS text, CASE WHEN vec_id % 5 = 0 THEN '' ELSE 's' END AS section, CAST(CASE WHEN vec_id % 7 = 0 THEN -1 ELSE vec_id END AS INT) AS idx, 0::BIGINT AS n_terms FROM embeddings""")
+def node_defaults(spark, sf_dir):
+    """G1: attributes that are missing."""
+    i = F.col("pos")
+    c = _sections(spark, sf_dir).withColumns({"heading": F.when(i % 2 != 0, "h"), "text": F.when(i % 3 != 0, "t"), "section": F.when(i % 5 != 0, "s"), "idx": F.when(i % 7 != 0, F.col("idx"))})
+    return G.nodes_of(c).select("id", "heading", "text", "section", "idx", F.size("defined_terms").cast("long").alias("n_terms"))
+
+
+_PAIRS = "g AS (SELECT src a, dst b, edge_seq FROM e WHERE type = 'SIMILAR_TO' AND src < dst)"
+
+
+@query(f"WITH {_EDGES}, {_PAIRS} SELECT a, b, 'text ' || x.label AS a_text, 'Clause ' || b AS b_heading FROM g JOIN embeddings x ON a = x.vec_id")
+def relation_pairs(spark, sf_dir):
+    """G3."""
+    return G.pairs_to_classify(derived_edges(spark, sf_dir), derived_nodes(spark, sf_dir)).select("a", "b", "a_text", "b_heading")
+
+
+@query(f"""WITH {_EDGES}, {_PAIRS}
+SELECT a AS src, b AS dst, 'DEPENDS_ON' AS type, 0.9::DOUBLE AS score, 'why' AS reason FROM g WHERE (a + b) % 5 < 2
+UNION ALL SELECT b, a, 'OVERRIDES', 0.5, NULL FROM g WHERE (a + b) % 5 = 1""")
+def relation_replies(spark, sf_dir):
+    """One relation, two of which one goes back and has no score, a relation with itself, no type, no JSON."""
+    replies = (
+        '[{"source": "A", "target": "B", "type": "DEPENDS_ON", "score": 0.9, "reason": "why"}]',
+        'Two: [{"source": "A", "target": "B", "type": "DEPENDS_ON", "score": 0.9, "reason": "why"}, {"source": "B", "target": "A", "type": "OVERRIDES"}]',
+        '[{"source": "A", "target": "A", "type": "OVERRIDES", "score": 0.8}]',
+        '[{"source": "A", "target": "B", "score": 0.8}]',
+        "no relation",
+    )
+    pairs = G.pairs_to_classify(derived_edges(spark, sf_dir), derived_nodes(spark, sf_dir))
+    reply = F.element_at(F.array(*map(F.lit, replies)), ((F.col("a") + F.col("b")) % 5 + 1).cast("int"))
+    return G.classified_edges(pairs.withColumn("reply", reply)).select("src", "dst", "type", "score", "reason")
+
+
+@query(f"WITH {_EDGES}, {_NODES}, o AS (SELECT id, (SELECT count(*) FROM e WHERE src = id) + (SELECT count(*) FROM e WHERE dst = id) AS degree FROM n) SELECT id, degree, least(3 * degree, 30) + 12 AS size FROM o")
+def node_visuals(spark, sf_dir):
+    """Sizes of nodes."""
+    return I.visuals(derived_nodes(spark, sf_dir), derived_edges(spark, sf_dir))[0].select("id", "degree", "size")
+
+
+@query("""SELECT 'document' AS what, CAST(n AS VARCHAR) AS a, 'file' || n AS b FROM (SELECT unnest([1, 2, 3]) n)
+UNION ALL SELECT 'flag', n_name, CASE n_regionkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END FROM nation
+UNION ALL SELECT 'question', 'q2', 'a2' UNION ALL SELECT 'question', 'q4', 'a4'""")
+def history_tables(spark, sf_dir):
+    """Three documents, flags of two, questions to two; those of the second one are read."""
+    h = S.History(spark, _folder(spark, "history"))
+    ids = [h.save_document(f"file{n}", 10 * n, "", f"2024-01-0{n}") for n in (1, 2, 3)]
+    severity = F.element_at(F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW"))), (F.col("n_regionkey") % 3 + 1).cast("int"))
+    flags = read(spark, sf_dir, "nation").select(F.col("n_name").alias("title"), F.lit("clause").alias("clause"), F.col("n_nationkey").cast("string").alias("why"), severity.alias("severity"))
+    h.save_flags(ids[0], flags)
+    h.save_flags(ids[1], flags)
+    for n in (1, 2, 3, 4):
+        h.save_question(ids[n % 2 == 0], f"q{n}", f"a{n}", f"2024-02-0{n}")
+    out = h.documents().select(F.lit("document").alias("what"), F.col("id").cast("string").alias("a"), F.col("filename").alias("b"))
+    out = out.unionByName(h.flags(ids[1]).select(F.lit("flag").alias("what"), F.col("title").alias("a"), F.col("severity").alias("b")))
+    return out.unionByName(h.questions(ids[1]).select(F.lit("question").alias("what"), F.col("question").alias("a"), F.col("answer").alias("b")))
+
+
+@query("SELECT CAST(n_nationkey AS INT) AS position, n_name AS question, 'a' || n_regionkey AS answer, n_nationkey / 2 AS latency_seconds FROM nation")
+def answers_file(spark, sf_dir):
+    """The records of one evaluated document, written and read."""
+    path = _folder(spark, "answers")
+    n = read(spark, sf_dir, "nation")
+    S.write_answers(n.select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("question"), F.concat(F.lit("a"), "n_regionkey").alias("answer"), (F.col("n_nationkey") / 2).alias("latency_seconds")), "nations", path)
+    return D.cached_answers(spark, path).select("position", "question", "answer", "latency_seconds")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS position, CAST(n_nationkey AS VARCHAR) AS id, n_name AS question, 'g' || n_regionkey AS ground_truth FROM nation")
+def qa_file(spark, sf_dir):
+    """S5."""
+    path = _folder(spark, "qa")
+    one = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("question"), F.concat(F.lit("g"), "n_regionkey").alias("ground_truth"))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", one.alias("p")))), lambda x: x["p"])
+    read(spark, sf_dir, "nation").agg(pairs.alias("qa_pairs")).write.json(path)
+    return D.qa_pairs(spark, path).select("position", "id", "question", "ground_truth")
+
+
+@query("""SELECT sha256((n_regionkey) || '/0/' || q || '/0') AS clause_id, 'cuad_' || n_regionkey AS document_id, r_name AS title, n_name AS clause_type, 'x ' || n_nationkey AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS q FROM nation) JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0 AND n_regionkey < 4""")
+def contract_file(spark, sf_dir):
+    """S3: regions as contracts, nations as questions; every fourth has an empty answer, the fifth region is beyond the limit."""
+    path = _folder(spark, "contract-set")
+    text = F.when(F.col("n_nationkey") % 4 != 0, F.concat(F.lit(" x "), "n_nationkey")).otherwise(" ")
+    qa = F.struct("n_nationkey", F.struct(F.col("n_name").alias("question"), F.array(F.struct(text.alias("text"))).alias("answers")).alias("qa"))
+    qas = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(qa)), lambda x: x["qa"]).alias("qas"))
+    each = qas.join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    contract = F.struct("r_regionkey", F.struct(F.col("r_name").alias("title"), F.array(F.struct("qas")).alias("paragraphs")).alias("c"))
+    each.agg(F.transform(F.array_sort(F.collect_list(contract)), lambda x: x["c"]).alias("data")).write.json(path)
+    return D.contract_clauses(spark, path, 4).select("clause_id", "document_id", "title", "clause_type", "text")
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS again FROM orders WHERE o_orderkey % 2 = 1")
+def checkpoint_missing(spark, sf_dir):
+    """Even questions are scored already; the rest is scored, written as results and read as the latest."""
+    folder = _folder(spark, "results")
+    q = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    c = S.Checkpoint(spark, f"{folder}/checkpoint", "id long")
+    c.add(c.missing(q).where("id % 4 = 0"))
+    c.add(c.missing(q).where("id % 2 = 0"))
+    S.write_results(c.missing(q).withColumn("again", F.col("id") % 3 == 0), folder, "20240101")
+    return spark.read.schema("id long, again boolean").json(f"{folder}/latest.json")
