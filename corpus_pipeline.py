@@ -2,6 +2,9 @@
 
 Each stage takes all that the one before it kept, written as Parquet to the shared folder and read again. The
 first four return the columns of documents; the last one the pieces of packed sequences.
+
+Every stage takes empty tables (no rows come back), repeated rows, more columns than documents has (they are
+carried, whatever their names), and nulls in any column. What a null or empty text does is said at each stage.
 """
 
 from __future__ import annotations
@@ -18,13 +21,16 @@ from strataloom.llm.shared import stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, among them null, empty and very short texts; repeated rows are judged alike."""
     judged = quality_rules(docs.withColumn("row", F.struct(*docs.columns)), carry=("row",))
     return judged.where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays; repeated rows are copies, of which one stays.
+
+    Texts without words, and null ones, are duplicates of nothing.
+    """
     return drop_near_duplicates(docs)
 
 
@@ -35,21 +41,24 @@ def _with_text(found: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of benchmark items are cut; documents that consist of them mostly go."""
+    """Spans of benchmark items are cut; documents that consist of them mostly go.
+
+    A text without words, or null, has nothing to cut and stays as it is; n_chars is the new text's length.
+    """
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     found = decontaminate(docs.withColumn("row", F.struct(*rest)), table(spark, sf_dir, "benchmark"), carry=("row",))
-    return _with_text(found.where("clean is not null"), "clean", docs.columns)
+    return _with_text(found.where("clean is not null or n_words = 0"), "clean", docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; no document goes."""
+    """Secrets are masked; no document goes, and a null text stays null."""
     model = train(random_samples(spark).union(ordinary_samples(docs, table(spark, sf_dir, "labels"))))
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     return _with_text(scan_secrets(docs.withColumn("row", F.struct(*rest)), model, carry=("row",)), "redacted", docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences; ids_crc32 stands for their ids."""
+    """Pieces of packed sequences; ids_crc32 stands for their ids. A null or empty text is its end id alone; repeated rows are packed each."""
     return pack_documents(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
