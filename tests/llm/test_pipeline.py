@@ -58,3 +58,42 @@ def test_short_items_are_cut(spark, tmp_path):
     got = {r["doc_id"]: r for r in P.decontamination(spark, docs, str(tmp_path)).collect()}
     assert {i: r["text"] for i, r in got.items()} == {i: t.replace(item, "") for i, t in texts.items()}
     assert all(r["n_chars"] == len(r["text"]) and not brute_hits(r["text"], [(1, item)])[1] for r in got.values())
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string, kept int, clean string, n_words string"
+
+
+def _tables(spark, folder, labels, items):
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    _tables(spark, tmp_path, [], [])
+    docs = spark.createDataFrame([], COLUMNS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.dtypes == docs.dtypes and out.count() == 0, name
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_what_is_not_theirs(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and columns with names that the operators use themselves."""
+    _tables(spark, tmp_path, [(1, 1, 0), (2, 1, 0), (None, None, None)], [(1, prose(77, 60)), (2, None), (None, "")])
+    rows = [(i, prose(i, 120), "en", "s", 5, "r", 7, "c", "w") for i in (1, 2)] + [(3, None, None, None, None, None, None, None, None), (4, "", None, "s", 0, None, 1, None, None), (None, prose(9, 120), None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows + rows[:1], COLUMNS)
+    got = {name: [tuple(r) for r in stage(spark, docs, str(tmp_path)).collect()] for name, stage in P.STAGES[:-1]}
+    good = [r for r in rows if r[1]]
+
+    def same(found, wanted, but=()):
+        keep = [i for i, c in enumerate(docs.columns) if c not in but]
+        return Counter(tuple(r[i] for i in keep) for r in found) == Counter(tuple(r[i] for i in keep) for r in wanted)
+
+    assert same(got["quality rules"], good + rows[:1])
+    assert same(got["near dedup"], rows)
+    for name in ("decontamination", "secret scan"):
+        assert same(got[name], rows + rows[:1], ("n_chars",)), name
+        assert all(r[4] == (None if r[1] is None else len(r[1])) for r in got[name])
+    pieces = P.packing(spark, docs, str(tmp_path)).collect()
+    assert sum(r["length"] for r in pieces if r["doc_id"] in (3, 4)) == 2 and Counter(r["doc_id"] for r in pieces)[1] >= 2
