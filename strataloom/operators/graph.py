@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.parsing import lenient_array, readable_array
 from ..functions.text import first_chars
+from ..storage import stored
 
 RELATION_REPLY = "array<struct<source:string,target:string,type:string,score:double,reason:string>>"
 
@@ -111,3 +114,27 @@ def insert_clause(nodes: DataFrame, edges: DataFrame, clause: DataFrame, near: D
         pairs = near.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("seq").alias("edge_seq")).join(a, "a").join(b, "b")
         stages.append(classified_edges(model(pairs.withColumn("prompt", relation_prompt()))))
     return add_terms(everyone, clause_terms(clause, model)), upsert_edges(*stages)
+
+
+def insert_clauses(nodes: DataFrame, edges: DataFrame, clauses: DataFrame, near: DataFrame, threshold: float = K.SIMILAR_DISTANCE, model=None) -> tuple[DataFrame, DataFrame]:
+    """G7 for many clauses: the rows of nodes and edges that are new or change; all others stay as they are.
+
+    near has src (a new id), dst, distance and seq, of clauses before it. A node that is written again gets the new
+    attributes and keeps its place and the terms it had.
+    """
+    from .terms import add_terms, clause_terms
+
+    fresh = add_terms(nodes_of(clauses), clause_terms(clauses, model))
+    held = nodes.select(F.col("id").alias("h_id"), F.col("defined_terms").alias("h_terms"), F.col("node_seq").alias("h_seq"))
+    none = F.array().cast("array<string>")
+    changed = fresh.join(held, F.col("id") == F.col("h_id"), "left").select(
+        "id", "heading", "text", "section", "idx", F.array_union(F.coalesce("h_terms", none), F.coalesce("defined_terms", none)).alias("defined_terms"), F.coalesce("h_seq", "node_seq").alias("node_seq")
+    )
+    stages = [similar_edges(near, threshold)]
+    if model:
+        a = fresh.select(F.col("id").alias("a"), F.col("heading").alias("a_heading"), F.col("text").alias("a_text"))
+        b = nodes.unionByName(fresh).dropDuplicates(["id"]).select(F.col("id").alias("b"), F.col("heading").alias("b_heading"), F.col("text").alias("b_text"))
+        pairs = near.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("seq").alias("edge_seq")).join(a, "a").join(b, "b")
+        stages.append(stored(classified_edges(model(pairs.withColumn("prompt", relation_prompt()))), "classified"))
+    keys = reduce(DataFrame.union, [s.select("src", "dst") for s in stages]).distinct()
+    return changed, upsert_edges(edges.join(keys, ["src", "dst"], "left_semi").select(*edges.columns), *stages)

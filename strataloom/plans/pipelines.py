@@ -16,6 +16,8 @@ from ..operators.clauses import ready_clauses
 from ..operators.graph import build_graph, insert_clause
 from ..operators.traversal import impact
 from ..operators.vectors import expand_hits, role_search, search, self_knn
+from ..sources.stores import vector_rows
+from ..storage import stored
 
 
 def embedded(clauses: DataFrame, embed) -> DataFrame:
@@ -32,12 +34,14 @@ def neighbours(vectors: DataFrame, k: int = K.NEIGHBOURS) -> DataFrame:
 
 
 def ingest(docs: DataFrame, embed, model=None, vectors=None, graph=None, threshold: float = K.SIMILAR_DISTANCE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """P1. Clauses with embeddings, nodes and edges of documents; stored where stores are given."""
-    clauses = embedded(ready_clauses(docs, model), embed)
-    if vectors is not None:
-        vectors.clear()
-        vectors.add(clauses)
+    """P1. Clauses with embeddings, nodes and edges of documents; stored where stores are given, all in one version if these share a log."""
+    clauses = stored(embedded(ready_clauses(docs, model), embed), "ingested")
     nodes, edges = build_graph(clauses, neighbours(clauses), threshold, model)
+    if vectors is not None and graph is not None and vectors.log is graph.log:
+        vectors.log.write({"vectors": vector_rows(clauses), "nodes": nodes, "edges": edges}, order={"vectors": "pos"}, clear=("vectors", "nodes", "edges"))
+        return clauses, nodes, edges
+    if vectors is not None:
+        vectors.log.write({"vectors": vector_rows(clauses)}, order={"vectors": "pos"}, clear=("vectors",))
     if graph is not None:
         graph.save(nodes, edges)
     return clauses, nodes, edges

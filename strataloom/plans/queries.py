@@ -783,7 +783,7 @@ def vector_upsert(spark, sf_dir):
     store.add(c.where("pos % 2 = 0"))
     third = c.where("pos % 3 = 0")
     store.add(third.withColumn("heading", F.lit("early")).unionByName(third.withColumns({"heading": F.lit("again"), "pos": F.col("pos") + 1_000_000_000})))
-    rows = store.table.rows().join(store.ids(), "id")
+    rows = store.rows().join(store.ids(), "id")
     return rows.select("id", "heading", "idx", F.size("embedding").cast("long").alias("dims"))
 
 
@@ -795,7 +795,28 @@ def contract_upsert(spark, sf_dir):
     c = _sections(spark, sf_dir).select(F.col("id").alias("clause_id"), F.concat(F.lit("d"), "section").alias("document_id"), F.lit("kind").alias("clause_type"), "text", F.array(F.lit("legal")).alias("roles"), (label % 2 == 0).alias("approved"), "embedding")
     store.upsert(c.where("clause_id % 2 = 0"), lambda rows: rows)
     store.upsert(c, lambda rows: rows)
-    return store.table.rows().groupBy("clause_id", "document_id", "approved").agg(F.count(F.lit(1)).alias("n"))
+    return store.rows().groupBy("clause_id", "document_id", "approved").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_V}, d AS (SELECT a.vec_id src, b.vec_id dst, 1 - list_cosine_similarity(a.e, b.e) dist FROM v a JOIN v b ON b.vec_id < a.vec_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, CAST(dst AS VARCHAR)) rk FROM d QUALIFY rk <= 8)
+SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, round(1 - dist, 4) AS score, 281474976710656 + (src * 1000 + rk) * 2 AS edge_seq FROM n WHERE dist <= 0.65
+UNION ALL SELECT CAST(dst AS VARCHAR), CAST(src AS VARCHAR), round(1 - dist, 4), 281474976710656 + (src * 1000 + rk) * 2 + 1 FROM n WHERE dist <= 0.65""")
+def graph_inserts(spark, sf_dir):
+    """All vectors as clauses that arrive in three batches, of which the second comes twice."""
+    from ..streaming.inserts import insert_batch
+
+    vectors, graph = S.clause_base(spark, _folder(spark, "base"))
+    c = _sections(spark, sf_dir).withColumn("text", F.to_json("embedding")).drop("embedding")
+    n = c.count()
+
+    def told(rows: DataFrame) -> DataFrame:  # the text is the vector
+        return rows.withColumn("embedding", F.from_json(F.regexp_extract("text", r"\[.*\]", 0), "array<float>"))
+
+    for epoch in (0, 1, 1, 2):
+        part = c.where((F.col("pos") >= epoch * n // 3) & (F.col("pos") < (epoch + 1) * n // 3))
+        insert_batch(part, told, vectors, graph, 0.65, writer="query", epoch=epoch)
+    return graph.load()[1].select("src", "dst", "score", "edge_seq")
 
 
 @query(f"WITH {_EDGES} SELECT 'node' AS what, CAST(vec_id AS VARCHAR) AS a, CAST(label AS VARCHAR) AS b, CAST(NULL AS DOUBLE) AS score FROM embeddings UNION ALL SELECT type, CAST(src AS VARCHAR), CAST(dst AS VARCHAR), score FROM e")
@@ -851,21 +872,39 @@ def node_visuals(spark, sf_dir):
     return I.visuals(derived_nodes(spark, sf_dir), derived_edges(spark, sf_dir))[0].select("id", "degree", "size")
 
 
-@query("""SELECT 'document' AS what, CAST(n AS VARCHAR) AS a, 'file' || n AS b FROM (SELECT unnest([1, 2, 3]) n)
-UNION ALL SELECT 'flag', n_name, CASE n_regionkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END FROM nation
-UNION ALL SELECT 'question', 'q2', 'a2' UNION ALL SELECT 'question', 'q4', 'a4'""")
+@query("""WITH d AS (SELECT row_number() OVER (ORDER BY lang, source, doc_id) AS id, doc_id, source || '-' || doc_id AS filename, lang FROM documents)
+SELECT 'document' AS what, CAST(id AS VARCHAR) AS a, filename AS b, lang AS c FROM d
+UNION ALL SELECT 'flag', CAST(id AS VARCHAR), 'flag of ' || source, CASE d.doc_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END FROM d JOIN documents USING (doc_id) WHERE d.doc_id % 4 = 0
+UNION ALL SELECT 'question', CAST(conv_id AS VARCHAR), text, CAST(turn AS VARCHAR) FROM conversations WHERE role = 'user'""")
 def history_tables(spark, sf_dir):
-    """Three documents, flags of two, questions to two; those of the second one are read."""
+    """All documents, flags of every fourth one, and the users' turns as questions."""
+    h = S.History(spark, _folder(spark, "history"))
+    d = read(spark, sf_dir, "documents")
+    # by time (here lang), then name: the name's order is that of source and id
+    made = h.save_documents(d.select(F.concat("source", F.lit("-"), F.format_string("%012d", "doc_id")).alias("filename"), F.col("lang").alias("uploaded_at"), F.col("n_chars").cast("int").alias("word_count"), F.lit("").alias("summary"), "doc_id", "source"))
+    severity = F.element_at(F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    h.save_all_flags(made.where("doc_id % 4 = 0").select(F.col("id").alias("document_id"), F.concat(F.lit("flag of "), "source").alias("title"), F.lit("clause").alias("clause"), F.col("doc_id").cast("string").alias("why"), severity.alias("severity")))
+    c = read(spark, sf_dir, "conversations").where("role = 'user'")
+    h.save_questions(c.select(F.col("conv_id").alias("document_id"), F.col("text").alias("question"), F.lit("").alias("answer"), F.col("turn").cast("string").alias("asked_at")))
+    name = F.regexp_replace("filename", "-0*(?=[0-9])", "-")
+    out = h.documents().select(F.lit("document").alias("what"), F.col("id").cast("string").alias("a"), name.alias("b"), F.col("uploaded_at").alias("c"))
+    out = out.unionByName(h.log.read("flags").select(F.lit("flag").alias("what"), F.col("document_id").cast("string").alias("a"), F.col("title").alias("b"), F.col("severity").alias("c")))
+    return out.unionByName(h.log.read("questions").select(F.lit("question").alias("what"), F.col("document_id").cast("string").alias("a"), F.col("question").alias("b"), F.col("asked_at").alias("c")))
+
+
+@query("""SELECT 'flag' AS what, n_name AS a, CASE n_regionkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS b FROM nation UNION ALL SELECT 'question', r_name, 'a' || r_regionkey FROM region""")
+def history_of_one(spark, sf_dir):
+    """Flags and questions of the second of three documents, beside those of the first."""
     h = S.History(spark, _folder(spark, "history"))
     ids = [h.save_document(f"file{n}", 10 * n, "", f"2024-01-0{n}") for n in (1, 2, 3)]
     severity = F.element_at(F.array(*map(F.lit, ("HIGH", "MEDIUM", "LOW"))), (F.col("n_regionkey") % 3 + 1).cast("int"))
     flags = read(spark, sf_dir, "nation").select(F.col("n_name").alias("title"), F.lit("clause").alias("clause"), F.col("n_nationkey").cast("string").alias("why"), severity.alias("severity"))
     h.save_flags(ids[0], flags)
     h.save_flags(ids[1], flags)
-    for n in (1, 2, 3, 4):
-        h.save_question(ids[n % 2 == 0], f"q{n}", f"a{n}", f"2024-02-0{n}")
-    out = h.documents().select(F.lit("document").alias("what"), F.col("id").cast("string").alias("a"), F.col("filename").alias("b"))
-    out = out.unionByName(h.flags(ids[1]).select(F.lit("flag").alias("what"), F.col("title").alias("a"), F.col("severity").alias("b")))
+    asked = read(spark, sf_dir, "region").select(F.col("r_name").alias("question"), F.concat(F.lit("a"), "r_regionkey").alias("answer"), F.col("r_comment").alias("asked_at"))
+    for n in ids[:2]:
+        h.save_questions(asked.withColumn("document_id", F.lit(n).cast("long")))
+    out = h.flags(ids[1]).select(F.lit("flag").alias("what"), F.col("title").alias("a"), F.col("severity").alias("b"))
     return out.unionByName(h.questions(ids[1]).select(F.lit("question").alias("what"), F.col("question").alias("a"), F.col("answer").alias("b")))
 
 

@@ -1,163 +1,151 @@
-"""Sinks and stores: vectors, graphs, history, results. Each is a folder of Parquet tables.
-
-A table is replaced by writing a new version beside the old one and then its number to a small log, which is
-what readers look at; a job that fails half-way leaves the old version in force.
-"""
+"""Sinks and stores: vectors, graphs, history, results. All but results are tables of a log-structured store."""
 
 from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-
-
-class Table:
-    """A versioned Parquet table."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _log(self) -> int | None:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions")
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return None
-        return max((int(s.getPath().getName()) for s in fs.listStatus(folder)), default=None)
-
-    def exists(self) -> bool:
-        return self._log() is not None
-
-    def read(self) -> DataFrame | None:
-        """S7. The current version; None where there is none."""
-        n = self._log()
-        return None if n is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/v{n}")
-
-    def rows(self) -> DataFrame:
-        got = self.read()
-        return self.spark.createDataFrame([], self.schema) if got is None else got
-
-    def replace(self, rows: DataFrame) -> None:
-        n = (self._log() or 0) + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{n}")
-        jvm = self.spark.sparkContext._jvm
-        mark = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions/{n}")
-        mark.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(mark, True).close()
-
-    def create(self) -> None:
-        """Create if absent."""
-        if not self.exists():
-            self.replace(self.spark.createDataFrame([], self.schema))
-
-    def append(self, rows: DataFrame) -> None:
-        self.replace(self.rows().unionByName(rows))
+from ..operators.numbering import numbered
+from .logstore import Keyed, LogStore
 
 
 class VectorStore:
-    """K15, K1-K3, S8, S9. Vectors by id."""
+    """K15, K1-K3, S8, S9. Vectors by id: a write adds its own rows only."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.table = Table(spark, path, K.VECTORS)
-        self.table.create()
+    def __init__(self, spark: SparkSession, path: str, log: LogStore | None = None) -> None:
+        self.log = log or LogStore(spark, path, {"vectors": Keyed(K.VECTORS, ("id",))})
+        if log is None and not self.log.version():
+            self.log.write({}, clear=("vectors",))
 
-    def add(self, clauses: DataFrame) -> None:
+    def add(self, clauses: DataFrame, writer: str | None = None, epoch: int | None = None) -> None:
         """K1, K2. Upsert; the last of equal ids (by pos) counts; idx is kept as a string; an empty frame is no change."""
-        roles = F.col("roles") if "roles" in clauses.columns else F.lit(None).cast("array<string>")
-        new = clauses.select("id", "embedding", "heading", "text", "section", F.col("idx").cast("string").alias("idx"), roles.alias("roles"), (F.col("pos") + 1).cast("long").alias("w"))
-        if new.isEmpty():
-            return
-        last = Window.partitionBy("id").orderBy(F.desc("w"))
-        both = self.table.rows().withColumn("w", F.lit(0).cast("long")).unionByName(new)
-        self.table.replace(both.withColumn("k", F.row_number().over(last)).where("k = 1").drop("k", "w"))
+        new = vector_rows(clauses)
+        if not new.isEmpty():
+            self.log.write({"vectors": new}, order={"vectors": "pos"}, writer=writer, epoch=epoch)
 
     def clear(self) -> None:
         """K3."""
-        self.table.replace(self.table.spark.createDataFrame([], K.VECTORS))
+        self.log.write({}, clear=("vectors",))
+
+    def rows(self) -> DataFrame:
+        return self.log.read("vectors")
 
     def get(self, clause_id: str) -> dict | None:
-        """S8."""
-        row = self.table.rows().where(F.col("id") == clause_id).first()
+        """S8. Only the id's bucket is read."""
+        row = self.log.lookup("vectors", clause_id).first()
         return row.asDict() if row else None
 
     def ids(self) -> DataFrame:
-        return self.table.rows().select("id")
+        return self.rows().select("id")
 
     def count(self) -> int:
-        return self.table.rows().count()
+        return self.rows().count()
+
+
+def vector_rows(clauses: DataFrame) -> DataFrame:
+    """Clauses with embeddings as rows of the vector table."""
+    roles = F.col("roles") if "roles" in clauses.columns else F.lit(None).cast("array<string>")
+    return clauses.select("id", "embedding", "heading", "text", "section", F.col("idx").cast("string").alias("idx"), roles.alias("roles"), F.col("pos").cast("long").alias("pos"))
 
 
 class ContractStore:
     """K4, K5. Clauses with roles and vectors, keyed by clause id, so writing again changes nothing."""
 
+    SCHEMA = K.CONTRACT_CLAUSES + ", embedding array<float>"
+
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.table = Table(spark, path, K.CONTRACT_CLAUSES + ", embedding array<float>")
-        self.table.create()
+        self.log = LogStore(spark, path, {"clauses": Keyed(self.SCHEMA, ("clause_id",))})
+        if not self.log.version():
+            self.log.write({}, clear=("clauses",))
+
+    def rows(self) -> DataFrame:
+        return self.log.read("clauses")
 
     def upsert(self, clauses: DataFrame, embed) -> None:
-        new = embed(clauses).select("clause_id", "document_id", "clause_type", "text", "roles", "approved", "embedding").dropDuplicates(["clause_id"])
-        self.table.replace(self.table.rows().join(new, "clause_id", "left_anti").unionByName(new))
+        """Of equal ids in one call the last text counts."""
+        new = embed(clauses).select("clause_id", "document_id", "clause_type", "text", "roles", "approved", "embedding")
+        self.log.write({"clauses": new}, order={"clauses": "text"})
+
+
+GRAPH = {"nodes": Keyed(K.NODES, ("id",)), "edges": Keyed(K.EDGES, ("src", "dst"))}
 
 
 class GraphStore:
-    """K6, S7. Nodes and edges."""
+    """K6, S7. Nodes and edges, written in one version."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.nodes, self.edges = Table(spark, f"{path}/nodes", K.NODES), Table(spark, f"{path}/edges", K.EDGES)
+    def __init__(self, spark: SparkSession, path: str, log: LogStore | None = None) -> None:
+        self.log = log or LogStore(spark, path, GRAPH)
 
     def save(self, nodes: DataFrame, edges: DataFrame) -> None:
-        self.nodes.replace(nodes.select(*[f.split()[0] for f in K.NODES.split(", ")]))
-        self.edges.replace(edges.select(*[f.split()[0] for f in K.EDGES.split(", ")]))
+        """The whole graph anew."""
+        self.log.write({"nodes": nodes, "edges": edges}, clear=("nodes", "edges"))
 
     def load(self) -> tuple[DataFrame, DataFrame] | None:
-        nodes, edges = self.nodes.read(), self.edges.read()
-        return None if nodes is None or edges is None else (nodes, edges)
+        return (self.log.read("nodes"), self.log.read("edges")) if self.log.changed("nodes") else None
+
+
+def clause_base(spark: SparkSession, path: str) -> tuple[VectorStore, GraphStore]:
+    """Vectors, nodes and edges under one log, so that one write can change all three at once."""
+    log = LogStore(spark, path, {"vectors": Keyed(K.VECTORS, ("id",)), **GRAPH})
+    return VectorStore(spark, path, log), GraphStore(spark, path, log)
 
 
 class History:
-    """K7-K10, S10-S12. Documents, flags and questions."""
+    """K7-K10, S10-S12. Documents, flags and questions; rows are added in bulk or one at a time."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
-        self.tables = {name: Table(spark, f"{path}/{name}", schema) for name, schema in K.HISTORY.items()}
-        for t in self.tables.values():
-            t.create()
+        self.log = LogStore(spark, path, {name: Keyed(schema, ("id",)) for name, schema in K.HISTORY.items()})
+        if not self.log.version():
+            self.log.write({}, clear=tuple(K.HISTORY))
 
-    def _next(self, name: str) -> int:
-        return (self.tables[name].rows().agg(F.max("id")).first()[0] or 0) + 1
+    def _add(self, name: str, rows: DataFrame, *order: str) -> DataFrame:
+        """Number the rows on from the largest id, in the given order, and add them."""
+        last = self.log.read(name).agg(F.max("id")).first()[0] or 0
+        made = numbered(rows, *order, start=last + 1, name="id")
+        self.log.write({name: made.select(*[f.split()[0] for f in K.HISTORY[name].split(", ")])})
+        return made
+
+    def save_documents(self, rows: DataFrame) -> DataFrame:
+        """K8 for many: filename, uploaded_at, word_count, summary; their rows with ids, by time and name."""
+        return self._add("documents", rows, "uploaded_at", "filename")
 
     def save_document(self, filename: str, word_count: int, summary: str, at: str | None = None) -> int:
         """K8. The new document's id."""
-        number = self._next("documents")
-        row = [(number, filename, at or datetime.now(UTC).isoformat(), word_count, summary)]
-        self.tables["documents"].append(self.spark.createDataFrame(row, K.HISTORY["documents"]))
-        return number
+        row = [(filename, at or datetime.now(UTC).isoformat(), word_count, summary)]
+        return self.save_documents(self.spark.createDataFrame(row, "filename string, uploaded_at string, word_count int, summary string")).first()["id"]
+
+    def save_all_flags(self, flags: DataFrame) -> None:
+        """K9 for many documents: document_id, title, clause, why, severity."""
+        self._add("flags", flags, "document_id", "title", "why")
 
     def save_flags(self, document_id: int, flags: DataFrame) -> None:
         """K9. flags has title, clause, why, severity."""
-        start = self._next("flags")
-        order = Window.orderBy("title", "why")  # the flags of one document
-        rows = flags.withColumn("id", (F.row_number().over(order) + (start - 1)).cast("long")).withColumn("document_id", F.lit(document_id).cast("long"))
-        self.tables["flags"].append(rows.select("id", "document_id", "title", "clause", "why", "severity"))
+        self.save_all_flags(flags.withColumn("document_id", F.lit(document_id).cast("long")))
+
+    def save_questions(self, rows: DataFrame) -> None:
+        """K10 for many: document_id, question, answer, asked_at."""
+        self._add("questions", rows, "asked_at", "document_id", "question")
 
     def save_question(self, document_id: int, question: str, answer: str, at: str | None = None) -> None:
         """K10."""
-        row = [(self._next("questions"), document_id, question, answer, at or datetime.now(UTC).isoformat())]
-        self.tables["questions"].append(self.spark.createDataFrame(row, K.HISTORY["questions"]))
+        row = [(document_id, question, answer, at or datetime.now(UTC).isoformat())]
+        self.save_questions(self.spark.createDataFrame(row, "document_id long, question string, answer string, asked_at string"))
 
     def documents(self) -> DataFrame:
         """S10. Newest first."""
-        return newest_documents(self.tables["documents"].rows())
+        return newest_documents(self.log.read("documents"))
 
     def flags(self, document_id: int) -> DataFrame:
         """S11."""
-        return self.tables["flags"].rows().where(F.col("document_id") == document_id).select("title", "clause", "why", "severity")
+        return self.log.read("flags").where(F.col("document_id") == document_id).select("title", "clause", "why", "severity")
 
     def questions(self, document_id: int) -> DataFrame:
         """S12. Newest first."""
-        return self.tables["questions"].rows().where(F.col("document_id") == document_id).orderBy(F.desc("asked_at")).select("question", "answer", "asked_at")
+        return self.log.read("questions").where(F.col("document_id") == document_id).orderBy(F.desc("asked_at")).select("question", "answer", "asked_at")
 
 
 def newest_documents(rows: DataFrame) -> DataFrame:
@@ -180,17 +168,20 @@ def write_results(run: DataFrame, folder: str, stamp: str) -> None:
 class Checkpoint:
     """K12. Scored questions so far: those not in it are scored, and it goes when the run succeeds."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.table = Table(spark, path, schema)
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "id") -> None:
+        self.key = key
+        self.log = LogStore(spark, path, {"scored": Keyed(schema, (key,))})
+
+    def rows(self) -> DataFrame:
+        return self.log.read("scored")
 
-    def missing(self, questions: DataFrame, key: str = "id") -> DataFrame:
-        done = self.table.read()
-        return questions if done is None else questions.join(done.select(key), key, "left_anti")
+    def missing(self, questions: DataFrame) -> DataFrame:
+        return questions.join(self.rows().select(self.key), self.key, "left_anti") if self.log.version() else questions
 
     def add(self, scored: DataFrame) -> None:
-        self.table.append(scored)
+        """The rows of some questions, in one version: a run that ends meanwhile has all of them or none."""
+        self.log.write({"scored": scored})
 
     def clear(self) -> None:
-        jvm = self.table.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.table.path)
-        path.getFileSystem(self.table.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.log.write({}, clear=("scored",))
+        self.log.vacuum()

@@ -61,14 +61,14 @@ def test_ingest_ask_and_impact(spark, tmp_path):
     nodes, edges = graph.load()
     assert {r["type"] for r in edges.collect()} == {"SIMILAR_TO"} and edges.count() == 2
     questions = spark.createDataFrame([("q", "Who decides on matters of the college?")], "query string, question string")
-    reply = L.ask(questions, vectors.table.rows(), nodes, edges, EMBED, stub(lambda p: F.concat(F.lit("n="), F.length(p).cast("string"))), k=2).first()
+    reply = L.ask(questions, vectors.rows(), nodes, edges, EMBED, stub(lambda p: F.concat(F.lit("n="), F.length(p).cast("string"))), k=2).first()
     assert reply["n_hits"] == 2 and reply["context"].count("---") == 1
     model = stub(lambda p: F.lit('[{"source": "A", "target": "B", "type": "DEPENDS_ON", "score": 0.9, "reason": "r"}]'))
-    report = L.new_clause_impact(spark, "The board decides on all books.", "1 Board Powers", nodes, edges, vectors.table.rows(), EMBED, model, stub(F.lit("fine")), graph, vectors)
+    report = L.new_clause_impact(spark, "The board decides on all books.", "1 Board Powers", nodes, edges, vectors.rows(), EMBED, model, stub(F.lit("fine")), graph, vectors)
     row = report.first()
     assert row["start"].endswith("_2") and row["n_dependencies"] == 3 and row["summary"] == "fine"
     assert vectors.count() == 3  # nothing is stored without commit
-    L.new_clause_impact(spark, "The board decides on all books.", "New", nodes, edges, vectors.table.rows(), EMBED, None, None, graph, vectors, commit=True).count()
+    L.new_clause_impact(spark, "The board decides on all books.", "New", nodes, edges, vectors.rows(), EMBED, None, None, graph, vectors, commit=True).count()
     assert vectors.count() == 4 and graph.load()[0].count() == 4
 
 
@@ -90,16 +90,3 @@ def test_providers(spark):
     assert sorted(r["reply"] for r in replay(io)(df).collect()) == ["A", "B"]
     made = http_embeddings("http://x", "m", post=lambda url, body, timeout: {"embedding": [len(body["prompt"])]}, delay=0, calls=1)(spark.createDataFrame([("abc",), (" ",)], "text string"))
     assert sorted((r["embedding"] or [0])[0] for r in made.collect()) == [0, 3]
-
-
-def test_stream(spark, tmp_path):
-    from strataloom.streaming.inserts import stream_inserts
-
-    vectors, graph = stores.VectorStore(spark, str(tmp_path / "v")), stores.GraphStore(spark, str(tmp_path / "g"))
-    schema = "id string, heading string, text string, section string, idx int, pos long"
-    spark.createDataFrame([("a", "h", "the board decides", "1", 0, 0), ("b", "h", "the board decides", "1", 1, 1)], schema).write.parquet(str(tmp_path / "in"))
-    stream_inserts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), EMBED, vectors, graph, str(tmp_path / "cp")).awaitTermination()
-    assert vectors.count() == 2
-    spark.createDataFrame([("c", "h", "the board decides", "1", 2, 2)], schema).write.mode("append").parquet(str(tmp_path / "in"))
-    stream_inserts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), EMBED, vectors, graph, str(tmp_path / "cp")).awaitTermination()
-    assert vectors.count() == 3 and graph.load()[1].count() == 4
