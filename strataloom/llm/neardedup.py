@@ -181,7 +181,7 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, _Rows
             yield (int(b[lo]), int(block[lo])), int(role[lo]), rows.part(slice(lo, hi)), slice(lo, hi)
 
 
-def _strays(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, block_rows: int) -> DataFrame:
+def _strays(members: DataFrame, n_members: int, labels: DataFrame, classes: DataFrame, percent: int, block_rows: int) -> DataFrame:
     """Rows (ROW) of buckets and blocks that have a likely partner of another component there.
 
     members has b, pos, pivot, cid; labels has node, component. Each bucket's strays (outside its pivot's
@@ -191,15 +191,17 @@ def _strays(members: DataFrame, labels: DataFrame, classes: DataFrame, percent:
     known = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     buckets = (
         known.groupBy("b")
-        .agg(F.max(F.when(F.col("cid") == F.col("pivot"), F.col("comp"))).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .agg(F.max(F.when(F.col("cid") == F.col("pivot"), F.col("comp"))).alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
         .where("lo <> hi")
-        .select("b", "main")
+        .select("b", "main", "size")
     )
-    active = known.join(buckets, "b").withColumn("stray", F.col("comp") != F.col("main")).join(classes.select("cid", "n", "regs", "fine"), "cid")
+    # a bucket may hold much of all rows: both joins by bucket are split
+    met = split_join(known.drop("component"), stored(buckets, "buckets"), "b", "size", n_members, spread=("cid",))
+    active = stored(met.withColumn("stray", F.col("comp") != F.col("main")).join(classes.select("cid", "n"), "cid").select("b", "pos", "cid", "comp", "stray", "n"), "active")
     own = F.col("stray").cast("long")
     size = F.ceil(F.greatest(F.sum(own) / block_rows, F.sum(own * (F.col("n") * 8 + 1000)) / BLOCK_BYTES))
-    counts = active.groupBy("b").agg(size.cast("long").alias("blocks"), F.ceil(F.count(F.lit(1)) / MEET).alias("parts"))
-    rows = active.join(counts, "b")
+    counts = active.groupBy("b").agg(size.cast("long").alias("blocks"), F.ceil(F.count(F.lit(1)) / MEET).alias("parts"), F.count(F.lit(1)).alias("size"))
+    rows = split_join(active, stored(counts, "buckets"), "b", "size", n_members, spread=("cid",)).join(classes.select("cid", "regs", "fine"), "cid")
     cols = ("pos", "cid", "comp", "stray", "n", "regs", "fine")
     # a grid of blocks of strays and parts of the members; one number stands for both
     own, part = F.pmod(F.xxhash64("cid"), F.col("blocks")), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("parts"))
@@ -344,7 +346,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_stars = star.count()
     links = stored(_verified(_likely(star, known, percent, n_stars), texts, percent, n_stars), "links")
     labels = connected_components(links, "x", "y")
-    flagged = stored(_strays(members, labels, known, percent, block_rows), "strays")
+    flagged = stored(_strays(members, members.count(), labels, known, percent, block_rows), "strays")
     more = stored(_forests(flagged, known, texts, percent).distinct(), "links")
     if more.isEmpty():
         final = labels
@@ -373,11 +375,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = judged.where("not kept").select("j_id", "text_hash").distinct()
     again = judged.where("kept").groupBy("j_id", "text_hash").count().where("count > 1").select("j_id", "text_hash")
 
-    def at(other: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+    whole = docs.select(F.struct("*").alias("row"))  # so that no column of docs clashes with those that it is met with
+
+    def at(other: DataFrame, how: str) -> DataFrame:
         other = F.broadcast(other) if other.count() <= BROADCAST_CLASSES else other
-        return rows.join(other, F.col(id_col).cast("long").eqNullSafe(F.col("j_id")) & F.xxhash64(text_col).eqNullSafe(F.col("text_hash")), how)
+        own, text = F.col(f"row.`{id_col}`").cast("long"), F.xxhash64(F.col(f"row.`{text_col}`"))
+        return whole.join(other, own.eqNullSafe(F.col("j_id")) & text.eqNullSafe(F.col("text_hash")), how).select("row.*")
 
     if again.isEmpty():
-        return at(gone, "left_anti", docs)
-    single = at(again, "left_semi", docs).dropDuplicates([id_col, text_col])
-    return at(gone.union(again), "left_anti", docs).unionByName(single)
+        return at(gone, "left_anti")
+    single = at(again, "left_semi").dropDuplicates([id_col, text_col])
+    return at(gone.union(again), "left_anti").unionByName(single)

@@ -60,7 +60,7 @@ def test_short_items_are_cut(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) and not brute_hits(r["text"], [(1, item)])[1] for r in got.values())
 
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string, kept int, clean string, n_words string"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string, kept int, clean string, n_words string, text_hash string, j_id string"
 
 
 def _tables(spark, folder, labels, items):
@@ -81,7 +81,7 @@ def test_stages_of_empty_tables(spark, tmp_path):
 def test_stages_keep_what_is_not_theirs(spark, tmp_path):
     """Nulls in any column, empty texts, repeated rows and columns with names that the operators use themselves."""
     _tables(spark, tmp_path, [(1, 1, 0), (2, 1, 0), (None, None, None)], [(1, prose(77, 60)), (2, None), (None, "")])
-    rows = [(i, prose(i, 120), "en", "s", 5, "r", 7, "c", "w") for i in (1, 2)] + [(3, None, None, None, None, None, None, None, None), (4, "", None, "s", 0, None, 1, None, None), (None, prose(9, 120), None, None, None, None, None, None, None)]
+    rows = [(i, prose(i, 120), "en", "s", 5, "r", 7, "c", "w", "h", "j") for i in (1, 2)] + [(3, *[None] * 10), (4, "", None, "s", 0, None, 1, None, None, "h", None), (None, prose(9, 120), *[None] * 9)]
     docs = spark.createDataFrame(rows + rows[:1], COLUMNS)
     got = {name: [tuple(r) for r in stage(spark, docs, str(tmp_path)).collect()] for name, stage in P.STAGES[:-1]}
     good = [r for r in rows if r[1]]
