@@ -48,7 +48,7 @@ class DoubleArray:
     def __init__(self, paths: list[np.ndarray]) -> None:
         self.base, self.check = np.zeros(64, np.int64), np.full(64, -1, np.int64)
         self.check[0] = 0  # the root is its own parent
-        self._free = 1  # no slot below is free
+        self._free, self._end = 1, 1  # no slot below is free; none from here on is taken
         lengths = np.array([len(p) for p in paths], np.int64)
         starts = np.r_[0, np.cumsum(lengths)[:-1]] if len(paths) else np.zeros(0, np.int64)
         flat = np.concatenate(paths) if len(paths) else np.zeros(0, np.int64)
@@ -74,26 +74,24 @@ class DoubleArray:
 
     def _place(self, node: int, turns: np.ndarray) -> None:
         """A base at which all of the node's turns meet free slots."""
-        low, high = int(turns[0]), int(turns[-1])
-        while self._free < len(self.check) and self.check[self._free] >= 0:
+        low = int(turns[0])
+        while self._free < self._end and self.check[self._free] >= 0:
             self._free += 1
-        window = self.check[self._free : self._free + 64 * TRIES]
-        free = np.flatnonzero(window < 0)[:TRIES] + self._free
-        at = None
-        for f in free.tolist():
+        window = self.check[self._free : min(self._end, self._free + 64 * TRIES)]
+        for f in (np.flatnonzero(window < 0)[:TRIES] + self._free).tolist():
             slots = f - low + turns
-            if slots[-1] < len(self.check) and (self.check[slots] < 0).all():
-                at = f
+            if (self.check[slots[: np.searchsorted(slots, self._end)]] < 0).all():
                 break
-        if at is None:  # behind all that is taken
-            at = len(self.check)
-        size = max(len(self.check), at + high - low + 1)
-        if size > len(self.check):
-            size = max(size, len(self.check) * 2)
+        else:  # behind all that is taken
+            slots = self._end - low + turns
+        last = int(slots[-1]) + 1
+        if last > len(self.check):
+            size = max(last, 2 * self._end)
             self.base = np.r_[self.base, np.zeros(size - len(self.base), np.int64)]
             self.check = np.r_[self.check, np.full(size - len(self.check), -1, np.int64)]
-        self.base[node] = at - low
-        self.check[at - low + turns] = node
+        self._end = max(self._end, last)
+        self.base[node] = int(slots[0]) - low
+        self.check[slots] = node
 
 
 def rebuilt(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = 100, most: int = 5) -> DataFrame:
@@ -178,11 +176,16 @@ def _chain(path: bytes, depth: int) -> list[bytes]:
 
 def shard_nodes(name: str, paths: list[bytes], lens: list[np.ndarray], times: np.ndarray, least: np.ndarray, ends: list[str]) -> pa.RecordBatch:
     """Nodes (NODE) of a shard of distinct sorted paths."""
-    turns = np.frombuffer(b"".join(paths), f"S{WIDTH}") if any(paths) else np.zeros(0, f"S{WIDTH}")
+    turns = np.frombuffer(b"".join(paths), f"V{WIDTH}") if any(paths) else np.zeros(0, f"V{WIDTH}")
     sizes = np.array([len(p) // WIDTH for p in paths], np.int64)
-    _, first, dense = np.unique(turns, return_index=True, return_inverse=True)
-    ids = np.empty(len(first), np.int64)
-    ids[np.argsort(first, kind="stable")] = np.arange(len(first))  # siblings are numbered side by side
+    _, dense = np.unique(turns.view("u8").reshape(-1, WIDTH // 8), axis=0, return_inverse=True)
+    dense = dense.reshape(-1)
+    # numbers by depth and place of first use, so that siblings are numbered side by side
+    depths = np.arange(len(turns)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64), sizes)
+    by_depth = np.argsort(depths, kind="stable")
+    seen, first = np.unique(dense[by_depth], return_index=True)
+    ids = np.empty(len(seen), np.int64)
+    ids[np.argsort(first, kind="stable")] = np.arange(len(seen))
     trie = DoubleArray(np.split(ids[dense], np.cumsum(sizes)[:-1]))
     slots = len(trie.check)
     n_convs, n_children, n_leaves, saved = (np.zeros(slots, np.int64) for _ in range(4))
