@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import fresh_path, table, until_end
@@ -94,12 +94,10 @@ def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = "piece_bpe_32k.model"
 
-    def digest(ints: str) -> Column:
-        return F.sha2(F.array_join(F.transform(ints, lambda i: i.cast("string")), ","), 256)
-
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     decoded = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
     return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), digest("begins").alias("begins_sha256"), digest("ends").alias("ends_sha256")
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.xxhash64("begins", "ends").alias("places_hash")
     )
 
 

@@ -141,15 +141,6 @@ def test_pieces_and_their_places(rule, prefix, squeeze):
         assert list(zip(begins.tolist(), ends.tolist(), strict=True)) == told, text
 
 
-def test_user_pieces_and_memory(monkeypatch):
-    monkeypatch.setattr(piececodec, "MEMORY_PARTS", 5)
-    own = piececodec.PieceModel(with_rules("nmt_nfkc", 1, 1))
-    library = sentencepiece.SentencePieceProcessor(model_proto=with_rules("nmt_nfkc", 1, 1))
-    for text in ("one two three four five six seven", "two three eight", "x" * 500 + " one"):
-        assert own.encode(text)[0].tolist() == library.encode(text)
-        assert len(own.ids) <= 7 and all(len(p) <= piececodec.PART_CHARS for p in own.ids)
-
-
 def test_codec(spark, messy, messy_rows, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=public_file(MODEL))
     got = piececodec.decode_ids(piececodec.encode_texts(messy, MODEL, carry=("doc_id", "spans", "key")), MODEL).collect()
