@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 import pandas as pd
@@ -42,8 +43,95 @@ def readable_array(raw: Text) -> Column:
     return F.try_parse_json(own).isNotNull() | F.try_parse_json(repaired(own)).isNotNull()
 
 
+#: Where a part has too many brackets within each other for the JSON reader, those with at most so many inside are tried.
+MAX_DEPTH = 400
+_MARKS = re.compile(r'["\\\[\]{}]')
+_PLACES = re.compile(r'"(?:[^"\\]|\\.)*"?|[\[\]{}]', re.DOTALL)
+_OPEN, _CLOSE = {"[": "]", "{": "}"}, "]}"
+_FREE, _QUOTED, _ESCAPED = range(3)
+
+
+class _Bracket:
+    """An opening bracket: its place, its end once closed, and the brackets around it, one for each reader."""
+
+    __slots__ = ("end", "outer", "start", "wants")
+
+    def __init__(self, start: int, wants: str, outer: list[_Bracket]) -> None:
+        self.start, self.wants, self.outer, self.end = start, wants, outer, -1
+
+
+def _merged(a: list, b: list) -> list:
+    """Both lists in the longer one."""
+    if len(a) < len(b):
+        a, b = b, a
+    a.extend(b)
+    return a
+
+
+def _brackets(text: str) -> list[_Bracket]:
+    """All opening brackets in order, each with the end that a reader who starts at it finds, strings minded; one pass.
+
+    What a reader makes of a character depends on whether a string is open and whether a backslash stands before it: three
+    states. Readers in one state see the same brackets from there on, so they share one stack, whose lowest parts differ:
+    a bracket may have several brackets around it, one for each reader that came to share the stack.
+    """
+    found: list[_Bracket] = []
+    tops: dict[int, list[_Bracket]] = {}
+    last = -2
+    for match in _MARKS.finditer(text):
+        c, at = match.group(), match.start()
+        if _ESCAPED in tops and at > last + 1:  # the escaped character was none of these
+            tops[_QUOTED] = _merged(tops.pop(_ESCAPED), tops.pop(_QUOTED, []))
+        now: dict[int, list[_Bracket]] = {}
+        if c in _OPEN:
+            one = _Bracket(at, _OPEN[c], tops.pop(_FREE, []))
+            found.append(one)
+            now[_FREE] = [one]
+        for state, stack in tops.items():
+            if state == _ESCAPED:
+                to = _QUOTED
+            elif c == '"':
+                to = _FREE if state == _QUOTED else _QUOTED
+            elif c == "\\" and state == _QUOTED:
+                to = _ESCAPED
+            else:
+                to = state
+            if state == _FREE and c in _CLOSE:
+                left: list[_Bracket] = []
+                for one in stack:
+                    if one.wants == c:  # else this reader and those around it are done
+                        one.end = at
+                        left = _merged(left, one.outer)
+                    one.outer = []
+                stack = left
+            if stack:
+                now[to] = _merged(now[to], stack) if to in now else stack
+        tops, last = now, at
+    return found
+
+
+def _open_at(text: str, start: int, end: int, height: int | None = None) -> set[int]:
+    """Places of brackets from start on that are open at end, as a reader from start sees them; or, with a height, of those before
+    end that have more brackets within each other."""
+    stack: list[int] = []
+    high: set[int] = set()
+    for match in _PLACES.finditer(text, start, end):
+        c = match.group()
+        if c in _OPEN:
+            stack.append(match.start())
+            if height is not None and len(stack) > height + 1:
+                high.add(stack[-height - 2])
+        elif c in _CLOSE and stack:
+            stack.pop()
+    return set(stack) if height is None else high
+
+
 def first_balanced(raw: str | None) -> str | None:
-    """J3. Canonical JSON of the reply, or of the first balanced object or array in it that can be read."""
+    """J3. Canonical JSON of the reply, or of the first balanced object or array in it that can be read.
+
+    Brackets are matched in one pass. A part that cannot be read tells where: what is open there cannot be read either and is
+    not tried again, so that the time is nearly linear in the reply's length.
+    """
     if raw is None:
         return None
     text = raw.strip()
@@ -51,26 +139,19 @@ def first_balanced(raw: str | None) -> str | None:
         text = text.strip("`").removeprefix("json").strip()
     try:
         return json.dumps(json.loads(text))
-    except ValueError:
+    except (ValueError, RecursionError):
         pass
-    for start in (i for i, c in enumerate(text) if c in "[{"):
-        stack, quoted, escaped = [], False, False
-        for end in range(start, len(text)):
-            c = text[end]
-            if quoted:
-                escaped, quoted = (c == "\\" and not escaped), (escaped or c != '"')
-            elif c == '"':
-                quoted = True
-            elif c in "[{":
-                stack.append("]" if c == "[" else "}")
-            elif c in "]}":
-                if not stack or stack.pop() != c:
-                    break
-                if not stack:
-                    try:
-                        return json.dumps(json.loads(text[start : end + 1]))
-                    except ValueError:
-                        break
+    read = json.JSONDecoder().raw_decode
+    failed: set[int] = set()
+    for one in _brackets(text):
+        if one.end < 0 or one.start in failed:
+            continue
+        try:
+            return json.dumps(read(text, one.start)[0])
+        except json.JSONDecodeError as e:
+            failed |= _open_at(text, one.start, e.pos)
+        except RecursionError:
+            failed |= _open_at(text, one.start, one.end, MAX_DEPTH)
     return None
 
 

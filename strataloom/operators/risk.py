@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.parsing import flags, unfence
 from ..functions.text import first_chars, strip
+from ..storage import fresh_path, stored, until_end
 from .insight import severity_rank
 
 #: Scores are read as text first: one that is no number voids the clause's whole reply.
@@ -74,27 +75,45 @@ def filter_risks(risks: DataFrame, severities: tuple[str, ...] = ("HIGH", "MEDIU
     return risks.where(F.col("severity").isin(*severities) & F.col("category").isin(*categories))
 
 
-def fold_chunks(chunks: DataFrame, step: Callable[[str, str], str], most: int = K.SUMMARY_CHUNKS) -> DataFrame:
+def summary_prompt(summary: str = "summary", text: str = "text"):
+    """R7. The summary so far and the next chunk."""
+    return F.concat(F.lit("Continue the summary with what the text adds, in one paragraph.\n\nSummary: "), F.coalesce(summary, F.lit("(none)")), F.lit("\n\nText:\n"), F.col(text))
+
+
+def fold_summaries(chunks: DataFrame, model: Callable[[DataFrame], DataFrame], most: int = K.SUMMARY_CHUNKS) -> DataFrame:
     """R7, R8. doc_id, chunk_no, summary: the running summary after each of a document's first chunks.
 
-    step takes a chunk and the summary so far. The fold is sequential by nature; documents run side by side, each
-    with at most `most` chunks in its group.
+    A round asks the model for all documents' chunks of one number at once, each with its document's summary from the round
+    before, and stores what it replies: rounds follow one another as the fold demands, documents run side by side, and a
+    lost executor costs its share of one round. Without a reply the summary so far stays. Chunks are kept by number, so
+    that a round reads its own.
     """
+    spark = chunks.sparkSession
+    path = fresh_path(spark, "fold-chunks")
+    chunks.where(F.col("chunk_no") < most).select("doc_id", "chunk_no", "text").write.partitionBy("chunk_no").parquet(path)
+    until_end(spark, path)
     kind = chunks.schema["doc_id"].dataType.simpleString()
+    kept = spark.read.schema(f"doc_id {kind}, text string, chunk_no int").parquet(path)
+    none = spark.createDataFrame([], f"doc_id {kind}, chunk_no int, summary string")
+    state, rounds = none, []
+    for number in range(most):
+        asked = kept.where(F.col("chunk_no") == number).join(state.select("doc_id", "summary"), "doc_id", "left")
+        told = model(asked.withColumn("prompt", summary_prompt())).select("doc_id", "chunk_no", F.coalesce("reply", "summary").alias("summary"))
+        state = stored(told, "summaries")
+        if state.isEmpty():
+            break
+        rounds.append(state)
+    return reduce(DataFrame.unionByName, rounds, none)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        out, summary = [], ""
-        for number, text in sorted(zip(group.chunk_no, group.text, strict=True)):
-            summary = step(text, summary)
-            out.append((group.doc_id.iloc[0], number, summary))
-        return pd.DataFrame(out, columns=["doc_id", "chunk_no", "summary"])
 
-    return chunks.where(F.col("chunk_no") < most).groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, chunk_no int, summary string")
+def full_summaries(chunks: DataFrame, model: Callable[[DataFrame], DataFrame], most: int = K.SUMMARY_CHUNKS) -> DataFrame:
+    """R8. doc_id, summary after a document's last chunk of the first ones."""
+    return fold_summaries(chunks, model, most).groupBy("doc_id").agg(F.max_by("summary", "chunk_no").alias("summary"))
 
 
-def red_flags(chunks: DataFrame, step: Callable[[str, str], str], model: Callable[[DataFrame], DataFrame], most: int = K.SUMMARY_CHUNKS) -> DataFrame:
+def red_flags(chunks: DataFrame, summarise: Callable[[DataFrame], DataFrame], model: Callable[[DataFrame], DataFrame], most: int = K.SUMMARY_CHUNKS) -> DataFrame:
     """R9. Flags of the first chunks: each is read with the summary of those before it."""
-    sums = fold_chunks(chunks, step, most).withColumn("chunk_no", F.col("chunk_no") + 1)
+    sums = fold_summaries(chunks, summarise, most).withColumn("chunk_no", F.col("chunk_no") + 1)
     told = chunks.where(F.col("chunk_no") < most).join(sums, ["doc_id", "chunk_no"], "left")
     prompt = F.concat(
         F.lit("List red flags as FLAG:, CLAUSE:, WHY: and SEVERITY: lines with --- between entries, or write " + K.NO_FLAGS + ".\n\nSo far: "),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import lenient_array
 from ..functions.text import looks_definitional, pattern_terms, tidy_terms
 from ..storage import stored
-from .keyed import split_join
+from .numbering import numbered
 
 
 def clause_terms(clauses: DataFrame, model=None) -> DataFrame:
@@ -36,27 +40,73 @@ def definers(terms: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.max_by("id", F.struct("pos", "k")).alias("definer"), F.min(F.struct("pos", "k")).alias("term_seq"))
 
 
-def uses(clauses: DataFrame, terms: DataFrame) -> DataFrame:
-    """D8. src (clause), dst (definer), term: of several terms of one definer, the first defined one.
+#: Terms in an automaton, and their characters: more terms are looked for in further passes over the clauses.
+BLOCK_TERMS, BLOCK_CHARS = 200_000, 8_000_000
+
+_held: dict[int, ahocorasick.Automaton] = {}
+
+
+def _automaton(number: int, terms: list[tuple]) -> ahocorasick.Automaton:
+    """The automaton of a broadcast block of terms; a worker keeps one."""
+    if number not in _held:
+        _held.clear()
+        made = ahocorasick.Automaton()
+        for row in terms:
+            made.add_word(row[0], row)
+        made.make_automaton()
+        _held[number] = made
+    return _held[number]
+
+
+def _edge(text: str, at: int) -> bool:
+    """Whether a word begins or ends before place `at`."""
+    before, after = (0 <= i < len(text) and (text[i].isalnum() or text[i] == "_") for i in (at - 1, at))
+    return before != after
+
+
+def _found(lower: DataFrame, block: list[tuple], kind: str) -> DataFrame:
+    """src, dst, term, pos, k: uses of a block of terms (term, definer, pos, k), the first defined one of each definer."""
+    shipped = lower.sparkSession.sparkContext.broadcast(block)
+    number = shipped._jbroadcast.id()
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            finder = _automaton(number, shipped.value)
+            rows = []
+            for src, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen, first = set(), {}
+                for end, (term, definer, pos, k) in finder.iter(low or ""):
+                    if term not in seen and definer != src and _edge(low, end + 1) and _edge(low, end + 1 - len(term)):
+                        seen.add(term)
+                        first[definer] = min(first.get(definer, (pos, k, term)), (pos, k, term))
+                rows += [(src, definer, term, pos, k) for definer, (pos, k, term) in first.items()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            types = (batch.schema.field(0).type,) * 2 + (pa.string(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["src", "dst", "term", "pos", "k"])
+
+    return lower.mapInArrow(search, f"src {kind}, dst {kind}, term string, pos long, k int")
+
+
+def uses(clauses: DataFrame, terms: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """D8. src (clause), dst (definer), term, term_seq: of several terms of one definer, the first defined one.
 
-    A clause can only use a term whose first run of word characters it holds, so clauses' distinct words and the terms'
-    heads meet in an equi-join of ids and words; common heads are split. A clause's candidates are then gathered, so
-    that its text moves once, and a regular expression decides. Terms begin and end with letters or digits or are
-    compared as the pattern says.
+    An automaton of all terms runs once over each clause's lower-cased text, in a narrow pass; a use is a term between two
+    edges of words (a word's characters are letters, digits and the underscore of any script). Terms beyond a block's
+    bounds take further passes, one block each; a block is all that the driver and a worker hold, and texts are never
+    shuffled.
     """
-    known = stored(definers(terms).withColumn("head", F.regexp_extract("term", r"(?U)\w+", 0)), "terms")
-    lower = clauses.select(F.col("id").alias("src"), F.lower("text").alias("low"))
-    words = lower.select("src", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"((?U)\w+)"), F.lit(1)))).alias("head"))
-    words = words.join(known.select("head").distinct(), "head", "left_semi")
-    times = words.groupBy("head").agg(F.count(F.lit(1)).alias("times"))
-    total = times.agg(F.sum("times")).first()[0] or 0
-    heads = known.groupBy("head").agg(F.collect_list(F.struct("term", "definer", "term_seq")).alias("t")).join(times, "head")
-    asked = split_join(words, heads, "head", "times", total).select("src", F.explode("t").alias("x")).where(F.col("src") != F.col("x.definer"))
-    each = asked.groupBy("src").agg(F.collect_list("x").alias("x")).withColumnRenamed("src", "u_src")
-    pairs = each.join(lower, F.col("u_src") == F.col("src")).select("src", "low", F.explode("x").alias("x")).select("src", "low", "x.*")
-    met = pairs.where(F.expr("regexp_like(low, concat('(?U)\\\\b\\\\Q', term, '\\\\E\\\\b'))"))
-    first = Window.partitionBy("src", "definer").orderBy("term_seq", "term")
-    return met.withColumn("k", F.row_number().over(first)).where("k = 1").select("src", F.col("definer").alias("dst"), "term", "term_seq")
+    known = stored(numbered(definers(terms), "term", name="n"), "terms")
+    n, chars = known.agg(F.count(F.lit(1)), F.sum(F.length("term"))).first()
+    kind = clauses.schema["id"].dataType.simpleString()
+    passes = max(-(-n // block_terms), -(-(chars or 0) // BLOCK_CHARS))
+    lower = clauses.select("id", F.lower("text").alias("low"))
+    found = clauses.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, term string, pos long, k int")
+    for p in range(passes):
+        own = known.where((F.col("n") >= p * n // passes) & (F.col("n") < (p + 1) * n // passes))
+        block = [tuple(r) for r in own.select("term", "definer", "term_seq.pos", "term_seq.k").collect()]
+        found = found.union(_found(lower, block, kind))
+    one = found.groupBy("src", "dst").agg(F.min(F.struct("pos", "k", "term")).alias("t"))
+    return one.select("src", "dst", "t.term", F.struct("t.pos", "t.k").alias("term_seq"))
 
 
 def merge_uses(edges: DataFrame, used: DataFrame) -> DataFrame:

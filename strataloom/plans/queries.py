@@ -433,12 +433,55 @@ def clauses(spark, sf_dir):
     return C.extract_clauses(derived_clause_docs(spark, sf_dir)).select("doc_id", "id", "section", "idx", "pos")
 
 
-@query()
+# The windows of a text one after another: each ends behind the last full stop of its last 200 characters, if any.
+_CHUNKS = r"""w(doc_id, text, s, e, n) AS (
+  SELECT doc_id, text, 0, 0, 0 FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, CASE WHEN n = 0 THEN 0 WHEN e - 200 > s THEN e - 200 ELSE e END,
+    CASE WHEN e2 < length(text) AND stop > 0 THEN greatest(b, e2 - 200) + stop ELSE e2 END, n + 1
+  FROM (SELECT *, length(regexp_extract(substr(text, CAST(greatest(b, e2 - 200) + 1 AS BIGINT), CAST(e2 - greatest(b, e2 - 200) AS BIGINT)), '(?s)^.*[.!?]')) AS stop
+    FROM (SELECT *, least(b + 2000, length(text)) AS e2 FROM (SELECT *, CASE WHEN n = 0 THEN 0 WHEN e - 200 > s THEN e - 200 ELSE e END AS b FROM w)))
+  WHERE b < length(text)
+), p AS (SELECT doc_id, s AS start, n, regexp_replace(substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)), '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '', 'g') AS part FROM w WHERE n > 0),
+ch AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS chunk_no, CAST(start AS INT) AS start, part FROM p WHERE part <> '')"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_no, start, md5(part) AS text_md5 FROM ch")
 def chunks(spark, sf_dir):
     """T10; tests/test_text.py holds it against a plain loop."""
     return C.chunks(read(spark, sf_dir, "documents")).select("doc_id", "chunk_no", "start", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def _digest_model(rows: DataFrame) -> DataFrame:
+    """A model whose reply is the prompt's digest; it does not answer every tenth document's third chunk."""
+    return rows.withColumn("reply", F.when(~((F.col("doc_id") % 10 == 0) & (F.col("chunk_no") == 2)), F.md5(F.col("prompt").cast("binary"))))
+
+
+_FOLD = f"""{_CHUNKS}, f(doc_id, chunk_no, summary) AS (
+  SELECT doc_id, chunk_no, md5('Continue the summary with what the text adds, in one paragraph.' || chr(10) || chr(10) || 'Summary: (none)' || chr(10) || chr(10) || 'Text:' || chr(10) || part) FROM ch WHERE chunk_no = 0
+  UNION ALL SELECT ch.doc_id, ch.chunk_no, CASE WHEN ch.doc_id % 10 = 0 AND ch.chunk_no = 2 THEN summary ELSE md5('Continue the summary with what the text adds, in one paragraph.' || chr(10) || chr(10) || 'Summary: ' || summary || chr(10) || chr(10) || 'Text:' || chr(10) || part) END
+  FROM f JOIN ch ON ch.doc_id = f.doc_id AND ch.chunk_no = f.chunk_no + 1 WHERE ch.chunk_no < 10)"""
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT doc_id, arg_max(summary, chunk_no) AS summary, count(*) AS rounds FROM f GROUP BY doc_id")
+def full_summaries(spark, sf_dir):
+    """The fold over the first ten chunks (the operator's own bound) of every document."""
+    f = stored(R.fold_summaries(C.chunks(read(spark, sf_dir, "documents")), _digest_model), "folds")
+    return f.groupBy("doc_id").agg(F.max_by("summary", "chunk_no").alias("summary"), F.count(F.lit(1)).alias("rounds"))
+
+
+@query(f"""WITH RECURSIVE {_FOLD} SELECT ch.doc_id, ch.chunk_no, 'risk of ' || coalesce(left(f.summary, 8), 'nothing') AS title, 'seen in ' || length(part) AS why
+FROM ch LEFT JOIN f ON f.doc_id = ch.doc_id AND f.chunk_no = ch.chunk_no - 1 WHERE ch.chunk_no < 10 AND ch.chunk_no % 3 <> 1""")
+def flag_rounds(spark, sf_dir):
+    """Each of the first ten chunks is read with the summary of those before it; every third has no flags."""
+    def reader(rows: DataFrame) -> DataFrame:
+        so_far = F.regexp_extract("prompt", "(?s)So far: ([0-9a-f]*)\n\nText:\n(.*)", 1)
+        title = F.when(so_far == "", "nothing").otherwise(F.substring(so_far, 1, 8))
+        told = F.concat(F.lit("FLAG: risk of "), title, F.lit("\nWHY: seen in "), F.length(F.regexp_extract("prompt", "(?s)So far: ([0-9a-f]*)\n\nText:\n(.*)", 2)), F.lit("\n---\nFLAG: no reason"))
+        return rows.withColumn("reply", F.when(F.col("chunk_no") % 3 == 1, K.NO_FLAGS).otherwise(told))
+
+    return R.red_flags(C.chunks(read(spark, sf_dir, "documents")), _digest_model, reader).select("doc_id", "chunk_no", "title", "why")
+
+
 _PIECES = r"""regexp_replace(regexp_replace(regexp_replace(text, '([0-9])\.([0-9])', '\1<DOT>\2', 'g'), '\b([A-Za-z])\.', '\1<DOT>', 'g'), '\b(No|Inc|Ltd|Corp|Co|LLP|LLC|St|Mr|Ms|Dr)\.', '\1<DOT>', 'g')"""
 
 
@@ -644,20 +687,25 @@ def role_assign(spark, sf_dir):
     return read(spark, sf_dir, "documents").withColumn("kind", kind).select("doc_id", F.array_join(A.roles_of("kind"), ",").alias("roles"))
 
 
-_DEF = """d AS (SELECT doc_id, 'Term' || (doc_id % 40) AS term FROM documents WHERE doc_id % 4 = 0), w AS (SELECT lower(term) term, max(doc_id) definer FROM d GROUP BY term)"""
+_PATTERNS = ", ".join("regexp_extract_all(text, '(?i)" + p.replace("'", "''").replace(r"\s", _WHITE) + "', 1)" for p in T.TERM_PATTERNS)
+_TERM_TEXT = r"""c AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 AND w IS NOT NULL THEN '"' || w || '" means the thing. ' ELSE '' END || text AS text
+FROM (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: regexp_full_match(x, '[A-Za-z]{6,20}'))[1] AS w FROM documents))"""
+_DEF = rf"""{_TERM_TEXT}, x AS (SELECT id, list_filter(list_transform(flatten([{_PATTERNS}]), lambda t: regexp_replace(t, '^{_WHITE}+|{_WHITE}+$', '', 'g')), lambda t: length(t) >= 4) ts FROM c),
+y AS (SELECT id, unnest(ts) term, generate_subscripts(ts, 1) k FROM x), d AS (SELECT id, term, min(k) k FROM y GROUP BY id, term),
+w AS (SELECT lower(term) term, arg_max(id, id * 1000 + k) definer, min(id * 1000 + k) place FROM d GROUP BY lower(term))"""
 
 
 def derived_term_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth document defines a term; every fifth one mentions the term before its own number."""
-    d = read(spark, sf_dir, "documents")
-    own = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit('"Term'), F.col("doc_id") % 40, F.lit('" means the thing. '))).otherwise("")
-    other = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("See term"), F.floor(F.col("doc_id") / 4) * 4 % 40, F.lit(". "))).otherwise("")
-    return d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.concat(own, other).alias("text"))
+    """Whole documents, every fourth of which begins by defining its own first word of six letters or more."""
+    d = read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    word = F.try_element_at(F.filter(F.split("text", "[ \\t\\n\\r\\f\\x0b]+"), lambda w: w.rlike("^[A-Za-z]{6,20}$")), F.lit(1))
+    own = F.when((F.col("doc_id") % 4 == 0) & word.isNotNull(), F.concat(F.lit('"'), word, F.lit('" means the thing. '))).otherwise("")
+    return d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.concat(own, F.col("text")).alias("text"))
 
 
-@query(f"WITH {_DEF} SELECT doc_id AS id, term FROM d")
+@query(f"WITH {_DEF} SELECT id, term FROM d")
 def defined_terms(spark, sf_dir):
-    """D1-D5."""
+    """D1-D3, D5 over whole texts."""
     from ..operators.terms import clause_terms
 
     return clause_terms(derived_term_clauses(spark, sf_dir)).select("id", F.explode("terms").alias("term"))
@@ -671,14 +719,44 @@ def term_definer(spark, sf_dir):
     return definers(clause_terms(derived_term_clauses(spark, sf_dir))).select("term", "definer")
 
 
-@query(f"""WITH {_DEF}, u AS (SELECT doc_id src, 'term' || ((doc_id // 4) * 4 % 40) term FROM documents WHERE doc_id % 5 = 0 UNION SELECT doc_id, lower(term) FROM d)
-SELECT src, definer AS dst, term FROM u JOIN w USING (term) WHERE src <> definer""")
+_USES = rf"""{_DEF}, u AS (SELECT c.id src, definer, term, place FROM c JOIN w ON contains(lower(c.text), term) AND c.id <> definer AND regexp_matches(lower(c.text), '(^|[^\p{{L}}\p{{N}}_])\Q' || term || '\E($|[^\p{{L}}\p{{N}}_])')),
+v AS (SELECT src, definer AS dst, arg_min(term, (place, term)) AS term FROM u GROUP BY src, definer)"""
+
+
+@query(f"WITH {_USES} SELECT src, dst, term FROM v")
 def uses_edges(spark, sf_dir):
-    """D8."""
+    """Every term of any document in all documents."""
     from ..operators.terms import clause_terms, uses
 
     c = derived_term_clauses(spark, sf_dir)
-    return uses(c, clause_terms(c)).select("src", "dst", "term")
+    return uses(c, stored(clause_terms(c), "terms")).select("src", "dst", "term")
+
+
+@query(f"""WITH {_USES}, s AS (SELECT id AS src, id - 1 AS dst FROM c WHERE id % 3 = 0 AND id > 0)
+SELECT 'USES' AS type, count(*) AS n FROM v UNION ALL SELECT 'SIMILAR_TO', count(*) FROM s WHERE (src, dst) NOT IN (SELECT (src, dst) FROM v)""")
+def definition_edges(spark, sf_dir):
+    """Uses enter a graph with other edges, some of them between the same ends, and are counted."""
+    from ..operators.terms import clause_terms, merge_uses, uses
+
+    c = derived_term_clauses(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    other = c.where("id % 3 = 0 and id > 0").select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst"), F.lit("SIMILAR_TO").alias("type"), F.lit(0.5).alias("score"), none.alias("term"), none.alias("reason"), F.col("id").alias("edge_seq"))
+    merged = stored(merge_uses(other, uses(c, stored(clause_terms(c), "terms"))), "edges")
+    from ..operators.terms import definition_counts
+
+    counts = definition_counts(merged).withColumnRenamed("count", "n")
+    return counts.unionByName(merged.where("type = 'SIMILAR_TO'").groupBy("type").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(f"WITH {_DEF} SELECT c.id, CASE WHEN count(d.term) = 0 THEN 'kept' ELSE string_agg(DISTINCT d.term, '|' ORDER BY d.term) || '|kept' END AS terms FROM c LEFT JOIN d ON d.id = c.id GROUP BY c.id")
+def node_terms(spark, sf_dir):
+    """Terms are added to those that nodes have."""
+    from ..operators.terms import add_terms, clause_terms
+
+    c = derived_term_clauses(spark, sf_dir)
+    nodes = c.select("id", F.array(F.lit("kept")).alias("defined_terms"))
+    own = F.array_sort(F.array_remove("defined_terms", "kept"))
+    return add_terms(nodes, clause_terms(c)).select("id", F.array_join(F.concat(own, F.array(F.lit("kept"))), "|").alias("terms"))
 
 
 _USEFUL = "x AS (SELECT l_orderkey AS key, l_linenumber * 1000000 + l_partkey AS k, CASE WHEN l_returnflag = 'R' OR l_partkey % 3 = 0 THEN 1 ELSE 0 END AS useful FROM lineitem)"
@@ -901,7 +979,7 @@ def history_of_one(spark, sf_dir):
     flags = read(spark, sf_dir, "nation").select(F.col("n_name").alias("title"), F.lit("clause").alias("clause"), F.col("n_nationkey").cast("string").alias("why"), severity.alias("severity"))
     h.save_flags(ids[0], flags)
     h.save_flags(ids[1], flags)
-    asked = read(spark, sf_dir, "region").select(F.col("r_name").alias("question"), F.concat(F.lit("a"), "r_regionkey").alias("answer"), F.col("r_comment").alias("asked_at"))
+    asked = read(spark, sf_dir, "region").select(F.col("r_name").alias("question"), F.concat(F.lit("a"), "r_regionkey").alias("answer"), F.col("r_name").alias("asked_at"))
     for n in ids[:2]:
         h.save_questions(asked.withColumn("document_id", F.lit(n).cast("long")))
     out = h.flags(ids[1]).select(F.lit("flag").alias("what"), F.col("title").alias("a"), F.col("severity").alias("b"))

@@ -1,5 +1,11 @@
 """Parsers of model replies."""
 
+import json
+import time
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strataloom.functions import parsing as P
@@ -51,6 +57,62 @@ def test_risks(spark):
 
 
 def test_fold(spark):
-    chunks = spark.createDataFrame([("d", n, f"t{n}") for n in (2, 0, 1)] + [("e", 0, "u")], "doc_id string, chunk_no int, text string")
-    got = {(r["doc_id"], r["chunk_no"]): r["summary"] for r in R.fold_chunks(chunks, lambda text, so_far: so_far + text, 2).collect()}
-    assert got == {("d", 0): "t0", ("d", 1): "t0t1", ("e", 0): "u"}
+    chunks = spark.createDataFrame([("d", n, f"t{n}") for n in (2, 0, 1)] + [("e", 0, "u"), (None, 0, "v")], "doc_id string, chunk_no int, text string")
+    asked = []
+
+    def model(rows):
+        asked.append(rows.count())
+        so_far, text = (F.regexp_extract("prompt", r"(?s)Summary: (.*)\n\nText:\n(.*)", n) for n in (1, 2))
+        return rows.withColumn("reply", F.when(text != "t1", F.concat(so_far, F.lit("+"), text)))
+
+    got = {(r["doc_id"], r["chunk_no"]): r["summary"] for r in R.fold_summaries(chunks, model, 5).collect()}
+    assert got == {("d", 0): "(none)+t0", ("d", 1): "(none)+t0", ("d", 2): "(none)+t0+t2", ("e", 0): "(none)+u", (None, 0): "(none)+v"}
+    assert asked == [3, 1, 1, 0]  # all documents at once, a chunk each
+    assert {r["doc_id"]: r["summary"] for r in R.full_summaries(chunks, model, 2).collect()}["d"] == "(none)+t0"
+    assert R.fold_summaries(chunks.where("false"), model).isEmpty()
+
+
+def plain_balanced(text):
+    """Each bracket's own scan, one after another."""
+    for start in (i for i, c in enumerate(text) if c in "[{"):
+        stack, quoted, escaped = [], False, False
+        for end in range(start, len(text)):
+            c = text[end]
+            if quoted:
+                escaped, quoted = (c == "\\" and not escaped), (escaped or c != '"')
+            elif c == '"':
+                quoted = True
+            elif c in "[{":
+                stack.append("]" if c == "[" else "}")
+            elif c in "]}":
+                if not stack or stack.pop() != c:
+                    break
+                if not stack:
+                    try:
+                        return json.dumps(json.loads(text[start : end + 1]))
+                    except ValueError:
+                        break
+    return None
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(['"', "\\", "[", "]", "{", "}", "1", ",", ":", '"a"', '"a":', " x ", '\\"', '["', '"]', "[1]", '{"a":2}']), max_size=24).map("".join))
+def test_balanced_equals_scans(text):
+    assert P.first_balanced("x" + text) == plain_balanced("x" + text)
+
+
+@pytest.mark.parametrize("part", ["[", '["\\"', '{"a": [1, 2,], ', "[[1,]", '"[', '["[x', "[]", '"[]\\"', "[x ", '["\\"]'])
+def test_balanced_is_linear(part):
+    times = []
+    for size in (50_000, 200_000):
+        text = "x " + part * (size // len(part)) + ("" if part != "[]" else "")
+        began = time.process_time()
+        P.first_balanced(text)
+        times.append(time.process_time() - began)
+    assert times[1] < 10 * times[0] + 0.5 and times[1] < 8, times
+
+
+def test_balanced_of_long_and_deep_replies():
+    assert P.first_balanced("x " + "[1," * 300_000 + '{"a": 1}') == '{"a": 1}'
+    deep = "x " + "[" * 200_000 + "]" * 200_000
+    assert 1 < P.first_balanced(deep).count("[") <= 200_000

@@ -1,5 +1,6 @@
 """Cleaning, headings, clauses, chunks, sentences, terms."""
 
+import random
 import re
 
 import pytest
@@ -79,6 +80,11 @@ def test_sentences(spark):
     assert values(spark, [text], T.sentences("t"))[0] == ["Pay $30,000.00 to Mr. Smith of Acme Inc. today.", "The J. Doe clause applies!"]
 
 
+def test_sentences_keep_their_text(spark):
+    text = "A text with <DOT> in it. It stays as it is! See No. 5 of the U.S. list. Done now, really."
+    assert values(spark, [text], T.sentences("t"))[0] == ["A text with <DOT> in it.", "It stays as it is!", "See No. 5 of the U.S. list.", "Done now, really."]
+
+
 def plain_sentences(text):
     out = re.sub(r"(\d)\.(\d)", r"\1<DOT>\2", text)
     out = re.sub(r"\b([A-Za-z])\.", r"\1<DOT>", out)
@@ -108,6 +114,9 @@ def test_terms_and_uses(spark):
     assert {r["term"]: r["definer"] for r in D.definers(terms).collect()} == {"board member": "c", "quorum": "c"}
     used = D.uses(clauses, terms)
     assert sorted((r["src"], r["dst"], r["term"]) for r in used.collect()) == [("a", "c", "board member"), ("b", "c", "board member"), ("d", "c", "quorum")]
+    one_by_one = D.uses(clauses, terms, block_terms=1)
+    assert sorted(map(str, one_by_one.collect())) == sorted(map(str, used.collect()))
+    assert "Exchange" not in D._found(clauses.select("id", "text"), [("quorum", "c", 2, 0)], "string")._jdf.queryExecution().executedPlan().toString()
     edges = spark.createDataFrame([("b", "c", "SIMILAR_TO", 0.9, None, None, 1), ("d", "c", "OVERRIDES", 0.7, None, "r", 2)], "src string, dst string, type string, score double, term string, reason string, edge_seq long")
     merged = {(r["src"], r["dst"]): (r["type"], r["score"], r["term"], r["reason"]) for r in D.merge_uses(edges, used).collect()}
     assert merged["b", "c"] == ("USES", 0.9, "board member", None)
@@ -118,3 +127,28 @@ def test_terms_and_uses(spark):
 @pytest.mark.parametrize("text", ["means ", "As used in this", "nothing"])
 def test_looks_definitional(spark, text):
     assert values(spark, [text], T.looks_definitional("t")) == [bool(re.search("means |as used in", text.lower()))]
+
+
+def test_uses_at_edges_of_words(spark):
+    rows = [("a", 0, "x"), ("b", 1, "preschool board"), ("c", 2, "the board's été_board and Board"), ("d", 3, "boards, (board)"), ("e", 4, None), ("f", 5, "über-board c++ c++x"), ("g", 6, "a.b board")]
+    clauses = spark.createDataFrame(rows, "id string, pos long, text string")
+    terms = spark.createDataFrame([("a", 0, ["board", "été", "c++"]), ("b", 1, ["Board", "school"])], "id string, pos long, terms array<string>")
+    got = {(r["src"], r["dst"], r["term"]) for r in D.uses(clauses, terms).collect()}
+    words = {"board": "b", "school": "b", "été": "a", "c++": "a"}
+    want = {}
+    for i, _, t in rows:
+        for place, (w, d) in enumerate((("c++", "a"), ("été", "a"), ("board", "b"), ("school", "b"))):
+            if i != d and re.search(rf"\b{re.escape(w)}\b", (t or "").lower()):
+                want.setdefault((i, d), []).append(w)
+    order = {"board": (0, 0), "été": (0, 1), "c++": (0, 2), "school": (1, 1)}
+    assert got == {(i, d, min(ws, key=order.get)) for (i, d), ws in want.items()} and words["board"] == "b"
+
+
+def test_terms_of_runs_of_words(spark):
+    r = random.Random(7)
+    parts = ["the", "Board", "member", "a", "x", "means", "shall mean", "meansx", "refers to", "is defined as", ",", ".", "5", "é", '"', "\n", "  ", "_", "-"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", " ", " ", ""]) for _ in range(r.randrange(25))) for _ in range(400)]
+    want = [re.findall("(?i)" + T.TERM_PATTERNS[1], t) for t in texts]
+    assert values(spark, texts, T._run_terms("t")) == want
+    long = "word " * 60_000 + "means it"
+    assert [len(v) for v in values(spark, [long, "word " * 60_000], T.pattern_terms("t"))] == [1, 0]
