@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..storage import stored
+from .keyed import HOT_KEYS, split_join
+from .numbering import numbered
 
 
 def score_label(score: str | Column) -> Column:
@@ -21,6 +23,12 @@ def score_icon(score: str | Column) -> Column:
     return F.when(s >= K.STRONG, "🔴").when(s >= K.MODERATE, "🟡").otherwise("🟢")
 
 
+def _numbered_steps(steps: DataFrame, total: int) -> DataFrame:
+    """Steps with a consecutive number `no` of the node that each leads to."""
+    ends = steps.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    return split_join(steps, numbered(ends, "id", name="no"), "id", "times", total)
+
+
 def walk(edges: DataFrame, starts: DataFrame, kind: str, max_hops: int, forward: bool = True) -> DataFrame:
     """B1. start, id, hop, score, reason, place: nodes reached along edges of one type, from each id of starts.
 
@@ -28,20 +36,41 @@ def walk(edges: DataFrame, starts: DataFrame, kind: str, max_hops: int, forward:
     (parent's place, edge_seq). Levels are joined one by one; a level's places number it inside its start, so
     many starts run as one plan. Each level is stored, so that no hop computes the ones before it again. Results are
     ordered by hop and falling score through `rank`.
+
+    The edges of a hub (a node with over one in HOT_KEYS of all) are parted by salt, and each part meets a copy of the
+    frontier's rows there, so no task has a hub's edges alone. What a start has seen is a set of bits: 64 nodes, by
+    their numbers, are one long, so a start that has seen much takes a row per 64 nodes.
     """
     here, there = ("src", "dst") if forward else ("dst", "src")
     steps = edges.where(F.col("type") == kind).select(F.col(here).alias("at"), F.col(there).alias("id"), F.coalesce("score", F.lit(0.5)).alias("score"), F.coalesce("reason", F.lit("")).alias("reason"), "edge_seq")
+    steps = stored(steps, "walk-steps")
+    total = steps.count()
+    steps = _numbered_steps(steps, total)
+    hubs = steps.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_KEYS > total)
+    hubs = stored(hubs.select(F.col("at").alias("hub"), F.ceil(F.col("n") * HOT_KEYS / max(1, total)).cast("long").alias("parts")), "walk-hubs")  # fewer than HOT_KEYS rows
+    part = F.coalesce(F.pmod(F.xxhash64("id", "edge_seq"), F.col("parts")), F.lit(0).cast("long"))
+    steps = stored(steps.join(F.broadcast(hubs), F.col("at") == F.col("hub"), "left").withColumn("part", part).drop("hub", "parts"), "walk-steps")
+
+    def bits(rows: DataFrame) -> DataFrame:
+        return rows.select("start", F.shiftright("no", 6).alias("word"), F.expr("shiftleft(1L, cast(no & 63 as int))").alias("bit")).groupBy("start", "word").agg(F.bit_or("bit").alias("bits"))
+
     level = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("place")).distinct()
-    seen, found = level.select("start", "id"), None
+    own = level.join(steps.select("id", "no").distinct(), "id").select("start", "no")
+    seen, found = stored(bits(own), "walk-seen"), None
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))
     for hop in range(1, max_hops + 1):
-        met = level.select("start", F.col("id").alias("at"), F.col("place").alias("parent")).join(steps, "at").join(seen, ["start", "id"], "left_anti")
-        new = met.groupBy("start", "id").agg(F.min(F.struct("parent", "edge_seq", "score", "reason")).alias("e"))
+        frontier = level.select("start", F.col("id").alias("at"), F.col("place").alias("parent")).join(F.broadcast(hubs), F.col("at") == F.col("hub"), "left")
+        met = frontier.select("start", "at", "parent", copies.alias("part")).join(steps, ["at", "part"])
+        new = met.groupBy("start", "id", "no").agg(F.min(F.struct("parent", "edge_seq", "score", "reason")).alias("e"))
+        new = new.withColumn("word", F.shiftright("no", 6)).join(seen, ["start", "word"], "left")
+        fresh = F.expr("coalesce(bits, 0L) & shiftleft(1L, cast(no & 63 as int))") == 0
         order = Window.partitionBy("start").orderBy("e.parent", "e.edge_seq", "id")
-        level = stored(new.select("start", "id", F.lit(hop).alias("hop"), F.col("e.score").alias("score"), F.col("e.reason").alias("reason"), F.row_number().over(order).alias("place")), "walk-level")
+        level = stored(new.where(fresh).select("start", "id", "no", F.lit(hop).alias("hop"), F.col("e.score").alias("score"), F.col("e.reason").alias("reason"), F.row_number().over(order).alias("place")), "walk-level")
         found = level if found is None else found.unionByName(level)
-        seen = seen.unionByName(level.select("start", "id"))
+        if hop < max_hops:
+            seen = stored(seen.unionByName(bits(level)).groupBy("start", "word").agg(F.bit_or("bits").alias("bits")), "walk-seen")
     rank = F.row_number().over(Window.partitionBy("start").orderBy("hop", F.desc("score"), "place"))
-    return found.withColumn("rank", rank)
+    return found.drop("no").withColumn("rank", rank)
 
 
 def dependencies(edges: DataFrame, starts: DataFrame, max_hops: int = 3) -> DataFrame:

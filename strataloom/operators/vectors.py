@@ -15,6 +15,8 @@ from ..storage import stored
 
 #: Vectors in a block; two blocks meet as one matrix product (32 MB of similarities).
 BLOCK = 2_000
+#: Places of distances: products of other shapes may differ in the last bits, which must not decide between equal vectors.
+PLACES = 12
 #: Blocks of queries that one copy of a block of vectors meets.
 GROUP = 16
 
@@ -80,7 +82,7 @@ def topk_join(queries: DataFrame, vectors: DataFrame, k: int = K.NEIGHBOURS, key
             for row in range(batch.num_rows):
                 qi, qm, qo, vi, vm, vo = (batch.column(c)[row].as_py() for c in range(6))
                 a, b = np.frombuffer(qm).reshape(len(qi), -1), np.frombuffer(vm).reshape(len(vi), -1)
-                d = 1 - a @ b.T
+                d = np.round(1 - a @ b.T, PLACES)
                 if other:
                     d[np.array(qi)[:, None] == np.array(vi)[None, :]] = np.inf
                 if before:
