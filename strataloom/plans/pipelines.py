@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import argparse
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -152,27 +151,3 @@ def evaluate(records: DataFrame, pairs: DataFrame, families: tuple[str, ...] = (
     scored = score_records(records, pairs, families, model, embed)
     fields = [c for c in ("bleu", "rouge1_recall", "faithfulness", "answer_relevancy", "context_precision", "context_recall", "ragas_score", "normalised") if c in scored.columns]
     return scored, M.summary(scored, tuple(fields))
-
-
-def main(argv: list[str] | None = None) -> int:
-    """M26. Scores cached answers against a question set and prints the report."""
-    parser = argparse.ArgumentParser(description=main.__doc__)
-    parser.add_argument("--dataset", required=True)
-    parser.add_argument("--from-answers", required=True)
-    parser.add_argument("--metrics", nargs="+", choices=FAMILIES, default=["bleu", "rouge"])
-    parser.add_argument("--out")
-    args = parser.parse_args(argv)
-    from ..session import session
-    from ..sources.readers import cached_answers, qa_pairs
-    from ..sources.stores import write_results
-
-    spark = session()
-    pairs = qa_pairs(spark, args.dataset)
-    scored, total = evaluate(cached_answers(spark, args.from_answers, pairs), pairs, tuple(args.metrics))
-    columns = tuple(c for c in ("bleu", "rouge1_recall") if c in scored.columns)
-    for (line,) in M.report_rows(scored, columns).orderBy("id").select("line").toLocalIterator():
-        print(line)
-    total.show(truncate=False)
-    if args.out:
-        write_results(total, args.out, spark.range(1).select(F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")).first()[0])
-    return 0
