@@ -1013,37 +1013,44 @@ def history_of_one(spark, sf_dir):
     return out.unionByName(h.questions(ids[1]).select(F.lit("question").alias("what"), F.col("question").alias("a"), F.col("answer").alias("b")))
 
 
-@query("SELECT CAST(n_nationkey AS INT) AS position, n_name AS question, 'a' || n_regionkey AS answer, n_nationkey / 2 AS latency_seconds FROM nation")
+_USER = "u AS (SELECT CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS INT) AS position, conv_id, turn, text FROM conversations WHERE role = 'user')"
+
+
+def derived_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' turns, as questions of an evaluation."""
+    c = read(spark, sf_dir, "conversations").where("role = 'user'")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("position"), "conv_id", "turn", "text")
+
+
+@query(f"WITH {_USER} SELECT position, text AS question, 'a}}\"' || turn AS answer, conv_id / 2 AS latency_seconds FROM u")
 def answers_file(spark, sf_dir):
-    """The records of one evaluated document, written and read."""
-    path = _folder(spark, "answers")
-    n = read(spark, sf_dir, "nation")
-    S.write_answers(n.select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("question"), F.concat(F.lit("a"), "n_regionkey").alias("answer"), (F.col("n_nationkey") / 2).alias("latency_seconds")), "nations", path)
+    """Answers to all users' turns, written as one document and read by its byte ranges."""
+    path, t = _folder(spark, "answers"), derived_turns(spark, sf_dir)
+    S.write_answers(t.select("position", F.col("text").alias("question"), F.concat(F.lit('a}"'), "turn").alias("answer"), (F.col("conv_id") / 2).alias("latency_seconds")), "turns {of} all", path)
     return D.cached_answers(spark, path).select("position", "question", "answer", "latency_seconds")
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS position, CAST(n_nationkey AS VARCHAR) AS id, n_name AS question, 'g' || n_regionkey AS ground_truth FROM nation")
+@query(f"WITH {_USER} SELECT position, conv_id || '/' || turn AS id, text AS question, 'g' || turn AS ground_truth FROM u")
 def qa_file(spark, sf_dir):
-    """S5."""
-    path = _folder(spark, "qa")
-    one = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("question"), F.concat(F.lit("g"), "n_regionkey").alias("ground_truth"))
-    pairs = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", one.alias("p")))), lambda x: x["p"])
-    read(spark, sf_dir, "nation").agg(pairs.alias("qa_pairs")).write.json(path)
+    """All users' turns as pairs of one document."""
+    from ..sources.jsonarray import write_document
+
+    path, t = _folder(spark, "qa"), derived_turns(spark, sf_dir)
+    write_document(t.select("position", F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("text").alias("question"), F.concat(F.lit("g"), "turn").alias("ground_truth")), "position", path, "qa_pairs", {"document": "d"})
     return D.qa_pairs(spark, path).select("position", "id", "question", "ground_truth")
 
 
-@query("""SELECT sha256((n_regionkey) || '/0/' || q || '/0') AS clause_id, 'cuad_' || n_regionkey AS document_id, r_name AS title, n_name AS clause_type, 'x ' || n_nationkey AS text
-FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS q FROM nation) JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0 AND n_regionkey < 4""")
+@query(r"""SELECT sha256(d || '/0/' || q || '/0') AS clause_id, 'cuad_' || d AS document_id, 't' || doc_id AS title, CASE q WHEN 0 THEN source ELSE lang END AS clause_type, regexp_replace(text, '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '', 'g') AS text
+FROM (SELECT d, doc_id, source, lang, q, CASE q WHEN 0 THEN text ELSE ' x ' || doc_id END AS text FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS d FROM documents), (SELECT unnest([0, 1]) q)) WHERE trim(text) <> '' AND NOT (q = 1 AND doc_id % 4 = 0)""")
 def contract_file(spark, sf_dir):
-    """S3: regions as contracts, nations as questions; every fourth has an empty answer, the fifth region is beyond the limit."""
-    path = _folder(spark, "contract-set")
-    text = F.when(F.col("n_nationkey") % 4 != 0, F.concat(F.lit(" x "), "n_nationkey")).otherwise(" ")
-    qa = F.struct("n_nationkey", F.struct(F.col("n_name").alias("question"), F.array(F.struct(text.alias("text"))).alias("answers")).alias("qa"))
-    qas = read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(qa)), lambda x: x["qa"]).alias("qas"))
-    each = qas.join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    contract = F.struct("r_regionkey", F.struct(F.col("r_name").alias("title"), F.array(F.struct("qas")).alias("paragraphs")).alias("c"))
-    each.agg(F.transform(F.array_sort(F.collect_list(contract)), lambda x: x["c"]).alias("data")).write.json(path)
-    return D.contract_clauses(spark, path, 4).select("clause_id", "document_id", "title", "clause_type", "text")
+    """S3: all documents as contracts with two questions each, of which every eighth has an empty answer."""
+    from ..sources.jsonarray import write_document
+
+    path, d = _folder(spark, "contract-set"), read(spark, sf_dir, "documents")
+    one = F.struct(F.col("source").alias("question"), F.array(F.struct("text")).alias("answers"))
+    two = F.struct(F.col("lang").alias("question"), F.array(F.struct(F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit(" x "), "doc_id")).otherwise(" ").alias("text"))).alias("answers"))
+    write_document(d.select("doc_id", F.concat(F.lit("t"), "doc_id").alias("title"), F.array(F.struct(F.array(one, two).alias("qas"))).alias("paragraphs")), "doc_id", path, "data", {"version": "v1"})
+    return D.contract_clauses(spark, path, None).select("clause_id", "document_id", "title", "clause_type", "text")
 
 
 @query("SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS again FROM orders WHERE o_orderkey % 2 = 1")

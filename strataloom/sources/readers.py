@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, strip
 from ..operators.answers import roles_of
+from .jsonarray import json_elements
 
 
 def pdf_text(spark: SparkSession, path: str, pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:
@@ -48,19 +49,19 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), "path", "text")
 
 
-CONTRACTS = "data array<struct<title:string,paragraphs:array<struct<context:string,qas:array<struct<question:string,answers:array<struct<text:string>>>>>>>>"
+CONTRACT = "title string, paragraphs array<struct<context:string,qas:array<struct<question:string,answers:array<struct<text:string>>>>>>"
 
 
 def contract_clauses(spark: SparkSession, path: str, max_documents: int | None = 50) -> DataFrame:
     """S3. Clauses of a question-answer contract set: one per answer with text.
 
     Ids derive from the place in the file, so reading again gives the same ones; with max_documents None all
-    contracts are read (the limit is by place, as a loader's argument).
+    contracts are read (the limit is by place, as a loader's argument). One large file is read by many tasks.
     """
-    contract = spark.read.schema(CONTRACTS).json(path, multiLine=True).select(F.posexplode("data").alias("d", "c"))
+    contract = json_elements(spark, path, "data", CONTRACT).withColumnRenamed("position", "d")
     some = contract.where(F.col("d") < max_documents) if max_documents is not None else contract
     answers = (
-        some.select("d", "c.title", F.posexplode("c.paragraphs").alias("p", "par"))
+        some.select("d", "title", F.posexplode("paragraphs").alias("p", "par"))
         .select("d", "title", "p", F.posexplode("par.qas").alias("q", "qa"))
         .select("d", "title", "p", "q", "qa.question", F.posexplode("qa.answers").alias("a", "answer"))
         .withColumn("text", strip("answer.text"))
@@ -79,18 +80,18 @@ def contract_documents(clauses: DataFrame) -> DataFrame:
     return clauses.groupBy("document_id", "title", "source").agg(F.collect_list(one).alias("clauses"))
 
 
-QA = "document string, document_path string, source string, notes string, qa_pairs array<struct<id:string,question:string,ground_truth:string,ground_truth_contexts:array<string>,category:string>>"
-ANSWERS = "document string, records array<struct<question:string,answer:string,contexts:array<string>,retrieved_clauses:array<struct<id:string,heading:string,section:string,distance:double,graph_expanded:boolean,text_preview:string>>,context_string:string,latency_seconds:double,error:string>>"
+QA = "id string, question string, ground_truth string, ground_truth_contexts array<string>, category string"
+ANSWER = "question string, answer string, contexts array<string>, retrieved_clauses array<struct<id:string,heading:string,section:string,distance:double,graph_expanded:boolean,text_preview:string>>, context_string string, latency_seconds double, error string"
 
 
 def qa_pairs(spark: SparkSession, path: str) -> DataFrame:
     """S5. position, id, question, ground_truth, ground_truth_contexts, category."""
-    return spark.read.schema(QA).json(path, multiLine=True).select(F.posexplode("qa_pairs").alias("position", "p")).select("position", "p.*")
+    return json_elements(spark, path, "qa_pairs", QA).drop("file").withColumn("position", F.col("position").cast("int"))
 
 
 def cached_answers(spark: SparkSession, path: str, pairs: DataFrame | None = None) -> DataFrame:
     """S6. position and the answer record; an error where their number is not that of the pairs."""
-    records = spark.read.schema(ANSWERS).json(path, multiLine=True).select(F.posexplode("records").alias("position", "r")).select("position", "r.*")
+    records = json_elements(spark, path, "records", ANSWER).drop("file").withColumn("position", F.col("position").cast("int"))
     if pairs is not None and (n := records.count()) != (m := pairs.count()):
         raise ValueError(f"{n} answers for {m} questions")
     return records

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.numbering import numbered
+from .jsonarray import write_document
 from .logstore import Keyed, LogStore
 
 
@@ -154,9 +155,7 @@ def newest_documents(rows: DataFrame) -> DataFrame:
 
 def write_answers(records: DataFrame, document: str, path: str) -> None:
     """K11. One JSON document with all answer records in order of position."""
-    each = F.array_sort(F.collect_list(F.struct("position", F.struct(*[c for c in records.columns if c != "position"]).alias("r"))))
-    one = records.agg(F.transform(each, lambda x: x["r"]).alias("records")).select(F.lit(document).alias("document"), "records")
-    one.coalesce(1).write.mode("overwrite").json(path)
+    write_document(records, "position", path, "records", {"document": document})
 
 
 def write_results(run: DataFrame, folder: str, stamp: str) -> None:
