@@ -1063,3 +1063,6 @@ def checkpoint_missing(spark, sf_dir):
     c.add(c.missing(q).where("id % 2 = 0"))
     S.write_results(c.missing(q).withColumn("again", F.col("id") % 3 == 0), folder, "20240101")
     return spark.read.schema("id long, again boolean").json(f"{folder}/latest.json")
+
+
+from . import model_queries  # noqa: E402, F401  registers its queries
