@@ -188,3 +188,12 @@ def built_graph(spark, sf_dir):
     reply = '[{"source": "A", "target": "B", "type": "DEPENDS_ON"}]'
     nodes, edges = G.build_graph(c, L.neighbours(c), 0.65, lambda rows: rows.withColumn("reply", F.lit(reply)))
     return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n")).unionByName(nodes.agg(F.count(F.lit(1)).alias("n")).withColumn("type", F.lit("node")))
+
+
+@query("SELECT doc_id, length(trim('search_document: h' || doc_id || chr(10) || chr(10) || text, ' ' || chr(10) || chr(9) || chr(13))) AS n FROM documents WHERE length(text) < 7000")
+def embedded_clauses(spark, sf_dir):
+    """V1, V2: texts whose input is not cut, embedded by a model that counts its characters."""
+    d = read(spark, sf_dir, "documents").where(F.length("text") < 7000)
+    rows = d.select("doc_id", F.concat(F.lit("h"), "doc_id").alias("heading"), "text")
+    got = L.embedded(rows, lambda asked: asked.withColumn("embedding", F.array(F.length("text").cast("float"))))
+    return got.select("doc_id", F.col("embedding")[0].cast("long").alias("n"))

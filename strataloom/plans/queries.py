@@ -454,7 +454,12 @@ def slug_ids(spark, sf_dir):
     return p.select("p_partkey", T.slug_id(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(") - "), "p_type")).alias("slug"))
 
 
-@query()
+_WORDY = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}"  # word characters
+_SLUGS = rf"""{_LINES}, r AS (SELECT doc_id, heading, body, CASE WHEN block = 0 THEN '0' ELSE regexp_extract(heading, '^[0-9]+') END AS section, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS idx,
+left(regexp_replace(regexp_replace(lower(heading), '[^{_WORDY}\s\x0b\x{{85}}\p{{Z}}-]', '', 'g'), '[\s\x0b\x{{85}}\p{{Z}}_-]+', '_', 'g'), 80) || '_' || left(md5(heading), 8) AS id FROM c WHERE body <> '')"""
+
+
+@query(f"WITH {_SLUGS} SELECT doc_id, id, arg_max(section, idx) AS section, CAST(max(idx) AS INT) AS idx, min(idx) AS pos FROM r GROUP BY doc_id, id")
 def clauses(spark, sf_dir):
     """Clause rows with ids."""
     return C.extract_clauses(derived_clause_docs(spark, sf_dir)).select("doc_id", "id", "section", "idx", "pos")
@@ -892,6 +897,15 @@ def vector_upsert(spark, sf_dir):
     return rows.select("id", "heading", "idx", F.size("embedding").cast("long").alias("dims"))
 
 
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, 'Clause ' || vec_id AS heading, len(embedding) AS dims FROM embeddings WHERE vec_id = 7 UNION ALL SELECT 'all', 'rows', count(*) FROM embeddings")
+def vector_lookup(spark, sf_dir):
+    """One clause of a store and one that it has not, each from its key's bucket; how many there are."""
+    store = S.VectorStore(spark, _folder(spark, "vectors"))
+    store.add(_sections(spark, sf_dir))
+    one = store.log.lookup("vectors", "7").unionByName(store.log.lookup("vectors", "none"))
+    return one.select("id", "heading", F.size("embedding").cast("long").alias("dims")).unionByName(store.ids().agg(F.count(F.lit(1)).alias("dims")).select(F.lit("all").alias("id"), F.lit("rows").alias("heading"), "dims"))
+
+
 @query("SELECT CAST(vec_id AS VARCHAR) AS clause_id, 'd' || label AS document_id, label % 2 = 0 AS approved, 1::BIGINT AS n FROM embeddings")
 def contract_upsert(spark, sf_dir):
     """K4, K5: a half and then all of the clauses, which adds the other half only."""
