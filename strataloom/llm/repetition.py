@@ -1,9 +1,10 @@
 """Quality rules by repetition coverage.
 
-Each text is read as UTF-8 bytes whose words are numbered in order of first use. For several n, the numbers
-of n consecutive words are folded into a rolling 64-bit hash, all windows of a text at once in numpy; the
-windows whose hash occurs twice mark their words, and the share of word characters below marked words is
-that n's coverage. Windows of three words, on which the base rule stands, are compared exactly.
+Each text is read as UTF-8 bytes whose words are numbered in order of first use. Running sums of the words' values
+times the powers of an odd base are made once; the hash of any window of n words rolls out of them as one difference
+and one product with the base's inverse power, all windows of a text at once in numpy, whatever n is. The windows whose
+hash occurs twice mark their words, and the share of word characters below marked words is that n's coverage. Windows
+of three words, on which the base rule stands, are compared exactly.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOL = bytes(sorted(set(range(256)) - set(SYMBOLS)))
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 @dataclass(frozen=True)
@@ -40,35 +43,55 @@ class Limits:
     symbols_per_word: float = 0.30
 
 
-def duplicated_words(ids: np.ndarray, n: int, exact: bool = False) -> np.ndarray:
-    """Which words lie in an n-word window that the text has twice or more (all its places marked)."""
-    m = len(ids) - n + 1
-    covered = np.zeros(len(ids), dtype=bool)
-    if m < 2:
-        return covered
-    if exact:
-        key = ids[:m].astype(np.int64)
-        for i in range(1, n):
-            wide = int(ids.max()) + 1
-            if int(key.max()) >= (1 << 62) // wide:  # fold what is too wide into dense numbers first
-                key = np.unique(key, return_inverse=True)[1].astype(np.int64)
-            key = key * wide + ids[i : i + m]
-    else:
+class Rolling:
+    """Hashes of all windows of any length over a text's word numbers, each in a constant number of steps."""
+
+    def __init__(self, ids: np.ndarray) -> None:
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * _ODD
         mixed ^= mixed >> np.uint64(29)
-        key = np.zeros(m, dtype=np.uint64)
-        for i in range(n):
-            key = key * np.uint64(0x100000001B3) + mixed[i : i + m]
-            key ^= key >> np.uint64(31)
+        mixed *= _ODD
+        mixed ^= mixed >> np.uint64(32)
+        self.sums = np.zeros(len(ids) + 1, np.uint64)  # modulo 2**64, as all that follows
+        np.cumsum(mixed * _powers(_BASE, len(ids)), out=self.sums[1:])
+        self.back = _powers(_INVERSE, len(ids))
+
+    def windows(self, n: int) -> np.ndarray:
+        m = len(self.back) - n + 1
+        return (self.sums[n:] - self.sums[:m]) * self.back[:m]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def exact_windows(ids: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of all windows of n words, equal where the windows are."""
+    m = len(ids) - n + 1
+    key = ids[:m].astype(np.int64)
+    for i in range(1, n):
+        wide = int(ids.max()) + 1
+        if int(key.max()) >= (1 << 62) // wide:  # fold what is too wide into dense numbers first
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        key = key * wide + ids[i : i + m]
+    return key
+
+
+def duplicated_words(ids: np.ndarray, n: int, exact: bool = False, rolling: Rolling | None = None) -> np.ndarray:
+    """Which words lie in an n-word window that the text has twice or more (all its places marked)."""
+    if len(ids) <= n:
+        return np.zeros(len(ids), dtype=bool)
+    key = exact_windows(ids, n) if exact else (rolling or Rolling(ids)).windows(n)
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
-    twice = np.zeros(m, dtype=bool)
+    twice = np.zeros(len(key), dtype=bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    edge = np.zeros(len(ids) + 1, dtype=np.int32)
+    edge = np.zeros(len(key) + n, dtype=np.int32)
     starts = np.flatnonzero(twice)
     edge[starts] += 1
-    np.subtract.at(edge, starts + n, 1)
+    edge[starts + n] -= 1  # starts differ, so do ends
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -91,12 +114,12 @@ def measure(text: str | None, limits: Limits) -> tuple:
                 seen.add(line)
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n_words)
-    repeated = duplicated_words(ids, 3, exact=True)
-    n_repeat_words = int(repeated.sum())
+    n_repeat_words = int(duplicated_words(ids, 3, exact=True).sum())
     shares = []
+    rolling = Rolling(ids) if n_repeat_words >= min(limits.ngram_chars, default=n_words + 1) else None
     for n in sorted(limits.ngram_chars):
         # a repeated n-gram lies wholly in repeated trigrams, so texts without those need no further hashing
-        shares.append(float(sizes[duplicated_words(ids, n)].sum()) / word_chars if n_repeat_words >= n else 0.0)
+        shares.append(float(sizes[duplicated_words(ids, n, rolling=rolling)].sum()) / word_chars if n_repeat_words >= n else 0.0)
     line_share = dup_line_chars / word_chars if word_chars else 0.0
     base_failed = n_words < limits.min_words or 100 * n_repeat_words > limits.repeat_words_percent * n_words
     fine = line_share <= limits.line_chars and n_symbols <= limits.symbols_per_word * n_words

@@ -707,3 +707,25 @@ def test_duplicated_words(ids, n):
     want = [any(seen[tuple(ids[k : k + n])] > 1 for k in range(max(0, i - n + 1), min(i, len(ids) - n) + 1)) for i in range(len(ids))]
     for exact in (True, False):
         assert repetition.duplicated_words(a, n, exact).tolist() == want if len(ids) else True
+
+
+def test_rolling_windows():
+    """Windows of every length hash alike exactly where they are equal, at any place of a long text."""
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([rng.integers(0, 3, 3000), np.array([bin(i).count("1") % 2 for i in range(4096)])])
+    rolling = repetition.Rolling(ids)
+    for n in range(1, 14):
+        keys = rolling.windows(n).tolist()
+        windows = [tuple(ids[i : i + n].tolist()) for i in range(len(ids) - n + 1)]
+        assert len(set(keys)) == len(set(windows)) == len(set(zip(keys, windows, strict=True)))
+
+
+def test_coverage_decides_beyond_base_and_symbols():
+    """A passage of 12 words that comes four times among other words: under half of the words, no symbol, one line."""
+    passage = [f"part{i}" for i in range(12)]
+    words = [w for k in range(4) for w in [*passage, *(f"own{k}x{i}" for i in range(14))]]
+    limits = repetition.Limits()
+    *_, ngram_share, base_failed, kept = repetition.measure(" ".join(words), limits)
+    assert not base_failed and not kept and ngram_share > limits.ngram_chars[10]
+    plain = [w for k in range(4) for w in [*passage[:4], *(f"own{k}x{i}" for i in range(22))]]  # no window of five comes twice
+    assert repetition.measure(" ".join(plain), limits)[-2:] == (False, True)
