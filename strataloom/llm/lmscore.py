@@ -5,14 +5,15 @@ by the pieces' scores: a forward recursion in log space over the word's bytes. P
 so the marginal probability of a document is the product over its words, times that of its end.
 
 The vocabulary's scores are the first weights; expectation maximisation over the lattices of the training words
-(forward and backward recursion, expected uses of each piece, summed by Spark) fits them to the corpus. A word that
-training has is a piece of its own beside the vocabulary: its lattice has an edge over the whole word, so what is
+(forward and backward recursion, expected uses of each piece, summed by Spark) fits them to the corpus, in as many
+rounds as the likelihood still gains by. A word that training has is a piece of its own beside the vocabulary: its lattice has an edge over the whole word, so what is
 learned grows with the corpus. The shares of the two kinds of edges are those of Witten and Bell: N tokens' worth of
 whole words, V (the number of different ones) of vocabulary pieces.
 
 Training counts are joined without sending texts: documents are read once into blocks that hold their tokens as
-numbers and each distinct token as text once. Counts are summed by token after partial sums, and go back to the
-blocks by a join; a block scores its documents with one recursion per distinct word.
+numbers and each distinct token as text once. Counts are summed by token after partial sums; each distinct word of the
+table goes through the recursion once, and its count and marginal go back to the blocks by a join that splits words
+which are in most blocks. A block's documents then are sums of looked-up numbers.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.keyed import split_join
 from .setsketch import words_of
 from .shared import bounded_batches, stored
 
@@ -38,8 +40,9 @@ SMOOTH = 0.1
 BLOCK_BYTES = 16_000_000
 #: Words up to this many bytes go through the recursion together; longer ones one by one.
 TOGETHER = 40
-#: Rounds of expectation maximisation, and how many uses of pieces the vocabulary's own scores stand for in each.
-ROUNDS, PRIOR = 2, 1_000.0
+#: Training ends with the round before which log10 of the training words' mean likelihood gained less than this, and
+#: how many uses of pieces the vocabulary's own scores stand for in each round.
+TOLERANCE, PRIOR = 0.02, 1_000.0
 #: Bytes of words that one step of training takes together.
 STRETCH_BYTES = 1_500_000
 END = ""
@@ -238,39 +241,56 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
     return chosen.mapInArrow(read, schema)
 
 
-def train(words: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> np.ndarray:
+_LIKELIHOOD, _TOKENS = -1, -2
+
+
+def train(words: DataFrame, vocabulary: str, tolerance: float = TOLERANCE) -> np.ndarray:
     """log weights of the vocabulary's pieces, fitted to words and their counts (word, c).
 
-    One expected number per piece comes to the driver in each round, whatever the number of words.
+    One expected number per piece comes to the driver in each round, whatever the number of words. No round lowers the
+    likelihood (but for the prior's share), so the rounds end.
     """
     first = lattice(vocabulary)
     values = first.values
 
     def expect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(vocabulary).weighted(values)
-        uses = np.zeros(len(values))
+        uses, sums = np.zeros(len(values)), np.zeros(2)
+
+        def take() -> None:
+            c = np.concatenate(counts)
+            sums[:] += float(c @ model.many(words, c, uses)), c.sum()
+
         words, counts, size = [], [], 0
         for batch in batches:  # the recursion is over many words at once, batches are small
             words += [w.encode() for w in batch.column(0).to_pylist()]
             counts.append(batch.column(1).to_numpy().astype(float))
             size += batch.column(0).nbytes
             if size >= STRETCH_BYTES:
-                model.many(words, np.concatenate(counts), uses)
+                take()
                 words, counts, size = [], [], 0
         if words:
-            model.many(words, np.concatenate(counts), uses)
+            take()
         some = np.flatnonzero(uses)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(uses[some], pa.float64())], names=["piece", "uses"])
-
-    for _ in range(rounds):
+        piece = np.concatenate([some, [_LIKELIHOOD, _TOKENS]])
+        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(np.concatenate([uses[some], sums]), pa.float64())], names=["piece", "uses"])
+
+    before = -inf
+    while True:
+        found = dict(words.select("word", "c").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses")).collect())
+        tokens, total = found.pop(_TOKENS, 0.0), found.pop(_LIKELIHOOD, 0.0)
+        if not tokens:
+            return values
         uses = np.zeros(len(values))
-        for piece, n in words.select("word", "c").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses")).collect():
-            uses[piece] = n
+        uses[list(found)] = list(found.values())
         values = first.maximised(uses, first.values).values
-    return values
+        mean = total / tokens / log(10)
+        if mean - before < tolerance:
+            return values
+        before = mean
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", block_bytes: int = BLOCK_BYTES, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
 
     score is the log10 marginal probability of the text: of each word, N / (N + V) times the share that it has in
@@ -286,21 +306,44 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = stored(_blocks(docs, id_col, text_col, block_bytes), "lm-blocks")
     # END is the first word of each block; its counts need no exchange
     pairs = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).where("pos > 0").select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    words = stored(pairs.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    words = stored(pairs.groupBy("word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("times")), "lm-words")
     total = blocks.agg(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)")), F.sum(F.expr("counts[0]"))).first()
     n_all, n_ends = total[0] or 0, total[1] or 0
-    distinct = words.count() + (1 if n_ends else 0)
-    trained = train(words, vocabulary, rounds)
+    seen, rows = words.agg(F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("times"), F.lit(0))).first()
+    distinct = seen + (1 if n_ends else 0)
+    trained = train(words.where("c > 0"), vocabulary, tolerance)
     end_share = n_ends / n_all if n_all else 0.5
 
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = lattice(vocabulary).weighted(trained)
+        held, size = [], 0
+
+        def row() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            marginal = model.many([w.encode() for w in whole.column(0).to_pylist()])
+            return pa.RecordBatch.from_arrays([*whole.columns, pa.array(marginal, pa.float64())], names=["word", "c", "times", "m"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column(0).nbytes
+            if size >= STRETCH_BYTES:
+                yield row()
+                held, size = [], 0
+        if held:
+            yield row()
+
+    weighed = stored(words.mapInArrow(weigh, "word string, c long, times long, m double"), "lm-marginals")
+
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts = None, []
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.concatenate(parts).tobytes()], pa.binary())], names=["b", "c"])
+            both = [pa.array([np.concatenate(p).tobytes()], pa.binary()) for p in zip(*parts, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *both], names=["b", "c", "m"])
 
         for batch in batches:
-            b, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            b, c, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
             cuts = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if lo == hi:
@@ -309,28 +352,24 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield row()
                     parts = []
                 block = int(b[lo])
-                parts.append(c[lo:hi].astype(np.int64))
+                parts.append((c[lo:hi].astype(np.int64), m[lo:hi].astype(float)))
         if block is not None:
             yield row()
 
-    own = words.withColumnRenamed("word", "w")
-    counted = pairs.join(own, F.col("word") == F.col("w"), "left").select("block", "pos", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
-    known = stored(counted.repartition("block").sortWithinPartitions("block", "pos").mapInArrow(gather, "b long, c binary"), "lm-counts")
+    counted = split_join(pairs.select("block", "pos", "word"), weighed, "word", "times", rows, "inner", ("block",)).select("block", "pos", "c", "m")
+    known = stored(counted.repartition("block").sortWithinPartitions("block", "pos").mapInArrow(gather, "b long, c binary, m binary"), "lm-counts")
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        model = lattice(vocabulary).weighted(trained)
         for batch in batches:
             for k in range(batch.num_rows):
-                words = batch.column(0)[k].as_py()
-                c = np.concatenate(([n_ends], np.frombuffer(batch.column(5)[k].as_py() or b"", np.int64)))
-                sizes = np.array(batch.column(3)[k].as_py(), np.int64)
-                flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column(4)[k].as_py()), np.int32)
-                marginal = np.empty(len(words))
-                marginal[1:] = model.many([w.encode() for w in words[1:]]) + np.log1p(-min(end_share, 1 - 1e-9))
-                marginal[0] = log(end_share) if end_share else -np.inf
+                c = np.concatenate(([n_ends], np.frombuffer(batch.column(4)[k].as_py() or b"", np.int64)))
+                sizes = np.array(batch.column(2)[k].as_py(), np.int64)
+                flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column(3)[k].as_py()), np.int32)
+                own = np.frombuffer(batch.column(5)[k].as_py() or b"", np.float64) + np.log1p(-min(end_share, 1 - 1e-9))
+                marginal = np.concatenate(([log(end_share) if end_share else -np.inf], own))
                 base = np.log10((c + SMOOTH) / (n_all + SMOOTH * (distinct + 1)))
                 if n_all:
                     adapted = np.logaddexp(np.log(np.maximum(c, 1e-300)), np.log(distinct) + marginal) - np.log(n_all + distinct)
@@ -342,9 +381,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 known_tokens = np.add.reduceat((c > 0)[flat].astype(np.int64), starts)
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1)[k].values, batch.column(2)[k].values, pa.array(sizes), pa.array(known_tokens), pa.array([n_all] * n, pa.int64()), *map(pa.array, sums)],
+                    [batch.column(0)[k].values, batch.column(1)[k].values, pa.array(sizes), pa.array(known_tokens), pa.array([n_all] * n, pa.int64()), *map(pa.array, sums)],
                     names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"],
                 )
 
-    together = blocks.join(known, F.col("block") == F.col("b"), "left").select("words", "ids", "held", "sizes", "tokens", "c")
+    together = blocks.join(known, F.col("block") == F.col("b"), "left").select("ids", "held", "sizes", "tokens", "c", "m")
     return together.mapInArrow(score, schema).withColumnRenamed("id", id_col)
