@@ -7,6 +7,10 @@ over all distinct pages of the group: those that nearly all pages have alike, th
 template; what varies is content. A page's text is its slot without what the alignment pairs with a constant node,
 and without the parts that are never content (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments). Pages in groups with too few pages have these rules alone.
+
+Inside an article or main part a name is weaker evidence, since texts name their parts too (share-price, menu-review,
+ad-hoc). There a part goes by its tag, by a name that is firm, or by another of these names if most of its text is in
+links; without, its text stays but for what the wrapper finds to be template.
 """
 
 from __future__ import annotations
@@ -57,6 +61,12 @@ MARKS = frozenset(
     "cookie cookies consent notice notices popup modal promo promotion sponsor sponsored social share sharing related comment comments respond "
     "disqus newsletter subscribe signup login pagination pager widget toolbar complementary contentinfo".split()
 )
+#: Of these, words that may just as well be a text's subject: a name with them is never firm.
+SUBJECTS = frozenset("menu nav navigation share sharing social related".split())
+#: A name is firm if it ends with one of the other words, or begins with one and goes on with these (or numbers) only.
+STRUCTURE = frozenset("area author bar block body box container content form group header inner item items link links list meta message panel replies reply section slot text thread title unit wrap wrapper".split())
+#: Share of a part's text that is in links from which on a name that is not firm counts.
+LINK_SHARE = 0.5
 #: Names with one of these parts tell what a part has or is in (has-sidebar, comments-open), not what it is.
 STATES = frozenset("has have no with without is are not open closed enabled disabled on off in".split())
 #: Of paragraphs and headings only these names count: others are used for the text's own style.
@@ -169,6 +179,40 @@ def marked(node: Node) -> bool:
     return False
 
 
+def firm(node: Node) -> bool:
+    """Whether one of the node's names can hardly be that of a part of a text."""
+    words = (OWN_WORDS if node.tag in PARAGRAPHS else MARKS) - SUBJECTS
+    for name in node.mark.split():
+        parts = [x for x in _PART.split(name) if x]
+        if parts and STATES.isdisjoint(parts):
+            if parts[-1] in words or (parts[0] in words and all(x in words or x in STRUCTURE or x[0].isdigit() for x in parts[1:])):
+                return True
+    return False
+
+
+class LinkShares:
+    """Characters of parts, and those in links; every node of a page is measured once."""
+
+    def __init__(self) -> None:
+        self.known: dict[int, tuple[int, int]] = {}
+
+    def mostly_links(self, node: Node) -> bool:
+        if id(node) not in self.known:
+            self._measure(node)
+        chars, linked = self.known[id(node)]
+        return linked >= LINK_SHARE * chars
+
+    def _measure(self, top: Node) -> None:
+        order = [top]
+        for n in order:  # parents before children
+            order += [c for c in n.children if isinstance(c, Node) and c.tag not in NEVER]
+        for n in reversed(order):
+            chars = sum(len(_clean(c)) for c in n.children if isinstance(c, str))
+            below = [self.known[id(c)] for c in n.children if isinstance(c, Node) and c.tag not in NEVER]
+            chars += sum(x for x, _ in below)
+            self.known[id(n)] = (chars, chars if n.tag == "a" else sum(x for _, x in below))
+
+
 def never_content(node: Node, inside: bool = False, lenient: bool = False) -> bool:
     """Whether a part is no content; a header is the page's unless it is inside an article or main part.
 
@@ -189,7 +233,10 @@ def _key(*parts: str | int) -> int:
 
 
 def _slots(root: Node) -> tuple[int, list[Node], str]:
-    """The rank, the outermost articles, else main parts, else the body, else all; and the layout."""
+    """The rank, the outermost articles, else main parts, else the body, else all; and the layout.
+
+    A main part that holds several articles, all that there are, is the slot as a whole: what stands between them belongs to them.
+    """
     for lenient in (False, True):
         found: list[list[tuple[Node, tuple]]] = [[], [], []]
         stack: list[tuple[Node, tuple, frozenset[int]]] = [(root, (), frozenset())]  # with the line of nodes above, and their ranks
@@ -203,6 +250,14 @@ def _slots(root: Node) -> tuple[int, list[Node], str]:
         if found[ARTICLE] or found[MAIN] or not root.holds:
             break
     rank = next((r for r in (ARTICLE, MAIN) if found[r]), BODY)
+    if rank == ARTICLE and len(found[ARTICLE]) > 1 and len(found[MAIN]) == 1:
+        inside = 0
+        for _, line in found[ARTICLE]:
+            while line and line[1] is not found[MAIN][0][0]:
+                line = line[0]
+            inside += bool(line)
+        if inside == len(found[ARTICLE]):
+            rank = MAIN
     slots = found[rank] if rank < BODY else found[BODY][:1] or [(root, ())]
     first, line = slots[0]
     frame = [first]
@@ -222,6 +277,7 @@ class Page:
     def __init__(self, html: str) -> None:
         self.rank, slots, self.layout = _slots(parse(html))
         self.pieces: list[tuple[str | None, int]] = []
+        links = LinkShares()
         labels, parents, texts = ["#slots"], [-1], [0]
         for slot in slots:
             labels.append(slot.tag)
@@ -241,7 +297,7 @@ class Page:
                             self.pieces.append((c, 0))
                     elif c.tag == "br":
                         self.pieces.append((" ", 0))
-                    elif not never_content(c, inside):
+                    elif not never_content(c, inside) or (inside and c.tag not in NEVER and not firm(c) and not links.mostly_links(c)):
                         labels.append(c.tag)
                         parents.append(number)
                         texts.append(0)
