@@ -81,12 +81,8 @@ class FastTokenizer:
 _opened: dict[tuple[str, int], FastTokenizer] = {}
 
 
-def _forget() -> None:
-    for t in _opened.values():
-        t.known, t.older = {}, {}
-
-
-remember("pieces", _forget)
+# other operators need neither the pieces nor the tokenizers, which are opened again in half a second
+remember("pieces", _opened.clear)
 
 
 def tokenizer(path: str) -> FastTokenizer:

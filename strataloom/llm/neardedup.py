@@ -74,6 +74,7 @@ def _fine(texts: DataFrame) -> DataFrame:
     """cid, fine: further registers of candidates, from their texts (cid, t)."""
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("words")
         for batch in batches:
             made = [fine_registers(shingle_hashes(words_of(t))).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["cid", "fine"])
@@ -210,6 +211,7 @@ def _strays(members: DataFrame, n_members: int, labels: DataFrame, classes: Data
     dealt = asked.union(met).repartition("b", "block").sortWithinPartitions("b", "block", "role", "cid")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("words")
         group, held, likely = None, None, np.zeros(0, bool)
         parts: list[tuple[tuple[int, int], int, _Rows]] = []
 
@@ -256,6 +258,7 @@ def _forests(flagged: DataFrame, classes: DataFrame, texts: DataFrame, percent:
     dealt = dealt.repartition("b", "block").sortWithinPartitions("b", "block", "role", "cid")
 
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("words")
         group, held, sets = None, None, []
         above: dict[int, int] = {}  # a union-find over the block's components
         codes, known, marks = [], np.zeros(0, np.uint64), np.zeros(0, bool)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fasttok import public_file, tokenizer
-from .shared import alone, bounded_batches
+from .shared import alone, bounded_batches, give_back
 
 WINDOW = 4096
 END_ID = 2
@@ -161,6 +161,7 @@ def pack_documents(
                     yield from flush()
         if ids:
             yield from flush()
+        give_back()
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(pack, SCHEMA.format(id=kind))
     return out.withColumnRenamed("id", id_col)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,12 @@ def alone(name: str = "") -> None:
     for other, clear in _held.items():
         if other != name:
             clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Give memory that nothing uses any more back to the system; Arrow's pool and the C library hold it otherwise."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not this C library

@@ -5,6 +5,8 @@ import html
 import math
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -278,6 +280,34 @@ def test_fast_tokenizer(name):
     assert t.encode("<|endoftext|> x") == t.whole("<|endoftext|> x")
 
 
+def test_workers_give_memory_back():
+    """In a worker of its own: what Arrow's pool and another operator held is the system's again."""
+    code = """
+import re
+from types import SimpleNamespace
+import pyarrow as pa
+from strataloom.llm import fasttok, shared
+
+def used():
+    return sum(int(x) for x in re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())) // 1024
+
+before = used()
+texts = [b"x" * 2000] * 40_000
+made = [pa.array(texts[i : i + 4000], pa.binary()) for i in range(0, 40_000, 4000)]
+full = used()
+del made
+fasttok._opened["x", 0] = SimpleNamespace(known={}, older={})
+shared.alone("pieces")
+print(before, full, used(), len(fasttok._opened))
+shared.alone("words")
+print(len(fasttok._opened))
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120).stdout.split()
+    before, full, after, kept, left = map(int, said)
+    assert full - before > 70 and after - before < (full - before) * 0.6
+    assert (kept, left) == (1, 0)
+
+
 def ids_of(name, text):
     t = fasttok.tokenizer(fasttok.public_file(name))
     return np.frombuffer(t.whole(text or ""), "<u4").tolist() + [2]
