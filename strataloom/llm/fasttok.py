@@ -85,6 +85,12 @@ _opened: dict[tuple[str, int], FastTokenizer] = {}
 remember("pieces", _opened.clear)
 
 
+def forget_pieces() -> None:
+    """Let go of all remembered pieces, not of the tokenizers; so an idle worker is small until its next task."""
+    for t in _opened.values():
+        t.known, t.older = {}, {}
+
+
 def tokenizer(path: str) -> FastTokenizer:
     """The tokenizer of this file, opened once in each Python worker."""
     key = (path, os.getpid())

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fasttok import public_file, tokenizer
+from .fasttok import forget_pieces, public_file, tokenizer
 from .shared import alone, bounded_batches, give_back
 
 WINDOW = 4096
@@ -118,12 +118,14 @@ def pack_documents(
     window: int = WINDOW,
     end_id: int = END_ID,
     group_ids: int = GROUP_IDS,
+    forget: bool = False,
 ) -> DataFrame:
     """One row per piece: id_col, start, length, ids (little-endian unsigned 32 bit), doc_tokens, sequence_id, offset.
 
     Every document's ids and its end id lie in exactly one piece each; null and empty texts have the end id
     only; repeated rows (or ids) are documents of their own; null ids stay; an empty table gives no rows;
     other columns are not read. A sequence's pieces are gapless from offset 0 and at most `window` ids long.
+    With forget, workers keep no pieces of text between tasks: more CPU seconds, less memory where others follow.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -161,6 +163,8 @@ def pack_documents(
                     yield from flush()
         if ids:
             yield from flush()
+        if forget:
+            forget_pieces()
         give_back()
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(pack, SCHEMA.format(id=kind))

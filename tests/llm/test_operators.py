@@ -12,6 +12,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -308,6 +309,22 @@ print(len(fasttok._opened))
     assert (kept, left) == (1, 0)
 
 
+def test_packing_keeps_no_pieces(spark):
+    """Where it is to forget, a worker keeps the tokenizer between tasks, not the pieces that it has seen."""
+    docs = spark.createDataFrame([(i, prose(i, 50)) for i in range(40)], "doc_id long, text string").repartition(4)
+    assert packing.pack_documents(docs, forget=True).count() >= 40
+
+    def look(batches):
+        for _ in batches:
+            pass
+        from strataloom.llm import fasttok as own
+
+        yield pa.RecordBatch.from_arrays([pa.array([len(own._opened)]), pa.array([sum(len(t.known) + len(t.older) for t in own._opened.values())])], names=["opened", "pieces"])
+
+    found = spark.range(0, 16, 1, 16).mapInArrow(look, "opened long, pieces long").collect()
+    assert sum(r["opened"] for r in found) > 0 and all(r["pieces"] == 0 for r in found)
+
+
 def ids_of(name, text):
     t = fasttok.tokenizer(fasttok.public_file(name))
     return np.frombuffer(t.whole(text or ""), "<u4").tolist() + [2]
