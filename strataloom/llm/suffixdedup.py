@@ -10,8 +10,8 @@ them together. About one position in 16 is an anchor.
 2. Blocks send the distinct hashes of their anchors, dealt by hash; those met in one document only cannot be
    shared, and their suffixes are left out of the sort.
 3. Each block sorts the suffixes of its shared anchors, one for each distinct context with the smallest
-   document id that has it, and exchanges them as front-coded runs by key range. A range merges its runs with
-   a loser tree that never re-compares known prefixes. Neighbours with 20 equal bytes are one group; in it the
+   document id that has it, and exchanges them as front-coded runs by key range. A range merges its runs by a
+   stable sort, which finds them in order. Neighbours with 20 equal bytes are one group; in it the
    windows, which reach up to 30 bytes to the left of the anchor, are compared as whole 50-byte strings, and
    each gets the smallest document id that has it.
 4. These go back to the blocks, which mark what an earlier document has.
@@ -28,7 +28,6 @@ import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, fresh_path, stored, until_end
-from .suffixmerge import front_code, front_decode, merge_runs
+from .suffixmerge import front_code_rows, front_decode_rows
 
 LENGTH = 50
 GRAM = 20
 REACH = LENGTH - GRAM  # bytes of a window before its anchor, at most
 #: Bytes of text in a block, at least one document.
 BLOCK_BYTES = 16_000_000
-#: Window starts that are hashed at once.
-SEGMENT = 1 << 20
+#: 20-byte strings that are hashed at once, a power of two: few enough for a core's cache.
+SEGMENT = 1 << 15
 #: Key ranges, and partitions of any exchange, at most. Beyond this many blocks each range is merged in several parts,
 #: one after another, so what a task holds does not grow with the data.
 MOST_RANGES = 16_384
@@ -55,6 +54,10 @@ HOT, SIDE = 4_096, 15
 SAMPLE = 10_000
 #: Rows of a range that are resolved at once (groups are never parted).
 RESOLVE_ROWS = 30_000
+#: Bytes of runs in a batch.
+SENT_BYTES = 1 << 20
+#: Of a 64-bit hash, those that tell which strings are shared; strings with one hash are only sorted in vain.
+KEY_BITS = 48
 _MUL = 0x9E3779B97F4A7C15
 _U = np.uint64
 _NO_ID = np.iinfo(np.int64).max
@@ -69,51 +72,72 @@ class Anchors:
     doc: np.ndarray  # place of the document in the block
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the 20-byte strings at each position: by doubling, 1, 2, 4, 8, 16, 16 + 4."""
-    h, held = data.astype(_U) + _U(1), {}
+def gram_ranks(data: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the 20-byte strings at each position: by doubling, 1, 2, 4, 8, 16, 16 + 4."""
+    h, held = data.astype(np.uint32) + np.uint32(1), {}
     for n in (1, 2, 4, 8):
-        h = h[:-n] * _U(pow(_MUL, n, 1 << 64)) + h[n:]
+        h = h[:-n] * np.uint32(pow(_MUL, n, 1 << 32)) + h[n:]
         held[2 * n] = h
-    four = held[4]
     m = len(data) - GRAM + 1
-    h = held[16][:m] * _U(pow(_MUL, 4, 1 << 64)) + four[16 : 16 + m]
-    h ^= h >> _U(32)
-    h *= _U(0xD6E8FEB86659FD93)
-    h ^= h >> _U(29)
+    h = held[16][:m] * np.uint32(pow(_MUL, 4, 1 << 32)) + held[4][16 : 16 + m]
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    return h
+
+
+def gram_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the 20-byte strings at these positions."""
+    words = np.zeros((len(at), 24), np.uint8)
+    if len(at):
+        words[:, :GRAM] = np.lib.stride_tricks.sliding_window_view(data, GRAM)[at]
+    words = words.view("<u8")
+    h = np.zeros(len(at), _U)
+    for j in range(3):
+        h = (h + words[:, j] + _U(1)) * _U(_MUL)
+        h ^= h >> _U(29 + j)
+        h *= _U(0xD6E8FEB86659FD93)
+        h ^= h >> _U(32)
     return h
 
 
 def find_anchors(data: np.ndarray, sizes: np.ndarray) -> Anchors:
-    """The anchors of all windows that lie within one document each; documents lie one behind another."""
-    ends = np.cumsum(sizes)
+    """The anchors of all windows that lie within one document each; documents lie one behind another.
+
+    A position's number in its segment stands in the low bits of its string's hash, so one minimum finds the
+    smallest hash and, of equal ones, the leftmost.
+    """
+    whole = np.maximum(sizes - (LENGTH - 1), 0)  # window starts of each document; from the others a window would leave it
+    good_at = np.repeat(np.tile([True, False], len(sizes)), np.stack((whole, sizes - whole), axis=1).reshape(-1))
+    low_bits = np.uint32(SEGMENT - 1)
+    number = np.arange(SEGMENT, dtype=np.uint32)
     parts: list[tuple] = []
-    first, last = 0, len(data) - LENGTH + 1
-    for lo in range(first, max(first, last), SEGMENT):
-        hi = min(lo + SEGMENT, last)
-        h = gram_hashes(data[lo : hi + LENGTH - 1])
-        value, index = h, np.arange(len(h), dtype=np.int32)
+    last = len(data) - LENGTH + 1
+    for lo in range(0, max(0, last), SEGMENT - REACH):
+        hi = min(lo + SEGMENT - REACH, last)
+        good = good_at[lo:hi]
+        if not good.any():
+            continue
+        ranks = gram_ranks(data[lo : hi + LENGTH - 1])
+        value = (ranks & ~low_bits) | number[: len(ranks)]
         width = 1
         while width < REACH + 1:
             step = min(width, REACH + 1 - width)
-            n = len(value) - step
-            left, right = value[:n], value[step:]
-            keep = left <= right
-            value, index = np.where(keep, left, right), np.where(keep, index[:n], index[step:])
+            value = np.minimum(value[: len(value) - step], value[step:])
             width += step
-        starts = np.arange(lo, hi)
-        doc = np.searchsorted(ends, starts, side="right")
-        good = starts + LENGTH <= ends[doc]
-        index = np.where(good, index[: hi - lo], -1)
-        cut = np.flatnonzero(np.concatenate(([True], (np.diff(index) != 0) | (np.diff(doc) != 0))))
-        stop = np.concatenate((cut[1:], [hi - lo])) - 1
-        real = index[cut] >= 0
+        value &= low_bits
+        cut = np.flatnonzero((value[1:] != value[:-1]) | (good[1:] != good[:-1])) + 1
+        cut = np.concatenate(([0], cut))
+        stop = np.append(cut[1:], hi - lo) - 1
+        real = good[cut]
         cut, stop = cut[real], stop[real]
-        at = index[cut].astype(np.int64) + lo
-        parts.append((at, (cut + lo - at).astype(np.int8), (stop + lo - at).astype(np.int8), h[index[cut]], doc[cut].astype(np.int32)))
+        index = value[cut].astype(np.int64)
+        at = index + lo
+        parts.append((at, (cut - index).astype(np.int8), (stop - index).astype(np.int8), gram_hashes(data, at)))
     if not parts:
-        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int8), np.zeros(0, _U), np.zeros(0, np.int32))]
-    return Anchors(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int8), np.zeros(0, _U))]
+    at, low, high, key = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return Anchors(at, low, high, key, np.searchsorted(np.cumsum(sizes), at, side="right").astype(np.int32))
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -165,16 +189,24 @@ class Shared:
         return cls(keys[order], hot[order])
 
 
+#: Of a suffix row's 50 and 30 bytes, those inside the windows: by high plus 30, and by low plus 30.
+_RIGHT = np.where(np.arange(LENGTH)[None, :] < np.arange(-REACH, 1)[:, None] + LENGTH, 255, 0).astype(np.uint8)
+_LEFT = np.where(np.arange(-REACH, 0)[None, :] >= np.arange(-REACH, 1)[:, None], 255, 0).astype(np.uint8)
+
+
 def suffix_rows(block: Block, anchors: Anchors) -> np.ndarray:
     """One row per anchor; bytes outside its windows are 0."""
-    begins = anchors.at + anchors.low
-    stops = anchors.at + anchors.high + LENGTH
-    places = anchors.at[:, None] + np.concatenate((np.arange(LENGTH), np.arange(-REACH, 0)))[None, :]
-    inside = (places >= begins[:, None]) & (places < stops[:, None])
     rows = np.empty((len(anchors.at), ROW), np.uint8)
-    rows[:, : LENGTH + REACH] = np.where(inside, block.data[np.where(inside, places, 0)] if len(block.data) else 0, 0)
-    rows[:, -3] = anchors.low + (REACH + 1)
-    rows[:, -2] = anchors.high + (REACH + 1)
+    if not len(rows):
+        return rows
+    around = np.concatenate((np.zeros(REACH, np.uint8), block.data, np.zeros(LENGTH, np.uint8)))
+    for i in range(0, len(rows), 10_000):
+        to = slice(i, i + 10_000)
+        text = np.lib.stride_tricks.sliding_window_view(around, REACH + LENGTH)[anchors.at[to]]
+        low, high = anchors.low[to].astype(np.int64) + REACH, anchors.high[to].astype(np.int64) + REACH
+        rows[to, :LENGTH] = text[:, REACH:] & _RIGHT[high]
+        rows[to, LENGTH:-3] = text[:, :REACH] & _LEFT[low]
+        rows[to, -3], rows[to, -2] = low + 1, high + 1
     rows[:, -1] = 1
     return rows
 
@@ -182,16 +214,21 @@ def suffix_rows(block: Block, anchors: Anchors) -> np.ndarray:
 def shared_suffixes(block: Block, shared: Shared) -> tuple[Anchors, np.ndarray, np.ndarray, np.ndarray]:
     """The anchors whose hash is shared; their distinct suffix rows in order; each anchor's row; which rows are hot."""
     found = find_anchors(block.data, block.sizes)
-    key = found.hash >> _U(8)
-    place = np.minimum(np.searchsorted(shared.keys, key), max(0, len(shared.keys) - 1))
-    chosen = np.flatnonzero(shared.keys[place] == key) if len(shared.keys) else np.zeros(0, np.int64)
+    key = found.hash >> _U(64 - KEY_BITS)
+    chosen = place = np.zeros(0, np.int64)
+    if len(shared.keys):
+        seen = np.zeros(1 << 22, bool)  # by leading bits: leaves most keys out of the search
+        seen[shared.keys >> _U(KEY_BITS - 22)] = True
+        chosen = np.flatnonzero(seen[key >> _U(KEY_BITS - 22)])
+        place = np.minimum(np.searchsorted(shared.keys, key[chosen]), len(shared.keys) - 1)
+        real = shared.keys[place] == key[chosen]
+        chosen, place = chosen[real], place[real]
     found = Anchors(*(getattr(found, f)[chosen] for f in ("at", "low", "high", "hash", "doc")))
-    parts = [suffix_rows(block, Anchors(*(getattr(found, f)[i : i + 50_000] for f in ("at", "low", "high", "hash", "doc")))) for i in range(0, len(chosen), 50_000)]
-    rows = np.concatenate(parts) if parts else np.zeros((0, ROW), np.uint8)
+    rows = suffix_rows(block, found)
     distinct, number = np.unique(rows.view(f"S{ROW}").reshape(-1), return_inverse=True)
     hot = np.zeros(len(distinct), bool)
     if len(chosen):
-        hot[number] = shared.hot[place[chosen]]
+        hot[number] = shared.hot[place]
     return found, distinct.view(np.uint8).reshape(-1, ROW) if len(distinct) else rows, number, hot
 
 
@@ -240,7 +277,7 @@ def resolve(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
             continue
         c = REACH + r
         key = (prefix[c + LENGTH, live] - prefix[c, live] * power) * _U(0xD6E8FEB86659FD93)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         live, key = live[order], key[order]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
@@ -255,13 +292,9 @@ def resolve(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def _resolved(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """As resolve; of a large group, rows that many blocks have alike are resolved once."""
-    if len(rows) <= RESOLVE_ROWS:
-        return resolve(rows, least)
-    _, first, number = np.unique(np.ascontiguousarray(rows).view(f"V{ROW}").reshape(-1), return_index=True, return_inverse=True)
-    low = np.full(len(first), _NO_ID, np.int64)
-    np.minimum.at(low, number, least)
-    return resolve(rows[first], low)[number]
+    """As resolve, of sorted rows; those that several blocks have alike are resolved once."""
+    new = np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))
+    return resolve(rows[new], np.minimum.reduceat(least, np.flatnonzero(new)))[np.cumsum(new) - 1]
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
@@ -318,7 +351,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = min(MOST_RANGES, max(64, 2 * n_blocks))
     parts, hot_parts = -(-2 * n_blocks // MOST_RANGES), max(64, n_blocks)
     buckets = 1 << (max(64, 4 * n_blocks) - 1).bit_length()
-    shift = _U(65 - buckets.bit_length())
+    shift = _U(KEY_BITS + 1 - buckets.bit_length())
     spread = min(MOST_RANGES, buckets)
     wanted = max(1, SAMPLE // n_blocks)
 
@@ -331,15 +364,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 number = batch.column(0)[k].as_py()
                 block = Block.read(*(batch.column(c)[k].as_py() for c in (1, 2, 3)))
                 found = find_anchors(block.data, block.sizes)
-                order = np.lexsort((found.doc, found.hash))
-                key, doc = found.hash[order] >> _U(8), found.doc[order]
+                order = np.argsort(found.hash)
+                key, doc = found.hash[order] >> _U(64 - KEY_BITS), found.doc[order]
                 new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
                 starts = np.flatnonzero(new)
                 ids = block.ids[doc]
                 several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts) if len(starts) else np.zeros(0, bool)
                 times = np.minimum(np.diff(starts, append=len(key)), 255).astype(np.uint8)
                 key = key[starts]
-                bucket = (key >> (shift - _U(8))).astype(np.int64) if len(key) else np.zeros(0, np.int64)
+                bucket = (key >> shift).astype(np.int64) if len(key) else np.zeros(0, np.int64)
                 cuts = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0, [True]))) if len(key) else np.zeros(0, np.int64)
                 out: list[list] = [[], [], [], [], []]
                 for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
@@ -368,14 +401,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             order = np.argsort(keys, kind="stable")
             keys, marks, times = keys[order], marks[order], times[order]
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            many = np.logical_or.reduceat(marks, starts) | (np.diff(starts, append=len(keys)) > 1)
-            good, hot = keys[starts][many], (np.add.reduceat(times, starts) >= hot_count)[many]
+            counts = np.diff(starts, append=len(keys))
+            many, hot = np.empty(len(keys), bool), np.empty(len(keys), bool)  # of each key that was sent
+            many[order] = np.repeat(np.logical_or.reduceat(marks, starts) | (counts > 1), counts)
+            hot[order] = np.repeat(np.add.reduceat(times, starts) >= hot_count, counts)
             out: list[list] = [[], [], []]
+            at = 0
             for number, k, _, _ in held:
-                mine = k[np.isin(k, good, assume_unique=True)]
-                if len(mine):
-                    for c, v in zip(out, (number, pack_sorted(mine), np.packbits(hot[np.searchsorted(good, mine)]).tobytes()), strict=True):
+                good = np.flatnonzero(many[at : at + len(k)])
+                if len(good):
+                    for c, v in zip(out, (number, pack_sorted(k[good]), np.packbits(hot[at + good]).tobytes()), strict=True):
                         c.append(v)
+                at += len(k)
             return _batch([pa.int64(), pa.binary(), pa.binary()], out, ["b", "keys", "hot"])
 
         for batch in batches:
@@ -414,31 +451,46 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 order = np.lexsort((place, part, range_of[place]))
                 rows, place, part = rows[order], place[order], part[order]
                 here = range_of[place]
-                cuts = np.flatnonzero(np.concatenate(([True], (np.diff(here) != 0) | (np.diff(part) != 0), [True]))) if len(rows) else []
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    for lo in range(a, b, 100_000):
-                        at = slice(lo, min(b, lo + 100_000))
-                        prefixes, rests = front_code([x.tobytes() for x in rows[at, :LENGTH]])
-                        steps = np.diff(place[at], prepend=0).astype("<i4")
-                        run = press(b"".join([prefixes, *rests, rows[at, LENGTH : ROW - 1].tobytes(), least[place[at]].tobytes(), most[place[at]].tobytes(), steps.tobytes()]))
-                        row = (int(here[lo]), int(part[lo]), number, len(prefixes).to_bytes(4, "little") + run)
-                        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, pieces, strict=True)], schema=pieces)
+                cuts = np.flatnonzero(np.concatenate(([True], (np.diff(here) != 0) | (np.diff(part) != 0), [True]))).tolist() if len(rows) else []
+                begins = [lo for a, b in zip(cuts, cuts[1:], strict=False) for lo in range(a, b, 100_000)]
+                prefixes, rests, offsets = front_code_rows(rows[:, :LENGTH], np.array(begins, np.int64))
+                out: list[list] = [[], [], [], []]
+                size = 0
+                for lo, hi in zip(begins, [*begins[1:], len(rows)], strict=True):
+                    at = slice(lo, hi)
+                    steps = np.diff(place[at], prepend=0).astype("<i4")
+                    run = [prefixes[at], rests[offsets[lo] : offsets[hi]], rows[at, LENGTH : ROW - 1], least[place[at]], most[place[at]], steps]
+                    run = (hi - lo).to_bytes(4, "little") + press(b"".join(x.tobytes() for x in run))
+                    for c, v in zip(out, (int(here[lo]), int(part[lo]), number, run), strict=True):
+                        c.append(v)
+                    size += len(run)
+                    if size >= SENT_BYTES:
+                        yield _batch(pieces.types, out, pieces.names)
+                        out, size = [[], [], [], []], 0
+                if size:
+                    yield _batch(pieces.types, out, pieces.names)
 
     with_lists = blocks.join(lists, F.col("block") == F.col("b")).select("block", "ids", "sizes", "data", "keys")
     sorted_runs = with_lists.mapInArrow(runs, "range int, part long, block long, run binary")
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
-        now = None
+        merged: list[Merged] = []
+        waiting, now = 0, None
         for batch in batches:
             for r, part, number, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (r, part) != now and held:
-                    yield from _merged(held)
-                    held = []
+                    merged.append(_merged(held))
+                    waiting, held = waiting + len(merged[-1].rows), []
+                    if waiting >= RESOLVE_ROWS:
+                        yield _told(merged)
+                        merged, waiting = [], 0
                 now = (r, part)
                 held.append((number, run))
         if held:
-            yield from _merged(held)
+            merged.append(_merged(held))
+        if merged:
+            yield _told(merged)
 
     met = sorted_runs.repartition(spread, "range", "part").sortWithinPartitions("range", "part", "block")
     verdicts = stored(met.mapInArrow(merge, "b long, marks binary").groupBy("b").agg(F.sort_array(F.collect_list("marks")).alias("marks")), "suffix-verdicts")
@@ -477,59 +529,71 @@ def _places(heads: np.ndarray, splitters: list[bytes]) -> list[int]:
 MARK = np.dtype([("row", "<i4"), ("low", "i1"), ("high", "i1"), ("least", "<i8")])
 
 
-def _merged(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Merge a range's runs and send each block the smallest ids of its rows' windows."""
+@dataclass
+class Merged:
+    """A range's rows in order, or a part's."""
+
+    rows: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    owner: np.ndarray  # the block, and the row's number there
+    number: np.ndarray
+    first: np.ndarray  # of a group
+
+
+def _merged(held: list[tuple[int, bytes]]) -> Merged:
+    """Merge a range's runs."""
     import zstandard
 
-    runs, rows, least, most, owner, number = [], [], [], [], [], []
-    for block, content in held:
+    rows, least, most, number = [], [], [], []
+    unpress = zstandard.ZstdDecompressor().decompress
+    for _, content in held:
         n = int.from_bytes(content[:4], "little")
-        data = zstandard.ZstdDecompressor().decompress(content[4:])
-        prefixes = data[:n]
-        cuts = list(accumulate([n, *(LENGTH - p for p in prefixes)]))
-        suffixes = front_decode(prefixes, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
-        runs.append((suffixes, prefixes))
-        rest = np.frombuffer(data[cuts[-1] : cuts[-1] + n * (REACH + 2)], np.uint8).reshape(n, REACH + 2)
+        data = unpress(content[4:])
+        prefixes = np.frombuffer(data, np.uint8, n)
+        end = n + n * LENGTH - int(prefixes.sum())
         whole = np.empty((n, ROW), np.uint8)
-        whole[:, :LENGTH] = np.frombuffer(b"".join(suffixes), np.uint8).reshape(n, LENGTH)
-        whole[:, LENGTH : ROW - 1], whole[:, -1] = rest, 1
+        whole[:, :LENGTH] = front_decode_rows(prefixes, np.frombuffer(data[n:end], np.uint8), LENGTH)
+        whole[:, LENGTH : ROW - 1] = np.frombuffer(data, np.uint8, n * (REACH + 2), end).reshape(n, REACH + 2)
+        whole[:, -1] = 1
         rows.append(whole)
-        tail = cuts[-1] + n * (REACH + 2)
-        ids = np.frombuffer(data[tail : tail + 16 * n], "<i8")
+        end += n * (REACH + 2)
+        ids = np.frombuffer(data, "<i8", 2 * n, end)
         least.append(ids[:n])
         most.append(ids[n:])
-        owner += [block] * n
-        number.append(np.cumsum(np.frombuffer(data[tail + 16 * n :], "<i4")))
-    offsets = [0, *accumulate(len(r) for r in rows)]
-    rows, least, most = np.concatenate(rows), np.concatenate(least), np.concatenate(most)
-    number, owner = np.concatenate(number), np.array(owner, np.int64)
-    order, known = [], []
-    for run, place, prefix in merge_runs(runs):
-        order.append(offsets[run] + place)
-        known.append(prefix)
-    order, known = np.array(order, np.int64), np.array(known, np.int64)
-    starts = np.flatnonzero(known < GRAM)  # of groups
+        number.append(np.cumsum(np.frombuffer(data, "<i4", n, end + 16 * n)))
+    owner = np.repeat(np.array([block for block, _ in held], np.int64), [len(r) for r in rows])
+    rows = np.concatenate(rows)
+    order = np.argsort(rows.view(f"S{ROW}").reshape(-1), kind="stable")  # a merge: the sort finds the runs
+    rows = rows[order]
+    first = np.concatenate(([True], (rows[1:, :GRAM] != rows[:-1, :GRAM]).any(axis=1)))
+    return Merged(rows, np.concatenate(least)[order], np.concatenate(most)[order], owner[order], np.concatenate(number)[order], first)
+
+
+def _told(merged: list[Merged]) -> pa.RecordBatch:
+    """Tell each block the smallest ids of its rows' windows. Rows of several parts are resolved at once: equal windows lie in one."""
+    rows, least, most, owner, number, first = (np.concatenate([getattr(m, f) for m in merged]) for f in ("rows", "least", "most", "owner", "number", "first"))
+    starts = np.flatnonzero(first)  # of groups
     parts, at = [], 0
-    while at < len(order):
+    while at < len(rows):
         k = np.searchsorted(starts, at + RESOLVE_ROWS)
-        end = int(starts[k]) if k < len(starts) else len(order)
-        chosen = order[at:end]
-        mins = _resolved(rows[chosen], least[chosen])
-        change = np.concatenate((np.ones((len(chosen), 1), bool), mins[:, 1:] != mins[:, :-1]), axis=1)
+        end = int(starts[k]) if k < len(starts) else len(rows)
+        mins = _resolved(rows[at:end], least[at:end])
+        change = np.concatenate((np.ones((end - at, 1), bool), mins[:, 1:] != mins[:, :-1]), axis=1)
         line, low = np.nonzero(change)
         high = np.concatenate((low[1:], [0])) - 1
         high[np.concatenate((line[1:] != line[:-1], [True]))] = REACH
         value = mins[line, low]
-        useful = value < most[chosen][line]
+        useful = value < most[at:end][line]
         marks = np.empty(int(useful.sum()), MARK)
-        marks["row"], marks["low"], marks["high"], marks["least"] = number[chosen][line[useful]], low[useful] - REACH, high[useful] - REACH, value[useful]
-        parts.append((owner[chosen][line[useful]], marks))
+        marks["row"], marks["low"], marks["high"], marks["least"] = number[at:end][line[useful]], low[useful] - REACH, high[useful] - REACH, value[useful]
+        parts.append((owner[at:end][line[useful]], marks))
         at = end
     who, marks = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(who, kind="stable")
     who, marks = who[order], marks[order]
     cuts = np.flatnonzero(np.concatenate(([True], np.diff(who) != 0, [True]))).tolist() if len(who) else []
-    yield _batch([pa.int64(), pa.binary()], [[int(who[a]) for a in cuts[:-1]], [marks[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]], ["b", "marks"])
+    return _batch([pa.int64(), pa.binary()], [[int(who[a]) for a in cuts[:-1]], [marks[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]], ["b", "marks"])
 
 
 def _covered(block: Block, shared: Shared, marks: list[bytes] | None) -> np.ndarray:
@@ -544,9 +608,15 @@ def _covered(block: Block, shared: Shared, marks: list[bytes] | None) -> np.ndar
     high = np.minimum(mark["high"], found.high[anchor]).astype(np.int64)
     hit = (low <= high) & (mark["least"] < block.ids[found.doc[anchor]])
     begin, end = found.at[anchor][hit] + low[hit], found.at[anchor][hit] + high[hit] + LENGTH
-    edge = np.bincount(begin, minlength=len(block.data) + 1).astype(np.int32)
-    edge -= np.bincount(end, minlength=len(block.data) + 1).astype(np.int32)
-    return np.cumsum(edge[:-1], dtype=np.int32) > 0
+    gone = np.zeros(len(block.data), bool)
+    if len(begin):
+        order = np.argsort(begin, kind="stable")
+        begin, reached = begin[order], np.maximum.accumulate(end[order])
+        first = np.flatnonzero(np.concatenate(([True], begin[1:] > reached[:-1])))
+        starts, stops = begin[first], reached[np.append(first[1:], len(begin)) - 1]
+        edges = np.append(np.stack((starts, stops), axis=1).reshape(-1), len(gone))
+        gone = np.repeat(np.arange(len(edges)) % 2 == 1, np.diff(edges, prepend=0))
+    return gone
 
 
 def _judged(block: Block, gone: np.ndarray, ids: pa.Array, with_text: bool) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,11 @@
-"""Front-coded sorted suffix runs and their merge by a loser tree that keeps common prefixes."""
+"""Front-coded sorted suffix runs, as arrays and in a plain form, and a plain merge by a loser tree that keeps common prefixes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+
 
 def common_prefix(a: bytes, b: bytes, start: int) -> int:
     """Length of the common prefix, of which `start` bytes are known."""
@@ -26,6 +28,18 @@ def front_code(suffixes: list[bytes]) -> tuple[bytes, list[bytes]]:
     return bytes(prefixes), rests
 
 
+def front_code_rows(rows: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As front_code, of runs of equally long suffixes that begin at these rows: prefixes, all rests, where each begins."""
+    n, width = rows.shape
+    prefixes = np.zeros(n, np.uint8)
+    if n > 1:
+        other = rows[1:] != rows[:-1]
+        prefixes[1:] = np.where(other.any(axis=1), other.argmax(axis=1), width)
+    prefixes[begins] = 0
+    rests = rows[np.arange(width, dtype=np.uint8)[None, :] >= prefixes[:, None]]
+    return prefixes, rests, np.concatenate(([0], np.cumsum(width - prefixes.astype(np.int64))))
+
+
 def front_decode(prefixes: bytes, rests: list[bytes]) -> list[bytes]:
     out, last = [], b""
     for n, rest in zip(prefixes, rests, strict=True):
@@ -34,6 +48,15 @@ def front_decode(prefixes: bytes, rests: list[bytes]) -> list[bytes]:
     return out
 
 
+def front_decode_rows(prefixes: np.ndarray, rests: np.ndarray, width: int) -> np.ndarray:
+    """As front_decode, of one run of equally long suffixes."""
+    own = np.arange(width, dtype=np.uint8)[None, :] >= prefixes[:, None]
+    rows = np.empty((len(prefixes), width), np.uint8)
+    rows[own] = rests
+    source = np.maximum.accumulate(np.where(own, np.arange(len(prefixes))[:, None], 0), axis=0)
+    return np.take_along_axis(rows, source, axis=0)
+
+
 def merge_runs(runs: list[tuple[list[bytes], bytes]]) -> Iterator[tuple[int, int, int]]:
     """Merge sorted runs of (suffixes, common prefixes): (run, place, common prefix with the suffix before).
 

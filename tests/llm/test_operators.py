@@ -8,6 +8,7 @@ import re
 import subprocess
 import sys
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -127,6 +128,51 @@ def test_loser_tree(runs):
     assert all(suffixmerge.common_prefix(a, b, 0) == n for a, b, (_, _, n) in zip(out, out[1:], merged[1:], strict=False))
 
 
+@settings(deadline=None)
+@given(st.lists(st.lists(st.binary(min_size=4, max_size=4).map(lambda b: bytes(c % 3 for c in b)), max_size=20), max_size=6))
+def test_front_code_of_rows(runs):
+    """Arrays of suffixes are coded and decoded as lists are, many runs at once."""
+    runs = [sorted(r) for r in runs if r]
+    rows = np.frombuffer(b"".join(x for r in runs for x in r), np.uint8).reshape(-1, 4)
+    begins = np.cumsum([0, *map(len, runs)])
+    prefixes, rests, offsets = suffixmerge.front_code_rows(rows, begins[:-1])
+    for r, a, b in zip(runs, begins, begins[1:], strict=False):
+        p, t = prefixes[a:b], rests[offsets[a] : offsets[b]]
+        want = suffixmerge.front_code(r)
+        assert (p.tobytes(), t.tobytes()) == (want[0], b"".join(want[1]))
+        assert suffixmerge.front_decode_rows(p, t, 4).tobytes() == b"".join(r)
+
+
+@pytest.mark.parametrize("segment", [64, 1 << 15])
+def test_anchors(segment, monkeypatch):
+    """Every window within a document lies around one anchor; equal windows have it at the same place, with the same hash."""
+    monkeypatch.setattr(suffixdedup, "SEGMENT", segment)
+    r = random.Random(23)
+    pool = [prose(90 + k, 6)[: r.randint(10, 120)] for k in range(6)] + ["=" * 70, "", "x"]
+    docs = [b"", *("".join(r.choice(pool) for _ in range(r.randint(0, 5))).encode() for _ in range(60)), b"a" * 49, b"b" * 50, b""]
+    data, ends = b"".join(docs), np.cumsum([len(d) for d in docs]).tolist()
+    found = suffixdedup.find_anchors(np.frombuffer(data, np.uint8), np.array([len(d) for d in docs], np.int64))
+    starts, offset, hashed = [], {}, {}
+    for at, low, high, key, doc in zip(*(getattr(found, f).tolist() for f in ("at", "low", "high", "hash", "doc")), strict=True):
+        assert -30 <= low <= high <= 0 and ends[doc] - len(docs[doc]) <= at + low and at + high + 50 <= ends[doc]
+        assert hashed.setdefault(data[at : at + 20], key) == key
+        for p in range(at + low, at + high + 1):
+            starts.append(p)
+            assert offset.setdefault(data[p : p + 50], at - p) == at - p
+    assert starts == [e - len(d) + k for d, e in zip(docs, ends, strict=True) for k in range(len(d) - 49)]
+    assert len(set(hashed.values())) == len(hashed)
+
+
+def test_anchors_in_little_memory():
+    """Segments fit a core's cache. A million positions at a time took 96 MB."""
+    data = np.random.default_rng(29).integers(97, 123, 2_000_000).astype(np.uint8)
+    tracemalloc.start()
+    found = suffixdedup.find_anchors(data, np.full(1000, 2000, np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found.at) > 100_000 and peak < 16e6, peak
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------
 
 
