@@ -6,8 +6,8 @@ bounded memory; only new ones go to the tokenizers library. Where that cut could
 (any character from U+0180 on), the whole text goes to the library instead. Both ways give the same ids,
 which the tests hold against the library on whole texts.
 
-A byte-level vocabulary's new pieces go straight to its merges: nothing before them changes a piece that is cut
-already, and the library spends more on preparing each piece than on merging it.
+Both vocabularies are byte-level, and new pieces go straight to their merges: nothing before them changes a piece
+that is lower-cased and cut already, and the library spends more on preparing each piece than on merging it.
 """
 
 from __future__ import annotations
@@ -61,8 +61,8 @@ class BytePieces(dict[str, bytes]):
 class FastTokenizer:
     path: str
     remember: int = MEMORY_PIECES
-    known: dict[str, bytes] = field(default_factory=dict)
-    older: dict[str, bytes] = field(default_factory=dict)
+    known: BytePieces = field(init=False)
+    older: dict[str, bytes] = field(init=False)
 
     def __post_init__(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,7 +76,7 @@ class FastTokenizer:
 
     def forget(self) -> None:
         self.older = {}
-        self.known = {} if self.lowers else BytePieces(self.library.model.tokenize, self.older)
+        self.known = BytePieces(self.library.model.tokenize, self.older)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -85,33 +85,16 @@ class FastTokenizer:
         """The ids as little-endian unsigned 32-bit integers."""
         if _WIDE.search(text):
             return self.whole(text)
-        if not self.lowers:
-            ids = b"".join(map(self.known.__getitem__, self.find(text)))
-            if len(self.known) > self.remember // 2:
-                self.older = self.known
-                self.older.older = {}  # two generations at most
-                self.known = BytePieces(self.older.tokenize, self.older)
-            return ids
-        text = text.lower()
-        if "̇" in text:  # the one letter here whose lower case is two characters
-            return self.whole(text)
-        pieces, known = self.find(text), self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            new = {p for p in pieces if p not in known}
-        if len(known) + len(new) > self.remember // 2:
-            self.older, self.known = known, {}
-            known, new = self.known, set(pieces)
-        older = self.older
-        for p in new & older.keys():
-            known[p] = older[p]
-        ask = [p for p in new if p not in known]
-        for i in range(0, len(ask), 20_000):
-            part = ask[i : i + 20_000]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[p] for p in pieces])
+        if self.lowers:
+            text = text.lower()
+            if "̇" in text:  # the one letter here whose lower case is two characters
+                return self.whole(text)
+        ids = b"".join(map(self.known.__getitem__, self.find(text)))
+        if len(self.known) > self.remember // 2:
+            self.older = self.known
+            self.older.older = {}  # two generations at most
+            self.known = BytePieces(self.older.tokenize, self.older)
+        return ids
 
 
 _opened: dict[tuple[str, int], FastTokenizer] = {}

@@ -347,6 +347,26 @@ def test_new_byte_pieces_skip_preparation():
     assert len(small.known) <= 1_000 and len(small.older) <= 2_000 and not small.older.older
 
 
+def test_new_word_pieces_skip_preparation():
+    """So do new pieces of the vocabulary of lower-cased words; capitals, all characters, long runs and generations agree."""
+    r = random.Random(9)
+    words = list({"".join(r.choice("etaoinshrdlucmfwypvbgkjqxzéüñ") for _ in range(r.randint(4, 16))) for _ in range(60_000)})
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    took = [math.inf, math.inf]
+    for _ in range(4):
+        t = fasttok.FastTokenizer(fasttok.public_file("word_bpe_49k.json"))
+        for k, run in enumerate((lambda: [t.encode(s) for s in texts], lambda: [e.ids for i in range(0, len(words), 20_000) for e in t.library.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)])):
+            start = time.process_time()
+            run()
+            took[k] = min(took[k], time.process_time() - start)
+    assert took[0] < 0.85 * took[1], took
+    odd = ["".join(chr(i) for i in range(0x180)), *["a" + chr(i) + chr(i) + "1'S" + chr(i) for i in range(0x180)], "x" * 20_000, "\x00\x7f\xad\xa0 IT'S ''s <|endoftext|>", "É" * 5_000 + "!" * 5_000]
+    assert all(t.encode(s) == t.whole(s) for s in [*texts, *[s.title() for s in texts], *odd])
+    small = fasttok.FastTokenizer(t.path, remember=2_000)
+    assert all(small.encode(s) == t.encode(s) for s in [*texts[:9], *texts[:9]])
+    assert len(small.known) <= 1_000 and len(small.older) <= 2_000 and not small.older.older
+
+
 def test_workers_give_memory_back():
     """In a worker of its own: what Arrow's pool and another operator held is the system's again."""
     code = """
