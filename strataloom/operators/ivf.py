@@ -1,31 +1,35 @@
 """An inverted-file index of vectors: lists around centres, few of which a query reads; distances are exact.
 
 Centres are fitted by spherical k-means on a bounded sample: the SAMPLE vectors whose ids have the smallest hashes. Every
-vector is indexed: it stands in its nearest centre's list, as part of a block of up to BLOCK vectors, with the largest angle
-to the centre noted per list. A search scores whole vectors of the lists it reads, as one matrix product per pair of
-blocks; how many lists give the wanted recall is measured against the exact search on a sample of queries. An exact search
-reads, in a second pass, each list that the angles do not rule out.
+vector is indexed: it stands in its nearest centre's list, and blocks of up to BLOCK vectors hold lists one after another; the
+largest angle to the centre is noted per list. A query carries one bit per list that it reads, and queries of neighbouring lists
+meet the blocks together (nearest.meet), so no query is copied per list; how many lists give the wanted recall is measured
+against the exact search on a sample of queries. An exact search reads, in a second pass, each list that the angles do not rule
+out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..storage import stored
-from .vectors import BLOCK, PLACES, nearest_rows, topk_join, unit_rows
+from .nearest import BLOCK, Nearest, matrix, meet, number_kind, ranked, stored_blocks, unit_rows
+from .vectors import topk_join
 
 #: Vectors that centres are fitted on, and queries that probes are measured with.
 SAMPLE, PROBE_SAMPLE = 20_000, 200
 #: Lists at most: the centres are held by the driver and shipped to every task (4,096 x 1,024 numbers are 32 MB).
 MOST_LISTS = 4_096
 ROUNDS = 12
+#: Vectors whose similarities with all centres are held at once.
+SLICE = 1_000
 
 
 def fit_centres(vectors: DataFrame, key: str = "id", vector: str = "embedding", lists: int | None = None, sample: int = SAMPLE) -> np.ndarray:
@@ -42,7 +46,7 @@ def fit_centres(vectors: DataFrame, key: str = "id", vector: str = "embedding",
     random = np.random.default_rng(0)
     centres = x[random.choice(len(x), max(1, wanted), replace=False)]
     for _ in range(ROUNDS):
-        own = (x @ centres.T).argmax(axis=1)
+        own = np.concatenate([(x[at : at + SLICE] @ centres.T).argmax(axis=1) for at in range(0, len(x), SLICE)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -54,12 +58,14 @@ def fit_centres(vectors: DataFrame, key: str = "id", vector: str = "embedding",
 
 @dataclass
 class Index:
-    """blocks: list, block, vi (ids), vm (unit vectors as bytes); sizes: by list its vectors, blocks and largest angle."""
+    """rows: id, list; blocks: place, vi (ids), m (vectors as bytes), v_extra (their lists); sizes: by list its vectors, parts and largest angle."""
 
     centres: np.ndarray
+    rows: DataFrame
     blocks: DataFrame
     sizes: DataFrame
     kind: str
+    number: type
 
     @property
     def n_lists(self) -> int:
@@ -70,124 +76,105 @@ def _angle(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1, 1))
 
 
-def _pack(rows: DataFrame, kind: str, label: str) -> DataFrame:
-    """Rows list, part, id, v (unit vector as bytes), sorted by list and part in their partitions, as blocks of up to BLOCK."""
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        last = None
 
-        def block() -> pa.RecordBatch:
-            ids = pa.array([[i for _, i, _ in held]], pa.list_(id_type))
-            return pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int32()), pa.array([last[1]], pa.int64()), ids, pa.array([b"".join(v for _, _, v in held)], pa.binary())], names=["list", "part", "i", "m"])
-
-        id_type = None
-        for batch in batches:
-            id_type = batch.schema.field(2).type
-            for c, part, i, v in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if held and ((c, part) != last or len(held) >= BLOCK):
-                    yield block()
-                    held = []
-                last = (c, part)
-                held.append((c, i, v))
-        if held:
-            yield block()
-
-    made = rows.select("list", "part", "id", "v").mapInArrow(pack, f"list int, part long, i array<{kind}>, m binary")
-    return made.select("list", "part", F.col("i").alias(f"{label}i"), F.col("m").alias(f"{label}m"))
+def _each(m: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    return pa.array([r.tobytes() for r in m], pa.binary())
 
 
 def build_index(vectors: DataFrame, key: str = "id", vector: str = "embedding", lists: int | None = None, sample: int = SAMPLE) -> Index:
-    """Index every vector; those that are null are in no list. Lists with many vectors are several parts, which separate tasks hold."""
-    kind = vectors.schema[key].dataType.simpleString()
+    """Index every vector; those that are null are in no list. Lists with many vectors are several parts, so that no task holds all of one."""
+    kind, number = vectors.schema[key].dataType.simpleString(), number_kind(vectors, vector)
     centres = fit_centres(vectors, key, vector, lists, sample)
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                m = unit_rows(batch.column(1))
-                cosines = m @ centres.T
-                own = cosines.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(own, pa.int32()), pa.array(_angle(cosines[np.arange(len(m)), own])), pa.array([r.tobytes() for r in m], pa.binary())], names=["id", "list", "angle", "v"]
-                )
+        for batch in _slices(batches):
+            m = matrix(batch.column(1), number)
+            cosines = unit_rows(m) @ centres.T
+            own = cosines.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int32()), pa.array(_angle(cosines[np.arange(len(m)), own])), _each(m)], names=["id", "list", "angle", "v"])
 
     placed = stored(vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), vector).mapInArrow(assign, f"id {kind}, list int, angle double, v binary"), "index-rows")
     sizes = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("long"))
     sizes = stored(sizes, "index-lists")  # at most MOST_LISTS rows
     parted = placed.join(F.broadcast(sizes.select("list", "parts")), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    blocks = _pack(parted.repartition("list", "part").sortWithinPartitions("list", "part"), kind, "v")
-    return Index(centres, stored(blocks, "index"), sizes, kind)
+    shelved = parted.repartitionByRange("list", "part").sortWithinPartitions("list", "part").withColumn("v_extra", F.col("list"))
+    blocks = stored_blocks(shelved, kind, number, "v_extra", "index", BLOCK).withColumnRenamed("i", "vi")
+    return Index(centres, placed.select("id", "list"), blocks, sizes, kind, number)
+
+
+def _meet(probes: DataFrame, index: Index, k: int, number: type, other: bool, within: bool) -> DataFrame:
+    """query, id, distance of queries id, home (a list), v, q_extra (a bit per list, the largest distance): the nearest of the lists that a query
+    reads. With `within` vectors of other lists may be among them, and none farther than the largest distance.
+    """
+    near = probes.repartitionByRange("home", F.xxhash64("id")).sortWithinPartitions("home")
+    asked = stored_blocks(near, index.kind, number, "q_extra", "probe-blocks", BLOCK)
 
+    def task(ids: np.ndarray, unit: np.ndarray, extra: bytes) -> tuple[Nearest, Callable]:
+        told = np.frombuffer(extra, np.uint8).reshape(len(ids), -1)
+        bits = told[:, :-8]
+        near = Nearest(ids, unit, k, told[:, -8:].copy().view(np.float64)[:, 0])
 
-def _meet(probes: DataFrame, index: Index, k: int, other: bool) -> DataFrame:
-    """query, id, distance: the k nearest of each list that a query (id, v) reads."""
-    dealt = probes.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(64).cast("long")))
-    packed = _pack(dealt.repartition("list", "part").sortWithinPartitions("list", "part"), index.kind, "q").drop("part")
-    # a list with many vectors is many parts, and each is met apart
-    copies = packed.join(F.broadcast(index.sizes.select("list", "parts")), "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    pairs = copies.join(index.blocks, ["list", "part"]).select("qi", "qm", "vi", "vm")
-    kind = index.kind
+        def take(ids: np.ndarray, unit: np.ndarray, extra: bytes) -> None:
+            lists = np.frombuffer(extra, np.int32)
+            low, high = lists.min() // 8, lists.max() // 8 + 1
+            place = lists - 8 * low
 
-    def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                qi, qm, vi, vm = (batch.column(c)[row].as_py() for c in range(4))
-                d = np.round(1 - np.frombuffer(qm).reshape(len(qi), -1) @ np.frombuffer(vm).reshape(len(vi), -1).T, PLACES)
-                if other:
-                    d[np.array(qi)[:, None] == np.array(vi)[None, :]] = np.inf
-                line, place = nearest_rows(d, k)
-                yield pa.RecordBatch.from_arrays([pa.array([qi[i] for i in line.tolist()], batch.column(0).type.value_type), pa.array([vi[j] for j in place.tolist()], batch.column(2).type.value_type), pa.array(d[line, place])], names=["query", "id", "distance"])
+            def reads(rows: slice) -> np.ndarray:
+                return np.unpackbits(bits[rows, low:high], axis=1).view(bool)
 
-    return pairs.mapInArrow(nearest, f"query {kind}, id {kind}, distance double")
+            near.meet(ids, unit, other, None if within else lambda rows, columns: ~reads(rows)[:, place[columns]], lambda rows: reads(rows).any(axis=0)[place])
 
+        return near, take
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return meet(asked, index.blocks.withColumnRenamed("vi", "i"), k, index.kind, (number, index.number), task)
 
 
 def index_search(queries: DataFrame, index: Index, k: int = K.NEIGHBOURS, probes: int = 8, key: str = "id", vector: str = "embedding", other: bool = False, exact: bool = False) -> DataFrame:
     """V3, V5. query, id, distance, rank: the k nearest vectors in the `probes` lists nearest to each query.
 
-    With `exact`, a second pass reads each further list that could hold one as near as the k-th found: no vector of a list is
+    With `exact`, a second pass reads each list that could hold one as near as the k-th found: no vector of a list is
     nearer to the query than the angle to the centre less the list's largest angle. With `other`, a query's own id is
     left out.
     """
     spark, kind, centres = queries.sparkSession, index.kind, index.centres
     if not index.n_lists:
         return spark.createDataFrame([], f"query {kind}, id {kind}, distance double, rank int")
+    number = number_kind(queries, vector)
     radius = np.full(len(centres), -np.inf)
     for c, r in index.sizes.select("list", "radius").collect():  # at most MOST_LISTS rows
         radius[c] = r
 
     def lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The lists of the first pass; where a k-th distance is known, those of the second."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = unit_rows(batch.column(1))
-            cosines = m @ centres.T
-            order = np.argsort(-cosines, axis=1, kind="stable")
-            first = np.zeros(cosines.shape, bool)
-            np.put_along_axis(first, order[:, :probes], True, axis=1)
+        for batch in _slices(batches):
+            m = matrix(batch.column(1), number)
+            cosines = unit_rows(m) @ centres.T
+            limit = np.full(len(m), np.inf)
             if batch.num_columns == 3:
                 bound = batch.column(2).to_numpy(zero_copy_only=False)  # not a number: fewer than k were found
+                limit = np.where(np.isnan(bound), np.inf, bound)
                 least = 1 - np.cos(np.maximum(0, _angle(cosines) - radius))
-                first = ~first & ~(least > np.where(np.isnan(bound), np.inf, bound)[:, None] + 1e-9)
-            line, c = np.nonzero(first & np.isfinite(radius))
-            unit = [r.tobytes() for r in m]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(line)), pa.array(c, pa.int32()), pa.array([unit[i] for i in line.tolist()], pa.binary())], names=["id", "list", "v"])
-
-    schema = f"id {kind}, list int, v binary"
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("q"))
-    found = _meet(asked.mapInArrow(lists, schema), index, k, other)
+                read = ~(least > limit[:, None] + 1e-7)  # angles near 0 are off by some 1e-8
+            else:
+                read = np.zeros(cosines.shape, bool)
+                np.put_along_axis(read, np.argsort(-cosines, axis=1, kind="stable")[:, :probes], True, axis=1)
+            told = np.hstack([np.packbits(read & np.isfinite(radius), axis=1), limit[:, None].view(np.uint8)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cosines.argmax(axis=1), pa.int32()), _each(m), _each(told)], names=["id", "home", "v", "q_extra"])
+
+    schema = f"id {kind}, home int, v binary, q_extra binary"
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast(kind).alias("id"), F.col(vector).alias("q"))
+    found = ranked(_meet(stored(asked.mapInArrow(lists, schema), "probes"), index, k, number, other, False), k)
     if not exact:
-        return _ranked(found, k)
-    near = stored(_ranked(found, k), "near")
-    kth = near.where(F.col("rank") == k).select(F.col("query").alias("k_query"), F.col("distance").alias("kth"))
+        return found
+    kth = stored(found.where(F.col("rank") == k).select(F.col("query").alias("k_query"), F.col("distance").alias("kth")), "near")
     again = asked.join(kth, F.col("id") == F.col("k_query"), "left").select("id", "q", F.coalesce("kth", F.lit(float("nan"))).alias("kth"))
-    return _ranked(near.drop("rank").unionByName(_meet(again.mapInArrow(lists, schema), index, k, other)), k)
+    return ranked(_meet(stored(again.mapInArrow(lists, schema), "probes"), index, k, number, other, True), k)
 
 
 def measured_probes(vectors: DataFrame, index: Index, k: int = K.NEIGHBOURS, recall: float = 0.95, key: str = "id", vector: str = "embedding", sample: int = PROBE_SAMPLE) -> tuple[int, float]:
@@ -197,8 +184,7 @@ def measured_probes(vectors: DataFrame, index: Index, k: int = K.NEIGHBOURS, rec
     """
     drawn = stored(vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("embedding")).orderBy(F.xxhash64("id", F.lit(7))).limit(sample), "probe-sample")
     true = topk_join(drawn, vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("embedding")), k, other=True).select("query", "id")
-    homes = index.blocks.select("list", F.explode("vi").alias("id"))
-    rows = true.join(homes, "id").groupBy("query").agg(F.collect_list("list").alias("lists")).join(drawn.withColumnRenamed("id", "query"), "query").select("lists", "embedding").collect()  # `sample` rows
+    rows = true.join(index.rows, "id").groupBy("query").agg(F.collect_list("list").alias("lists")).join(drawn.withColumnRenamed("id", "query"), "query").select("lists", "embedding").collect()  # `sample` rows
     if not rows:
         return 1, 1.0
     x = np.array([r.embedding for r in rows])

@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..storage import stored
-
-#: Vectors in a block; two blocks meet as one matrix product (32 MB of similarities).
-BLOCK = 2_000
-#: Places of distances: products of other shapes may differ in the last bits, which must not decide between equal vectors.
-PLACES = 12
-#: Blocks of queries that one copy of a block of vectors meets.
-GROUP = 16
+from .nearest import Nearest, meet, number_kind, ranked, stored_blocks
 
 
 def cosine(a: str, b: str) -> Column:
@@ -28,73 +19,32 @@ def cosine(a: str, b: str) -> Column:
     return F.when(norm == 0, 0.0).otherwise(sums[0] / norm)
 
 
-def _blocked(vectors: DataFrame, key: str, vector: str, label: str, order: str | None = None) -> DataFrame:
-    """Rows of up to BLOCK unit vectors: block, ids, matrix (float64, row-major), and values of the order column (int64)."""
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                m = unit_rows(part.column(1))
-                place = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([m.tobytes()], pa.binary()), pa.array([place], pa.binary())], names=["b", "i", "m", "o"])
-                number += 1
-
-    place = F.col(order).cast("long") if order else F.lit(0).cast("long")
-    made = vectors.where(F.col(vector).isNotNull()).select(key, vector, place.alias("o")).mapInArrow(pack, f"b long, i array<{kind}>, m binary, o binary")
-    return made.select(*[F.col(c).alias(f"{label}{c}") for c in "bimo"])
+def topk_join(queries: DataFrame, vectors: DataFrame, k: int = K.NEIGHBOURS, key: str = "id", vector: str = "embedding", other: bool = False, before: str | None = None) -> DataFrame:
+    """V3, V5. query, id, distance, rank (from 1): the k nearest vectors of each query, by distance, then id.
 
+    Exact: each query meets every vector, in the cells of a grid (nearest.meet). With `other`, a query's own
+    id is left out (self-kNN); with `before`, only vectors whose value in that column is smaller than the query's count.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+    place = F.col(before).cast("long") if before else F.lit(0).cast("long")
 
-def unit_rows(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as rows of length one; zero vectors stay."""
-    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    def packed(rows: DataFrame, side: str) -> DataFrame:
+        own = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast(kind).alias("id"), F.col(vector).alias("v"), place.alias(f"{side}_extra"))
+        return stored_blocks(own, kind, number_kind(rows, vector), f"{side}_extra", f"{side}-blocks")
 
+    v = packed(vectors, "v")
+    q = v.withColumnRenamed("v_extra", "q_extra") if queries is vectors else packed(queries, "q")
 
-def nearest_rows(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of each row's k smallest distances and of all ties of the last; infinite ones are none."""
-    n = min(k, d.shape[1])
-    edge = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-    return np.nonzero((d <= edge) & np.isfinite(d))
+    def task(ids: np.ndarray, unit: np.ndarray, extra: bytes) -> tuple[Nearest, Callable]:
+        near, own = Nearest(ids, unit, k), np.frombuffer(extra, np.int64)
 
+        def take(ids: np.ndarray, unit: np.ndarray, extra: bytes) -> None:
+            theirs = np.frombuffer(extra, np.int64)
+            near.meet(ids, unit, other, (lambda rows, columns: theirs[None, columns] >= own[rows, None]) if before else None)
 
-def topk_join(queries: DataFrame, vectors: DataFrame, k: int = K.NEIGHBOURS, key: str = "id", vector: str = "embedding", other: bool = False, before: str | None = None) -> DataFrame:
-    """V3, V5. query, id, distance, rank (from 1): the k nearest vectors of each query, by distance, then id.
+        return near, take
 
-    Exact: every block of queries meets every block of vectors as one matrix product and sends on k rows per query. Blocks of
-    queries are dealt into groups; a block of vectors is copied once per group, not per block. With `other`, a query's own
-    id is left out (self-kNN); with `before`, only vectors whose value in that column is smaller than the query's count.
-    """
-    kind = vectors.schema[key].dataType.simpleString()
-    q, v = stored(_blocked(queries, key, vector, "q", before), "query-blocks"), _blocked(vectors, key, vector, "v", before)
-    groups = -(-q.count() // GROUP)
-    if not groups:
-        return vectors.sparkSession.createDataFrame([], f"query {kind}, id {kind}, distance double, rank int")
-    dealt = q.withColumn("group", F.pmod(F.xxhash64("qb"), F.lit(groups)))
-    copies = v.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    pairs = copies.join(dealt, "group").select("qi", "qm", "qo", "vi", "vm", "vo")
-
-    def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                qi, qm, qo, vi, vm, vo = (batch.column(c)[row].as_py() for c in range(6))
-                a, b = np.frombuffer(qm).reshape(len(qi), -1), np.frombuffer(vm).reshape(len(vi), -1)
-                d = np.round(1 - a @ b.T, PLACES)
-                if other:
-                    d[np.array(qi)[:, None] == np.array(vi)[None, :]] = np.inf
-                if before:
-                    d[np.frombuffer(vo, np.int64)[None, :] >= np.frombuffer(qo, np.int64)[:, None]] = np.inf
-                line, place = nearest_rows(d, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([qi[i] for i in line.tolist()], batch.column(0).type.value_type), pa.array([vi[j] for j in place.tolist()], batch.column(3).type.value_type), pa.array(d[line, place])], names=["query", "id", "distance"]
-                )
-
-    near = pairs.mapInArrow(nearest, f"query {kind}, id {kind}, distance double")
-    order = Window.partitionBy("query").orderBy("distance", "id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked(meet(q, v, k, kind, (number_kind(queries, vector), number_kind(vectors, vector)), task), k)
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = K.NEIGHBOURS, where: Column | None = None, key: str = "id", vector: str = "embedding") -> DataFrame:

@@ -4,9 +4,10 @@ import random
 from collections import deque
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import ivf, keyed, traversal, vectors
+from strataloom.operators import ivf, keyed, nearest, traversal, vectors
 from strataloom.sources.cache import ResultCache, versions
 from strataloom.sources.logstore import Keyed, LogStore
 
@@ -113,3 +114,36 @@ def test_a_new_ingest_never_serves_old_results(spark, tmp_path):
     assert risks() == {"risk of new"} and len(runs) == 4
     cache.clear("risks")
     assert risks() == {"risk of new"} and len(runs) == 5
+
+
+def test_queries_are_not_copied_per_list(spark, monkeypatch):
+    """Each query is one row of either pass, however many lists it reads: its copies per list did not fit in memory."""
+    r = np.random.default_rng(11)
+    v = spark.createDataFrame([(i, r.normal(size=16).tolist()) for i in range(3000)], "id long, embedding array<float>").repartition(1)
+    index, met = ivf.build_index(v, lists=200), []
+    monkeypatch.setattr(ivf, "meet", lambda q, *a: met.append(q.agg(F.sum(F.size("i"))).first()[0]) or nearest.meet(q, *a))
+    got = pairs(ivf.index_search(v, index, 3, exact=True, other=True))
+    assert got == pairs(vectors.topk_join(v, v, 3, other=True)) and len(got) == 9000
+    assert met == [3000, 3000]
+
+
+@pytest.mark.parametrize("kind", [int, str])
+def test_nearest_of_blocks(kind):
+    """Ties by id over blocks, zero rows, rows that are no numbers, hidden pairs, and a limit, against a plain search."""
+    r = np.random.default_rng(5)
+    m = nearest.unit_rows(np.vstack([r.normal(size=(90, 6)), np.repeat(r.normal(size=(3, 6)), 30, axis=0), np.zeros((4, 6)), np.full((2, 6), np.nan)]))
+    ids = np.array([kind(x) for x in r.permutation(len(m))], np.int64 if kind is int else object)
+    limit = np.where(np.arange(len(m)) % 9 == 4, 0.3, np.inf)
+    near = nearest.Nearest(ids, m, 7, limit)
+    for at in range(0, len(m), 40):
+        near.meet(ids[at : at + 40], m[at : at + 40], True, lambda rows, columns, at=at: (np.arange(len(m))[rows, None] + columns + at) % 11 == 0)
+    got = {}
+    for q, i, d in near.rows():
+        for x in zip(q.tolist(), i.tolist(), d.tolist(), strict=True):
+            got.setdefault(x[0], []).append((round(x[2], 9), x[1]))
+    want = {}
+    for a, q in enumerate(ids.tolist()):
+        d = [(abs(round(1 - float(m[a] @ m[b]), 9)), i) for b, i in enumerate(ids.tolist()) if i != q and (a + b) % 11 and np.isfinite(m[a] @ m[b])]
+        if found := sorted(x for x in d if x[0] <= limit[a])[:7]:
+            want[q] = found
+    assert {q: [(abs(d), i) for d, i in x] for q, x in got.items()} == want
