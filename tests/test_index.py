@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,12 @@ def test_nearest_of_blocks(kind):
         if found := sorted(x for x in d if x[0] <= limit[a])[:7]:
             want[q] = found
     assert {q: [(abs(d), i) for d, i in x] for q, x in got.items()} == want
+
+
+def test_similarities_with_centres_are_cut(monkeypatch):
+    """An executor holds similarities of a slice with all centres, not of a batch of 10,000 vectors."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2_345))], names=["id"])
+    got = list(ivf._slices([batch, batch.slice(0, 0), batch.slice(0, 10)]))
+    assert [b.num_rows for b in got] == [ivf.SLICE, ivf.SLICE, 345, 10]
+    monkeypatch.setattr(ivf, "SLICE", 2_000)
+    assert [b.num_rows for b in ivf._slices([batch])] == [2_000, 345]
