@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from strataloom.operators import ivf, keyed, nearest, traversal, vectors
 from strataloom.sources.cache import ResultCache, versions
@@ -157,3 +158,21 @@ def test_similarities_with_centres_are_cut(monkeypatch):
     assert [b.num_rows for b in got] == [ivf.SLICE, ivf.SLICE, 345, 10]
     monkeypatch.setattr(ivf, "SLICE", 2_000)
     assert [b.num_rows for b in ivf._slices([batch])] == [2_000, 345]
+
+
+def test_queries_stay_in_bounded_groups(spark, monkeypatch):
+    """Groups of few queries and parts of few vectors, each met in a task of its own, give what one plain search gives."""
+    monkeypatch.setattr(nearest, "GROUP_BYTES", 1)
+    monkeypatch.setattr(nearest, "PART", 1)
+    v = clustered(spark, 300).repartition(7)
+    cells = []
+    monkeypatch.setattr(DataFrame, "repartitionById", lambda df, n, key, f=DataFrame.repartitionById: cells.append(n) or f(df, n, key))
+    got = pairs(vectors.topk_join(v, v, 4, other=True))
+    rows = {r["id"]: np.array(r["embedding"]) for r in v.where("embedding is not null").collect()}
+    ids, unit = np.array(list(rows)), nearest.unit_rows(np.stack(list(rows.values())))
+    want = []
+    for q, u in zip(ids.tolist(), unit, strict=True):
+        near = sorted((abs(round(1 - float(u @ w), 9)), i) for i, w in zip(ids.tolist(), unit, strict=True) if i != q)[:4]
+        want += [(q, i, d, rank + 1) for rank, (d, i) in enumerate(near)]
+    assert [(q, i, abs(d), r) for q, i, d, r in got] == sorted(want)
+    assert cells[0] >= 14
