@@ -102,20 +102,22 @@ class Nearest:
         whole = np.isfinite(unit).all(axis=1)  # others are near to nothing
         single = unit.astype(np.float32)
         own = _equal(self.ids, ids) if other else None
+        room = np.empty((TILE, len(ids)), np.float32)  # one for all tiles
         for at in range(0, len(self.ids), TILE):
             rows = slice(at, at + TILE)
             read = whole if chosen is None else whole & chosen(rows)
             columns = np.arange(len(ids)) if read.all() else np.flatnonzero(read)
             if not len(columns):
                 continue
-            s = self.single[rows] @ (single if len(columns) == len(ids) else single[columns]).T
+            mine = self.single[rows]
+            s = np.matmul(mine, (single if len(columns) == len(ids) else single[columns]).T, out=room.reshape(-1)[: len(mine) * len(columns)].reshape(len(mine), -1))
             if hidden is not None:
                 s[hidden(rows, columns)] = -2
             if own is not None:
                 a, b = np.searchsorted(own[0], (at, at + TILE))
-                mine, place = own[0][a:b] - at, np.searchsorted(columns, own[1][a:b])
+                line, place = own[0][a:b] - at, np.searchsorted(columns, own[1][a:b])
                 there = (place < len(columns)) & (columns[np.minimum(place, len(columns) - 1)] == own[1][a:b])
-                s[mine[there], place[there]] = -2
+                s[line[there], place[there]] = -2
             limit = np.minimum(self.limit[rows], self.distance[rows, -1])
             least = np.where(np.isfinite(limit), 1 - limit - self.slack, -1.5)  # -2: no pair
             if len(columns) > self.k and len(new := np.flatnonzero(np.isinf(self.distance[rows, -1]))):

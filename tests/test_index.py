@@ -176,3 +176,17 @@ def test_queries_stay_in_bounded_groups(spark, monkeypatch):
         want += [(q, i, d, rank + 1) for rank, (d, i) in enumerate(near)]
     assert [(q, i, abs(d), r) for q, i, d, r in got] == sorted(want)
     assert cells[0] >= 14
+
+
+def test_few_pairs_need_a_distance(monkeypatch):
+    """Of a self-join's pairs all but a few are told far by single precision alone, in one room for all tiles."""
+    r = np.random.default_rng(2)
+    m, asked, rooms = nearest.unit_rows(r.normal(size=(12_000, 32))), [], set()
+    monkeypatch.setattr(nearest.Nearest, "_add", lambda self, line, *a, f=nearest.Nearest._add: asked.append(len(line)) or f(self, line, *a))
+    monkeypatch.setattr(np, "matmul", lambda a, b, out, f=np.matmul: rooms.add(out.ctypes.data) or f(a, b, out=out))
+    near = nearest.Nearest(np.arange(1_000), m[:1_000], 5)
+    near.meet(np.arange(12_000), m, True)
+    assert sum(asked) < 0.002 * 12_000_000 and len(rooms) == 1
+    for q in range(0, 1_000, 97):
+        d = np.round(1 - m @ m[q], 9)
+        assert near.found[q].tolist() == [i for i in np.lexsort((np.arange(12_000), d)) if i != q][:5]
